@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidara.llm import packing, toxicity
+from evidara.llm import near_dup, packing, pii, quality, toxicity
 from evidara.llm.common import materialise, table
 from evidara.llm.queries import WORD_BPE
 
@@ -16,6 +16,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or the learnt verdict go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays (five words, similarity of 0.8 or more)."""
+    return near_dup.keep_one(docs)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data give way to the name of their kind."""
+    return pii.redact(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of every piece in training sequences."""
     return packing.pack(docs, WORD_BPE)
@@ -23,7 +38,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = [("toxicity", drop_toxic), ("packing", pack)]
+STAGES: list[tuple[str, Stage]] = [("toxicity", drop_toxic), ("quality", keep_good), ("near-duplicates", keep_one), ("personal-data", redact), ("packing", pack)]
 
 #: Learnt models cannot be said in SQL; tests hold each stage against its operator and a brute-force version.
 ORACLE_SQL: str | None = None

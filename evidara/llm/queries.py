@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evidara.llm import bpe, fingerprints, html_extract, near_dup, packing, pii, quality, token_counts, toxicity
+from evidara.llm import bpe, fingerprints, html_extract, near_dup, packing, pii, quality, suffix_tree, token_counts, toxicity
 from evidara.llm.common import table
 
 #: The tokenizer file of the queries; operators take any path.
@@ -18,6 +18,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.detect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -50,5 +54,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_bpe, op4_pii, op5_near_dup, op6_packing, op7_token_counts, op8_quality, op9_html, op10_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_lm_scoring, op3_bpe, op4_pii, op5_near_dup, op6_packing, op7_token_counts, op8_quality, op9_html, op10_fingerprints)}
 ORACLES: dict[str, str] = {}
