@@ -9,7 +9,7 @@ from evidara.functions.text import column
 
 #: Fixed forms: quarter before year, year before quarter, with or without FY.
 QUARTER_FIRST = r"(?i)\bQ([1-4])[\s_,-]{0,3}(FY)?\s?((?:19|20)?[0-9]{2})\b"
-YEAR_FIRST = r"(?i)\b(FY)?\s?((?:19|20)[0-9]{2})[\s_-]{0,3}Q([1-4])\b"
+YEAR_FIRST = r"(?i)(?<!Q[1-4][\s_,-]{0,3})(?<!Q[1-4][\s_,-]{0,3}FY\s?)\b(FY)?\s?((?:19|20)[0-9]{2})[\s_-]{0,3}Q([1-4])\b"
 
 
 def full_year(y: Column) -> Column:

@@ -3,10 +3,12 @@
 1. Equal shingle sets are one class; the rest works on classes.
 2. Every class has SIZE minwise values. In each tree a node chooses one position, or with some chance two; a class goes to the
    child named by its value there. How a path begins depends on the class alone, so the first levels need no shuffle.
-3. A node of up to SMALL classes is compared exhaustively by 64-bit sketches. In a larger node every class is compared with a few
-   leaders, and the node branches on.
-4. Candidates are confirmed on the full sets: first one for each class, then those that still stand between different components.
-5. Large nodes that hold more than one component branch on until none is left; no partner or candidate is ever capped.
+3. Every class is compared with its node's least class; candidates whose sketches agree are confirmed on the full sets, and
+   the links found make coarse components.
+4. Only nodes that hold more than one component go on. One of up to SMALL classes is compared exhaustively across its
+   components: the most alike candidates first, then all that still stand between components. In a larger one every class is
+   compared with a few leaders of other components, and the node branches on until it is small or within one component. No
+   partner or candidate is ever capped.
 
 The trees are independent; at the least similarity a pair is missed by all with a chance of about 4e-6.
 
@@ -20,25 +22,33 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from evidara.llm.common import U64, materialise, mix, spread, text_bytes
 
-#: Minwise values of a class.
-SIZE = 64
+#: Minwise values that paths choose from, and values of which a byte each is kept to compare classes.
+SIZE, CHECKS = 64, 256
 TREES = 12
 #: Levels of the paths before nodes are first counted, and levels between two confirmations after that.
 FIRST_LEVELS = 3
 NEXT_LEVELS = 3
-#: Classes in a node that is compared exhaustively.
-SMALL = 64
-#: Of 64 sketch bits, pairs of similarity 0.8 agree on 57.6 on average (deviation 2.4).
-LEAST_AGREEING = 45
-MULTIPLIERS = mix(np.arange(1, SIZE + 1, dtype=np.uint64)) | U64(1)
-ADDENDS = mix(np.arange(1001, SIZE + 1001, dtype=np.uint64))
+#: Classes in a node that is compared exhaustively; leaders of a larger node.
+SMALL = 8192
+LEADERS = 4
+#: Of a class's candidates in each other component, how many are confirmed before the rest.
+BEST = 2
+#: Bits of the filter for wanted ids: a fixed size, so it can be broadcast at any scale.
+MARKS = 1 << 24
+#: Of 64 sketch bits, pairs of similarity 0.8 agree on 57.6 on average (deviation 2.4); of CHECKS bytes, on 0.8 (0.025).
+LEAST_AGREEING, LEAST_LIKE = 45, 0.69
+#: Shingle sets that a confirming task remembers.
+REMEMBERED_BYTES = 64_000_000
+MULTIPLIERS = (mix(np.arange(1, CHECKS + 1, dtype=np.uint64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
+ADDENDS = (mix(np.arange(1001, CHECKS + 1001, dtype=np.uint64)) >> U64(32)).astype(np.uint32)
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -55,11 +65,11 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
 
 
 def minwise(shingles: np.ndarray) -> np.ndarray:
-    """SIZE minwise values of a set, in blocks so that a very long text needs little memory."""
-    least = np.full(SIZE, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(shingles), 4096):
-        part = shingles[i : i + 4096, None] * MULTIPLIERS + ADDENDS
-        least = np.minimum(least, (part ^ (part >> U64(32))).min(axis=0))
+    """CHECKS minwise values of a set, in blocks so that a very long text needs little memory."""
+    x = (mix(shingles) >> U64(32)).astype(np.uint32)
+    least = np.full(CHECKS, np.iinfo(np.uint32).max, np.uint32)
+    for i in range(0, len(x), 512):
+        np.minimum(least, (x[i : i + 512, None] * MULTIPLIERS + ADDENDS).min(axis=0), out=least)
     return least
 
 
@@ -71,14 +81,14 @@ def set_key(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, key (hi, lo), the minwise values and the sketch of every row; null key without words."""
+    """doc_id, n_shingles, key (hi, lo), minwise values, check bytes and the sketch of every row; null key without words."""
     rows = text_bytes(docs, F.col("doc_id"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     weights = U64(1) << np.arange(SIZE, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, hi, lo, sig, bits = [], [], [], [], []
+            n, hi, lo, sig, check, bits = [], [], [], [], [], []
             for text in batch["text"].to_pylist():
                 s = shingle_set(text, width)
                 n.append(len(s))
@@ -87,14 +97,15 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     a, b = set_key(s)
                     hi.append(a)
                     lo.append(b)
-                    sig.append(m.tobytes())
-                    bits.append(int((((mix(m) >> U64(7)) & U64(1)) * weights).sum(dtype=np.uint64).astype(np.int64)))
+                    sig.append(m[:SIZE].tobytes())
+                    check.append(m.astype(np.uint8).tobytes())
+                    bits.append(int((((mix(m[:SIZE].astype(np.uint64)) >> U64(7)) & U64(1)) * weights).sum(dtype=np.uint64).astype(np.int64)))
                 else:
-                    for x in (hi, lo, sig, bits):
+                    for x in (hi, lo, sig, check, bits):
                         x.append(None)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sig, pa.binary()), pa.array(bits, pa.int64())], ["doc_id", "n", "hi", "lo", "sig", "bits"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sig, pa.binary()), pa.array(check, pa.binary()), pa.array(bits, pa.int64())], ["doc_id", "n", "hi", "lo", "sig", "check", "bits"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n long, hi long, lo long, sig binary, bits long")
+    return rows.mapInArrow(run, f"doc_id {kind}, n long, hi long, lo long, sig binary, check binary, bits long")
 
 
 def step(nodes: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +120,7 @@ def step(nodes: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     second = (first + 1 + ((draw >> U64(20)) % U64(SIZE - 1)).astype(np.int64)) % SIZE
     two = (draw >> U64(40)) % U64(4) == 0
     at, pos = np.concatenate([rows, rows[two]]), np.concatenate([first, second[two]])
-    return mix(nodes[at] * U64(0x9E3779B97F4A7C15) + mix(sig[at, pos] + pos.astype(np.uint64))), at
+    return mix(nodes[at] * U64(0x9E3779B97F4A7C15) + mix(sig[at, pos].astype(np.uint64) + (pos.astype(np.uint64) << U64(40)))), at
 
 
 def branch(rows: DataFrame, levels: int, roots: int = 0) -> DataFrame:
@@ -119,7 +130,7 @@ def branch(rows: DataFrame, levels: int, roots: int = 0) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint64).reshape(-1, SIZE)
+            sig = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint32).reshape(-1, SIZE)
             cls, bits = batch["cls"].to_numpy(), batch["bits"].to_numpy()
             if roots:
                 owner = np.repeat(np.arange(len(cls)), roots)
@@ -139,44 +150,86 @@ def agree(a: str, b: str) -> F.Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= 64 - LEAST_AGREEING
 
 
-def exhaustive(small: DataFrame) -> DataFrame:
-    """Pairs (a, b) within small nodes whose sketches agree: neighbours at growing distance in node order."""
-    ordered = small.repartition(F.col("node")).sortWithinPartitions("node", "cls")
+def exhaustive(small: DataFrame, checks: DataFrame, best: int | None) -> DataFrame:
+    """Pairs (a, b) of different components within small nodes that may be similar.
+
+    With best, each class names its most alike candidates in each other component only; the rest is for a later pass.
+    """
+    kept = small.select("node", "cls", "bits", "comp").join(checks, "cls").select("node", "cls", "bits", "comp", "check")
+    ordered = kept.repartition(F.col("node")).sortWithinPartitions("node", "cls")
+
+    def compare(cls: np.ndarray, bits: np.ndarray, comp: np.ndarray, check: np.ndarray) -> Iterator[np.ndarray]:
+        names, at = np.unique(comp, return_inverse=True)
+        # the largest component need not be compared with itself, nor any pair twice
+        order = np.argsort(at == np.bincount(at).argmax(), kind="stable")
+        cls, bits, comp, check = cls[order], bits[order], comp[order], check[order]
+        for i in range(int((at != np.bincount(at).argmax()).sum())):
+            rest = slice(i + 1, None)
+            near = np.flatnonzero((np.bitwise_count(bits[rest] ^ bits[i]) <= 64 - LEAST_AGREEING) & (comp[rest] != comp[i])) + i + 1
+            if not len(near):
+                continue
+            like = (check[near] == check[i]).mean(axis=1)
+            near, like = near[like >= LEAST_LIKE], like[like >= LEAST_LIKE]
+            if best is not None and len(near) > best:
+                rank = np.lexsort((-like, comp[near]))
+                new = np.r_[True, comp[near][rank][1:] != comp[near][rank][:-1]]
+                place = np.arange(len(rank)) - np.maximum.accumulate(np.where(new, np.arange(len(rank)), 0))
+                near = near[rank[place < best]]
+            yield np.stack([np.minimum(cls[i], cls[near]), np.maximum(cls[i], cls[near])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            node, cls, bits, comp = (whole[c].to_numpy() for c in ("node", "cls", "bits", "comp"))
+            check = np.frombuffer(b"".join(whole["check"].to_pylist()), np.uint8).reshape(-1, CHECKS)
+            cuts = np.r_[0, np.flatnonzero(node[1:] != node[:-1]) + 1, len(node)]
+            pairs = [np.zeros((2, 0), np.int64)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                pairs += compare(cls[i:j], bits[i:j].view(np.uint64), comp[i:j], check[i:j])
+            found = np.unique(np.concatenate(pairs, axis=1), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+
+        # a node lies in neighbouring batches: the rows after the last change of node wait for the next batch
         for batch in batches:
-            new = len(held[0])
-            node, cls, bits = (np.concatenate([h, batch[c].to_numpy()]) for h, c in zip(held, ("node", "cls", "bits"), strict=True))
-            pairs = []
-            for gap in range(1, SMALL):
-                i = np.arange(max(0, new - gap), len(node) - gap)
-                i = i[node[i] == node[i + gap]]
-                if not len(i):
-                    break
-                close = np.bitwise_count((bits[i] ^ bits[i + gap]).view(np.uint64)) <= 64 - LEAST_AGREEING
-                i = i[close & (cls[i] != cls[i + gap])]
-                pairs.append(np.stack([cls[i], cls[i + gap]]))
-            found = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
-            held = [x[-(SMALL - 1) :] for x in (node, cls, bits)]
+            if not batch.num_rows:
+                continue
+            node = batch["node"].to_numpy()
+            change = np.flatnonzero(node[1:] != node[:-1])
+            if held and held[-1]["node"][-1].as_py() != node[0]:
+                yield flush()
+                held.clear()
+            if len(change):
+                held.append(batch.slice(0, int(change[-1]) + 1))
+                yield flush()
+                held.clear()
+                batch = batch.slice(int(change[-1]) + 1)
+            held.append(batch)
+        if held:
+            yield flush()
 
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def split_nodes(rows: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs of the nodes, and the rows of nodes that are still large."""
-    leaders = [F.min(F.struct("cls", "bits")), F.max(F.struct("cls", "bits"))]
-    leaders += [F.min_by(F.struct("cls", "bits"), F.xxhash64("cls", F.lit(rounds * 2 + i))) for i in range(2)]
-    counted = rows.groupBy("node").agg(F.count("*").alias("size"), *(x.alias(f"l{i}") for i, x in enumerate(leaders))).where("size > 1")
-    counted = counted.select("node", "size", *(F.when(F.col("size") > SMALL, F.col(f"l{i}")).alias(f"l{i}") for i in range(4)))
-    sized = materialise(rows.join(counted, "node"), "nodes")
-    small, large = sized.where(F.col("size") <= SMALL), sized.where(F.col("size") > SMALL)
-    stars = [large.select("cls", "bits", f"l{i}.cls", f"l{i}.bits").toDF("a", "x", "b", "y").where((F.col("a") != F.col("b")) & agree("x", "y")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) for i in range(4)]
-    pairs = exhaustive(small)
-    for s in stars:
-        pairs = pairs.unionByName(s)
-    return pairs, large.select("node", "cls", "bits")
+def sized(rows: DataFrame) -> DataFrame:
+    """The rows of nodes of two classes or more, with the node's size and its least class."""
+    counted = rows.groupBy("node").agg(F.count("*").alias("size"), F.min(F.struct("cls", "bits")).alias("least")).where("size > 1")
+    return materialise(rows.join(counted, "node"), "nodes")
+
+
+def stars(rows: DataFrame, leader: str) -> DataFrame:
+    """Pairs of every class and its node's leader whose sketches agree."""
+    far = rows.select("cls", "bits", f"{leader}.cls", f"{leader}.bits").toDF("a", "x", "b", "y").where((F.col("a") != F.col("b")) & agree("x", "y"))
+    return far.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def mixed_nodes(rows: DataFrame, comp: DataFrame, seed: int) -> DataFrame:
+    """The rows of nodes that hold more than one component, with their own component and some leaders of the node."""
+    known = rows.select("node", "cls", "bits", "size").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    leaders = [F.min_by(F.struct("cls", "bits", "comp"), F.when(F.col("size") > SMALL, F.xxhash64("cls", F.lit(seed * LEADERS + i)))).alias(f"l{i}") for i in range(LEADERS)]
+    mixed = known.groupBy("node").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), *leaders).where("first <> last")
+    return materialise(known.join(mixed.select("node", *(f"l{i}" for i in range(LEADERS))), "node"), "mixed")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -185,14 +238,17 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
+        held = 0
         for batch in batches:
             keep = []
             for a, b, ta, tb in zip(*(batch[c].to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-                if len(known) > 64:
+                if held > REMEMBERED_BYTES:
                     known.clear()
+                    held = 0
                 for c, t in ((a, ta), (b, tb)):
                     if c not in known:
                         known[c] = shingle_set(t, width)
+                        held += known[c].nbytes
                 x, y = known[a], known[b]
                 keep.append(100 * (both := len(np.intersect1d(x, y, assume_unique=True))) >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -210,77 +266,95 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select("u", "v", "m")
-        links = materialise(small.select("v", "m").union(small.select("u", "m")).toDF("u", "v").where("u <> v").distinct(), "stars")
-        now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h")).first()
-        if now == before:
+        seen = Observation()
+        stars = small.select("v", "m").union(small.select("u", "m")).toDF("u", "v").where("u <> v").distinct()
+        links = materialise(stars.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h")), "stars")
+        now = seen.get
+        if now == before or not now["n"]:
             return links.toDF("cls", "comp")
         before = now
 
 
-def linked(spark: SparkSession, docs: DataFrame, classes: DataFrame, width: int, percent: int, repeats: bool) -> DataFrame:
-    """cls and comp of the classes that have a confirmed link."""
-    rows = materialise(branch(classes.select("cls", "bits", "sig"), FIRST_LEVELS, TREES), "paths")
-    links = spark.createDataFrame([], "a long, b long")
-    comp = spark.createDataFrame([], "cls long, comp long")
-    rounds = 0
-    while True:
-        candidates = None
-        for level in range(2):
-            pairs, large = split_nodes(rows, rounds)
-            candidates = pairs if candidates is None else candidates.unionByName(pairs)
-            rounds += 1
-            if large.isEmpty():
-                break
-            rows = materialise(branch(large.join(classes.select("cls", "sig"), "cls"), NEXT_LEVELS), "paths")
-        new = with_comp(materialise(candidates.distinct(), "candidates"), comp).where("comp_a <> comp_b").select("a", "b")
-        texts = texts_of(docs, classes, new, width)
-        texts = materialise(texts.dropDuplicates(["cls"]) if repeats else texts, "texts")
-        # one candidate for each class first: it joins most of what belongs together
-        first = materialise(new.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
-        links = links.unionByName(materialise(confirm(first, texts, width, percent), "links"))
-        comp = components(links)
-        rest = with_comp(new.join(first, ["a", "b"], "left_anti"), comp).where("comp_a <> comp_b").select("a", "b")
-        links = links.unionByName(materialise(confirm(rest, texts, width, percent), "links"))
-        comp = components(links)
-        if large.isEmpty():
-            return comp
-        # a node within one component has nothing left to find
-        known = large.join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        mixed = known.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("node")
-        rows = materialise(large.join(mixed, "node", "left_semi"), "mixed")
-        if rows.isEmpty():
-            return comp
-        rows = materialise(branch(rows.join(classes.select("cls", "sig"), "cls"), NEXT_LEVELS), "paths")
+class Texts:
+    """Looks up the texts of classes by the id of their first row, without moving the texts of others."""
 
+    def __init__(self, docs: DataFrame, classes: DataFrame, width: int, repeats: bool) -> None:
+        self.docs, self.width, self.repeats = text_bytes(docs, F.col("doc_id")), width, repeats
+        self.named = classes.select("cls", "hi", "lo", "first_id")
 
-def with_comp(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    a, b = comp.toDF("a", "comp_a"), comp.toDF("b", "comp_b")
-    return pairs.join(a, "a", "left").join(b, "b", "left").select("a", "b", F.coalesce("comp_a", "a").alias("comp_a"), F.coalesce("comp_b", "b").alias("comp_b"))
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """cls and text of all classes in the pairs; a class's key tells rows of one id apart."""
+        wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(self.named, "cls"), "wanted")
+        slot = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
+        marks = wanted.select(F.pmod(F.xxhash64("first_id"), F.lit(MARKS)).alias("slot")).select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bit"))
+        table = np.zeros(MARKS // 64, np.int64)
+        for r in marks.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
+            table[r.word] = r.bits
+        sent = self.docs.sparkSession.sparkContext.broadcast(table)
 
+        @F.pandas_udf("boolean")
+        def may_be_wanted(slots: pd.Series) -> pd.Series:
+            x = slots.to_numpy()
+            return pd.Series((sent.value[x >> 6] >> (x & 63)) & 1 == 1)
 
-def texts_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """cls and the text of one row for each class in the pairs; the key tells rows of one id apart."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "hi", "lo", "first_id"), "cls")
-    found = wanted.join(text_bytes(docs, F.col("doc_id")), F.col("first_id").eqNullSafe(F.col("doc_id")))
+        found = wanted.join(self.docs.where(may_be_wanted(slot)), F.col("first_id").eqNullSafe(F.col("doc_id")))
+        width = self.width
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = [set_key(shingle_set(t, width)) == (hi, lo) for t, hi, lo in zip(batch["text"].to_pylist(), batch["hi"].to_pylist(), batch["lo"].to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch["cls"], batch["text"]], ["cls", "text"]).filter(pa.array(keep, pa.bool_()))
+
+        texts = found.select("cls", "hi", "lo", "text").mapInArrow(run, "cls long, text binary")
+        return materialise(texts.dropDuplicates(["cls"]) if self.repeats else texts, "texts")
+
+
+def linked(docs: DataFrame, classes: DataFrame, width: int, percent: int, repeats: bool) -> DataFrame:
+    """cls and comp of the classes that have a confirmed link."""
+    texts = Texts(docs, classes, width, repeats)
+    signed, checks = classes.select("cls", "sig"), classes.select("cls", "check")
+    rows = sized(materialise(branch(classes.select("cls", "bits", "sig"), FIRST_LEVELS, TREES), "paths"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs.distinct(), "candidates")
+        return materialise(confirm(pairs, texts.of(pairs), width, percent), "links")
+
+    # every node's least class first: it joins most of what belongs together
+    links = confirmed(stars(rows, "least"))
+    seed = 0
+    while True:
+        mixed = mixed_nodes(rows, settled(links), seed)
+        large = mixed.where(F.col("size") > SMALL)
+        pairs = exhaustive(mixed.where(F.col("size") <= SMALL), checks, BEST)
+        for i in range(LEADERS):
+            pairs = pairs.unionByName(stars(large.where(F.col("comp") != F.col(f"l{i}.comp")), f"l{i}"))
+        links = links.unionByName(confirmed(pairs))
+        still = mixed_nodes(rows.where(F.col("size") <= SMALL), settled(links), seed)
+        links = links.unionByName(confirmed(exhaustive(still, checks, None)))
+        if large.isEmpty():
+            return components(links)
+        rows = sized(materialise(branch(large.join(signed, "cls"), NEXT_LEVELS), "paths"))
+        seed += 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [set_key(shingle_set(t, width)) == (hi, lo) for t, hi, lo in zip(batch["text"].to_pylist(), batch["hi"].to_pylist(), batch["lo"].to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["cls"], batch["text"]], ["cls", "text"]).filter(pa.array(keep, pa.bool_()))
 
-    return found.select("cls", "hi", "lo", "text").mapInArrow(run, "cls long, text binary")
+def settled(links: DataFrame) -> DataFrame:
+    """cls and comp, coarsely: classes of one comp are linked, but a component may still be in several."""
+    both = links.select("a", "b").union(links.select("b", "a")).toDF("cls", "other")
+    comp = both.groupBy("cls").agg(F.least(F.min("other"), F.col("cls")).alias("comp"))
+    for _ in range(2):
+        comp = materialise(comp.join(comp.toDF("comp", "further"), "comp").select("cls", F.col("further").alias("comp")), "settled")
+    return comp
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id (the least id reachable) and kept."""
-    spark = docs.sparkSession
     docs = spread(docs.select("doc_id", "text"))
     signed = materialise(signatures(docs, width), "signatures")
     rows = signed.select("doc_id", "n", "hi", "lo")
-    grouped = signed.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("first_id"), F.min("bits").alias("bits"), F.min("sig").alias("sig"))
+    grouped = signed.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("first_id"), F.min("bits").alias("bits"), F.min("sig").alias("sig"), F.min("check").alias("check"))
     classes = materialise(grouped.withColumn("cls", F.monotonically_increasing_id()), "classes")
     repeats = not signed.groupBy("doc_id").count().where("count > 1").isEmpty()
-    comp = linked(spark, docs, classes, width, percent, repeats)
+    comp = linked(docs, classes, width, percent, repeats)
     named = classes.select("cls", "hi", "lo", "first_id").join(comp, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     by_key = named.join(least, "comp").select("hi", "lo", "component_id")

@@ -32,7 +32,7 @@ PATTERNS = {
 #: A letter that a text must hold to be searched at all.
 NEEDS = {"email": "@", "phone": "+"}
 #: Code points of context on the left, rounds of scoring, and what makes a pattern trusted.
-CONTEXT, ROUNDS, LEAST_SEEDS, LEAST_TRUST = 40, 3, 3, 0.6
+CONTEXT, ROUNDS, LEAST_SEEDS, LEAST_TRUST = 40, 3, 5, 0.8
 SPAN = "struct<st:int,en:int,v:string>"
 
 

@@ -59,11 +59,11 @@ def test_all_pairs(spark, width, seed):
 
 def test_one_large_family(spark, monkeypatch):
     """Nodes far above the exhaustive size, with links only here and there."""
-    monkeypatch.setattr(near_dup, "SMALL", 8)
+    monkeypatch.setattr(near_dup, "SMALL", 24)
     rows = families(3, 1, 1, [0.0])
     r = random.Random(5)
     base = [f"w{r.randint(0, 500)}" for _ in range(100)]
-    rows = [(i, " ".join(w if r.random() > 0.05 else f"x{r.randint(0, 999)}" for w in base)) for i in range(150)] + [(200 + i, t) for i, t in rows]
+    rows = [(i, " ".join(w if r.random() > 0.05 else f"x{r.randint(0, 999)}" for w in base)) for i in range(70)] + [(200 + i, t) for i, t in rows]
     assert found(spark, rows, 2) == brute(rows, 2)
 
 
@@ -88,7 +88,7 @@ def test_branching_keeps_similar_pairs():
     for _ in range(400):
         a = r.integers(0, 2**63, 90).astype(np.uint64)
         b = np.concatenate([a[:80], r.integers(0, 2**63, 10).astype(np.uint64)])
-        sig = np.stack([near_dup.minwise(np.unique(a)), near_dup.minwise(np.unique(b))])
+        sig = np.stack([near_dup.minwise(np.unique(a)), near_dup.minwise(np.unique(b))])[:, : near_dup.SIZE]
         nodes = np.tile(near_dup.mix(np.arange(1, near_dup.TREES + 1, dtype=np.uint64)), 2)
         owner = np.repeat([0, 1], near_dup.TREES)
         for _ in range(near_dup.FIRST_LEVELS):
