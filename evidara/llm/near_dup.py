@@ -2,7 +2,8 @@
 
 1. Equal shingle sets are one class; the rest works on classes.
 2. Every class has SIZE minwise values. In each tree a node chooses one position, or with some chance two; a class goes to the
-   child named by its value there. How a path begins depends on the class alone, so the first levels need no shuffle.
+   child named by its value there. How a path begins depends on the class alone, so the first levels need no shuffle. Below
+   them two positions are likelier, so that similar pairs survive at any depth.
 3. Every class is compared with its node's least class; candidates whose sketches agree are confirmed on the full sets, and
    the links found make coarse components.
 4. Only nodes that hold more than one component go on. One of up to SMALL classes is compared exhaustively across its
@@ -10,7 +11,8 @@
    compared with a few leaders of other components, and the node branches on until it is small or within one component. No
    partner or candidate is ever capped.
 
-The trees are independent; at the least similarity a pair is missed by all with a chance of about 4e-6.
+The trees are independent; at the least similarity a pair is missed by all with a chance of about 4e-6 in nodes that are
+small after the first levels, and of about 5e-4 at worst where they stay large without end.
 
 Rules for odd input: a text without words (or null) has no shingles and is linked with nothing; a text of fewer words than a
 shingle has is one shingle; repeated rows are linked with each other; rows of one id with different texts are told apart by
@@ -36,6 +38,8 @@ TREES = 12
 #: Levels of the paths before nodes are first counted, and levels between two confirmations after that.
 FIRST_LEVELS = 3
 NEXT_LEVELS = 3
+#: One node in so many chooses a second position: in the first levels, and below them.
+FIRST_SECONDS, NEXT_SECONDS = 4, 2
 #: Classes in a node that is compared exhaustively; leaders of a larger node.
 SMALL = 8192
 LEADERS = 4
@@ -108,17 +112,18 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, n long, hi long, lo long, sig binary, check binary, bits long")
 
 
-def step(nodes: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def step(nodes: np.ndarray, sig: np.ndarray, seconds: int = FIRST_SECONDS) -> tuple[np.ndarray, np.ndarray]:
     """Children of each (node, class): their nodes, and the rows that they come from.
 
-    A node always chooses one position and with a chance of 1/4 another: 1 / 0.8 on average, so that a pair of the least
-    similarity neither dies out nor multiplies. The choice depends on the node alone.
+    A node always chooses one position and one node in so many (seconds) another. With 4 that is 1 / 0.8 on average: a pair of
+    the least similarity neither dies out nor multiplies. With 2 such a pair multiplies by 1.2 a level, so it has a fair chance
+    to live on at any depth, while pairs below 2/3 die out. The choice depends on the node alone.
     """
     rows = np.arange(len(nodes))
     draw = mix(nodes + U64(0x51ED270B))
     first = (draw % U64(SIZE)).astype(np.int64)
     second = (first + 1 + ((draw >> U64(20)) % U64(SIZE - 1)).astype(np.int64)) % SIZE
-    two = (draw >> U64(40)) % U64(4) == 0
+    two = (draw >> U64(40)) % U64(seconds) == 0
     at, pos = np.concatenate([rows, rows[two]]), np.concatenate([first, second[two]])
     return mix(nodes[at] * U64(0x9E3779B97F4A7C15) + mix(sig[at, pos].astype(np.uint64) + (pos.astype(np.uint64) << U64(40)))), at
 
@@ -138,7 +143,7 @@ def branch(rows: DataFrame, levels: int, roots: int = 0) -> DataFrame:
             else:
                 owner, nodes = np.arange(len(cls)), batch["node"].to_numpy().view(np.uint64)
             for _ in range(levels):
-                nodes, at = step(nodes, sig[owner])
+                nodes, at = step(nodes, sig[owner], FIRST_SECONDS if roots else NEXT_SECONDS)
                 owner = owner[at]
             yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(cls[owner]), pa.array(bits[owner])], ["node", "cls", "bits"])
 
