@@ -7,9 +7,9 @@
 3. Every class is compared with its node's least class; candidates whose sketches agree are confirmed on the full sets, and
    the links found make coarse components.
 4. Only nodes that hold more than one component go on. One of up to SMALL classes is compared exhaustively across its
-   components: the most alike candidates first, then all that still stand between components. In a larger one every class is
-   compared with a few leaders of other components, and the node branches on until it is small or within one component. No
-   partner or candidate is ever capped.
+   components: sketches find the rows in doubt, and their full sets are compared within the node, which gives only as many
+   links as join its components. In a larger one every class is compared with a few leaders of other components, and the node
+   branches on until it is small or within one component. No partner or candidate is ever capped.
 
 The trees are independent; at the least similarity a pair is missed by all with a chance of about 4e-6 in nodes that are
 small after the first levels, and of about 5e-4 at worst where they stay large without end.
@@ -43,8 +43,10 @@ FIRST_SECONDS, NEXT_SECONDS = 4, 2
 #: Classes in a node that is compared exhaustively; leaders of a larger node.
 SMALL = 8192
 LEADERS = 4
-#: Of a class's candidates in each other component, how many are confirmed before the rest.
-BEST = 2
+#: Sets of up to so many shingles go to their nodes; larger ones are looked up for each pair. Bounds a node to 64 MiB of sets.
+SET_MOST = 1024
+#: Sets that one is compared with before what they join counts as one.
+AT_ONCE = 64
 #: Bits of the filter for wanted ids: a fixed size, so it can be broadcast at any scale.
 MARKS = 1 << 24
 #: Of 64 sketch bits, pairs of similarity 0.8 agree on 57.6 on average (deviation 2.4); of CHECKS bytes, on 0.8 (0.025).
@@ -155,66 +157,113 @@ def agree(a: str, b: str) -> F.Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= 64 - LEAST_AGREEING
 
 
-def exhaustive(small: DataFrame, checks: DataFrame, best: int | None) -> DataFrame:
-    """Pairs (a, b) of different components within small nodes that may be similar.
+def by_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Whole nodes, from rows that come sorted by node: the rows after the last change of node wait for the next batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        node = batch["node"].to_numpy()
+        change = np.flatnonzero(node[1:] != node[:-1])
+        if held and held[-1]["node"][-1].as_py() != node[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        if len(change):
+            yield pa.Table.from_batches([*held, batch.slice(0, int(change[-1]) + 1)])
+            held, batch = [], batch.slice(int(change[-1]) + 1)
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class Node:
+    """The classes of one small node, those of its largest component last: these need no comparison with each other."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        comp = rows["comp"].to_numpy()
+        _, at, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+        order = np.argsort(at == sizes.argmax(), kind="stable")
+        self.first = int(len(comp) - sizes.max())
+        self.rows = rows.take(order)
+        self.cls, self.comp = self.rows["cls"].to_numpy(), comp[order]
+        self.bits = self.rows["bits"].to_numpy().view(np.uint64)
+        self.check = np.frombuffer(b"".join(self.rows["check"].to_pylist()), np.uint8).reshape(-1, CHECKS)
+
+    def like(self, i: int) -> np.ndarray:
+        """Places after i of the classes of other components whose sketches are like that of i, the most alike first."""
+        rest = slice(i + 1, None)
+        near = np.flatnonzero((self.comp[rest] != self.comp[i]) & (np.bitwise_count(self.bits[rest] ^ self.bits[i]) <= 64 - LEAST_AGREEING)) + i + 1
+        share = (self.check[near] == self.check[i]).mean(axis=1) if len(near) else np.zeros(0)
+        order = np.argsort(-share, kind="stable")
+        return near[order][share[order] >= LEAST_LIKE]
+
+
+def nodes_of(table: pa.Table) -> Iterator[Node]:
+    node = table["node"].to_numpy()
+    cuts = np.r_[0, np.flatnonzero(node[1:] != node[:-1]) + 1, len(node)]
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+        yield Node(table.slice(i, j - i))
+
+
+def in_doubt(small: DataFrame, checks: DataFrame) -> DataFrame:
+    """node, cls, bits and comp of the rows of small nodes that are like a row of another component."""
+    kept = small.select("node", "cls", "bits", "comp").join(checks, "cls").select("node", "cls", "bits", "comp", "check")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in by_node(batches):
+            for x in nodes_of(table):
+                some = np.zeros(len(x.cls), bool)
+                for i in range(x.first):
+                    near = x.like(i)
+                    some[near] = True
+                    some[i] |= len(near) > 0
+                yield from x.rows.select(["node", "cls", "bits", "comp"]).filter(pa.array(some)).to_batches()
+
+    return kept.repartition(F.col("node")).sortWithinPartitions("node", "cls").mapInArrow(run, "node long, cls long, bits long, comp long")
+
 
-    With best, each class names its most alike candidates in each other component only; the rest is for a later pass.
+def exhaustive(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of each small node: all sets that are like each other are compared in full.
+
+    Within a node what a link joins is one component from then on, so a node has fewer links than classes. Where a set is
+    missing, as it is large, the pair comes out unsure, for confirm().
     """
-    kept = small.select("node", "cls", "bits", "comp").join(checks, "cls").select("node", "cls", "bits", "comp", "check")
-    ordered = kept.repartition(F.col("node")).sortWithinPartitions("node", "cls")
-
-    def compare(cls: np.ndarray, bits: np.ndarray, comp: np.ndarray, check: np.ndarray) -> Iterator[np.ndarray]:
-        names, at = np.unique(comp, return_inverse=True)
-        # the largest component need not be compared with itself, nor any pair twice
-        order = np.argsort(at == np.bincount(at).argmax(), kind="stable")
-        cls, bits, comp, check = cls[order], bits[order], comp[order], check[order]
-        for i in range(int((at != np.bincount(at).argmax()).sum())):
-            rest = slice(i + 1, None)
-            near = np.flatnonzero((np.bitwise_count(bits[rest] ^ bits[i]) <= 64 - LEAST_AGREEING) & (comp[rest] != comp[i])) + i + 1
-            if not len(near):
+
+    def linked_to(x: Node, i: int, near: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+        sizes = np.array([len(sets[j]) for j in near])
+        all_of = np.concatenate([sets[j] for j in near])
+        at = np.minimum(np.searchsorted(sets[i], all_of), len(sets[i]) - 1)
+        both = np.add.reduceat((sets[i][at] == all_of).astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]])
+        return 100 * both >= percent * (len(sets[i]) + sizes - both)
+
+    def compare(x: Node) -> Iterator[tuple[int, int, bool]]:
+        sets = [None if v is None else np.frombuffer(v, np.uint64) for v in x.rows["shingles"].to_pylist()]
+        there = np.array([v is not None for v in sets])
+        for i in range(x.first):
+            near = x.like(i)
+            if there[i]:
+                yield from ((x.cls[i], x.cls[j], False) for j in near[~there[near]])
+                near = near[there[near]]
+            else:
+                yield from ((x.cls[i], x.cls[j], False) for j in near)
                 continue
-            like = (check[near] == check[i]).mean(axis=1)
-            near, like = near[like >= LEAST_LIKE], like[like >= LEAST_LIKE]
-            if best is not None and len(near) > best:
-                rank = np.lexsort((-like, comp[near]))
-                new = np.r_[True, comp[near][rank][1:] != comp[near][rank][:-1]]
-                place = np.arange(len(rank)) - np.maximum.accumulate(np.where(new, np.arange(len(rank)), 0))
-                near = near[rank[place < best]]
-            yield np.stack([np.minimum(cls[i], cls[near]), np.maximum(cls[i], cls[near])])
+            while len(near):
+                now, near = near[:AT_ONCE], near[AT_ONCE:]
+                for j in now[linked_to(x, i, now, sets)]:
+                    if x.comp[i] != x.comp[j]:
+                        x.comp[x.comp == x.comp[j]] = x.comp[i]
+                        yield x.cls[i], x.cls[j], True
+                near = near[x.comp[near] != x.comp[i]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush() -> pa.RecordBatch:
-            whole = pa.Table.from_batches(held).combine_chunks()
-            node, cls, bits, comp = (whole[c].to_numpy() for c in ("node", "cls", "bits", "comp"))
-            check = np.frombuffer(b"".join(whole["check"].to_pylist()), np.uint8).reshape(-1, CHECKS)
-            cuts = np.r_[0, np.flatnonzero(node[1:] != node[:-1]) + 1, len(node)]
-            pairs = [np.zeros((2, 0), np.int64)]
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                pairs += compare(cls[i:j], bits[i:j].view(np.uint64), comp[i:j], check[i:j])
-            found = np.unique(np.concatenate(pairs, axis=1), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
-
-        # a node lies in neighbouring batches: the rows after the last change of node wait for the next batch
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            node = batch["node"].to_numpy()
-            change = np.flatnonzero(node[1:] != node[:-1])
-            if held and held[-1]["node"][-1].as_py() != node[0]:
-                yield flush()
-                held.clear()
-            if len(change):
-                held.append(batch.slice(0, int(change[-1]) + 1))
-                yield flush()
-                held.clear()
-                batch = batch.slice(int(change[-1]) + 1)
-            held.append(batch)
-        if held:
-            yield flush()
-
-    return ordered.mapInArrow(run, "a long, b long")
+        for table in by_node(batches):
+            for x in nodes_of(table):
+                if found := list(compare(x)):
+                    a, b, sure = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sure, pa.bool_())], ["a", "b", "sure"])
+
+    ordered = rows.repartition(F.col("node")).sortWithinPartitions("node", "cls")
+    return ordered.mapInArrow(run, "a long, b long, sure boolean")
 
 
 def sized(rows: DataFrame) -> DataFrame:
@@ -288,8 +337,23 @@ class Texts:
         self.named = classes.select("cls", "hi", "lo", "first_id")
 
     def of(self, pairs: DataFrame) -> DataFrame:
-        """cls and text of all classes in the pairs; a class's key tells rows of one id apart."""
-        wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(self.named, "cls"), "wanted")
+        """cls and text of all classes in the pairs."""
+        return self.some(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """cls and the set of each wanted class, null if it is larger than SET_MOST."""
+        width = self.width
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sets = (shingle_set(t, width) for t in batch["text"].to_pylist())
+                yield pa.RecordBatch.from_arrays([batch["cls"], pa.array([x.tobytes() if len(x) <= SET_MOST else None for x in sets], pa.binary())], ["cls", "shingles"])
+
+        return self.some(wanted).mapInArrow(run, "cls long, shingles binary")
+
+    def some(self, classes: DataFrame) -> DataFrame:
+        """cls and text of the given classes; a class's key tells rows of one id apart."""
+        wanted = materialise(classes.join(self.named, "cls"), "wanted")
         slot = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))
         marks = wanted.select(F.pmod(F.xxhash64("first_id"), F.lit(MARKS)).alias("slot")).select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bit"))
         table = np.zeros(MARKS // 64, np.int64)
@@ -330,12 +394,13 @@ def linked(docs: DataFrame, classes: DataFrame, width: int, percent: int, repeat
     while True:
         mixed = mixed_nodes(rows, settled(links), seed)
         large = mixed.where(F.col("size") > SMALL)
-        pairs = exhaustive(mixed.where(F.col("size") <= SMALL), checks, BEST)
+        doubt = materialise(in_doubt(mixed.where(F.col("size") <= SMALL), checks), "doubt")
+        sets = texts.sets(doubt.select("cls").distinct())
+        found = materialise(exhaustive(doubt.join(checks, "cls").join(sets, "cls"), percent), "found")
+        pairs = found.where("not sure").select("a", "b")
         for i in range(LEADERS):
             pairs = pairs.unionByName(stars(large.where(F.col("comp") != F.col(f"l{i}.comp")), f"l{i}"))
-        links = links.unionByName(confirmed(pairs))
-        still = mixed_nodes(rows.where(F.col("size") <= SMALL), settled(links), seed)
-        links = links.unionByName(confirmed(exhaustive(still, checks, None)))
+        links = links.unionByName(found.where("sure").select("a", "b")).unionByName(confirmed(pairs))
         if large.isEmpty():
             return components(links)
         rows = sized(materialise(branch(large.join(signed, "cls"), NEXT_LEVELS), "paths"))
