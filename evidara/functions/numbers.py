@@ -58,7 +58,8 @@ def equivalent(a: Column, b: Column, quantum_a: Column, quantum_b: Column) -> Co
 def presented(value: Column) -> Column:
     """Scaled to billion or million and rounded half up to two places."""
     v, size = double(value), F.abs(double(value))
-    return F.when(size >= 1e9, F.concat(F.format_number(F.round(v / 1e9, 2), "0.00"), F.lit(" billion"))).when(size >= 1e6, F.concat(F.format_number(F.round(v / 1e6, 2), "0.00"), F.lit(" million"))).otherwise(F.format_number(F.round(v, 2), "0.00"))
+    shown = lambda x, unit: F.format_string(f"%.2f{unit}", F.round(x, 2))
+    return F.when(size >= 1e9, shown(v / 1e9, " billion")).when(size >= 1e6, shown(v / 1e6, " million")).when(v.isNotNull(), shown(v, ""))
 
 
 def fact_id(*parts: Column) -> Column:

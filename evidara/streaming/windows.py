@@ -32,5 +32,10 @@ def sessions(events: DataFrame, gap: str = "2 hours") -> DataFrame:
     return g.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "events")
 
 
-def once(events: DataFrame, key: str = "event_id") -> DataFrame:
-    return timed(events).dropDuplicatesWithinWatermark([key])
+def once(events: DataFrame, key: str = "event_id", late: str = "1 hour") -> DataFrame:
+    """The first event of each key.
+
+    A watermark begins at 1970-01-01, so what is not later would be dropped; it runs on times moved a thousand years on.
+    """
+    moved = events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("_moved", F.col("ts") + F.expr("INTERVAL 1000 YEAR"))
+    return moved.withWatermark("_moved", late).dropDuplicatesWithinWatermark([key]).drop("_moved")
