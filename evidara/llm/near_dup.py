@@ -11,8 +11,9 @@
    links as join its components. In a larger one every class is compared with a few leaders of other components, and the node
    branches on until it is small or within one component. No partner or candidate is ever capped.
 
-The trees are independent; at the least similarity a pair is missed by all with a chance of about 4e-6 in nodes that are
-small after the first levels, and of about 5e-4 at worst where they stay large without end.
+The trees share the minwise values, whose agreement varies between pairs. Averaged over that, a pair of the least similarity
+meets in no tree with a chance of about 6e-5 where nodes are small after the first levels, and of about 2e-2 at worst where they
+stay large without end (at similarity 0.85: 5e-6 and 1.5e-3). Other links of its group may still join such a pair.
 
 Rules for odd input: a text without words (or null) has no shingles and is linked with nothing; a text of fewer words than a
 shingle has is one shingle; repeated rows are linked with each other; rows of one id with different texts are told apart by
