@@ -434,13 +434,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without all but one of each component, with their own columns.
+    """The documents without all but one row of each component, with their own columns.
 
-    The row of the least id stays; of repeated rows with that id, one stays. Documents without words stay.
+    Rows are judged each by id and text, so rows that share an id (or have none) stand apart. The least id stays, any id before
+    none, then the least digest of the text; of rows alike in both, the one whose columns come first as JSON. Rows without words stay.
     """
-    marked = materialise(near_duplicates(docs, width, percent), "near-duplicates")
-    drop = marked.where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(drop, docs["doc_id"].eqNullSafe(drop["doc_id"]), "left_anti")
-    repeated = marked.where("kept and n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(repeated, "doc_id", "left_anti").unionByName(once.select(*left.columns))
+    digest = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    key = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), digest.alias("digest"))
+    marked = materialise(near_duplicates(docs.select(key.alias("doc_id"), "text"), width, percent), "near-duplicates")
+    drop = marked.where(~F.col("kept")).select(F.col("doc_id").alias("_key")).distinct()
+    repeated = marked.where("kept and n_shingles > 0").groupBy(F.col("doc_id").alias("_key")).agg(F.count("*").alias("n")).where("n > 1").select("_key")
+    left = docs.withColumn("_key", key).join(drop, "_key", "left_anti")
+    whole = F.struct(*docs.columns)
+    once = left.join(repeated, "_key", "left_semi").groupBy("_key").agg(F.min_by(whole, F.to_json(whole)).alias("_row")).select("_row.*")
+    return left.join(repeated, "_key", "left_anti").select(*docs.columns).unionByName(once)

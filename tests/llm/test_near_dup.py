@@ -82,6 +82,20 @@ def test_same_id_with_other_texts(spark):
     assert found(spark, rows, 2) == brute(rows, 2)
 
 
+def test_keep_one_judges_rows(spark):
+    a, b, c, d = "one two three four five six", "red green blue white black pink", "up down left right in out", "sun moon star sky sea land"
+
+    def kept(rows):
+        return sorted(((r.doc_id, r.text) for r in near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+
+    # a null id in a group does not take clean rows of null id along
+    assert kept([(1, a), (None, a), (None, b), (None, c)]) == sorted([(1, a), (None, b), (None, c)], key=str)
+    # the text that shares its id with a dropped copy keeps its representative
+    assert kept([(0, b), (1, a), (1, b), (2, d)]) == [(0, b), (1, a), (2, d)]
+    # exact copies without ids leave one
+    assert kept([(None, a), (None, a), (None, a + " "), (None, d)])[-1] == (None, d) and len(kept([(None, a), (None, a), (None, a + " "), (None, d)])) == 2
+
+
 def test_branching_keeps_similar_pairs():
     """Twelve trees find pairs of similarity 0.8 and beyond."""
     r, lost = np.random.default_rng(0), 0
