@@ -29,6 +29,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 SILENT = frozenset("script style noscript template svg title head iframe object canvas select option textarea button datalist audio video math".split())
 ROLELESS = frozenset("nav footer aside form dialog menu".split())
 MAIN = frozenset("article main".split())
+#: Tags that may stand in a head; any other ends it.
+OF_HEAD = frozenset("head meta link title style script base noscript template".split())
 #: Tags that end an open one of the same kind.
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul figure".split())
@@ -41,16 +43,22 @@ NOISE = frozenset(
 LEAST_IMPORTANCE, LINKED = 0.3, 0.5
 LEAST_PAGES, LEAST_SHARE = 5, 0.05
 SALTS = 16
+#: A named element stays in if what else would stay is under this share of what it holds.
+LEAST_LEFT = 0.1
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Page(HTMLParser):
-    """Collects blocks: (style path, text, characters within links, whether in the article, whether in noise)."""
+    """Collects blocks: (style path, text, characters within links, whether in the article, whether in noise by tag or hidden, and
+    the elements that are noise by name around it, by number)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, str, int, bool, bool]] = []
-        self.stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]
+        self.blocks: list[tuple[str, str, int, bool, bool, frozenset[int]]] = []
+        self.stack: list[tuple[str, str, bool, bool, bool, frozenset[int]]] = [("", "", False, False, False, frozenset())]
+        #: Elements that are noise by name and hold the first article, or are it.
+        self.around: frozenset[int] | None = None
+        self.named = 0
         self.links = self.linked = 0
         self.buffer: list[str] = []
 
@@ -59,6 +67,8 @@ class Page(HTMLParser):
             self.buffer.append("\n")
         if tag not in INLINE:
             self.flush()
+        if tag not in OF_HEAD:
+            self.leave_head(tag == "body")
         if tag in ENDS_P:
             self.leave({"p"})
         if tag in CLOSES:
@@ -67,13 +77,19 @@ class Page(HTMLParser):
             return
         a = {k: v or "" for k, v in attrs}
         names = " ".join((a.get("class", ""), a.get("id", ""), a.get("role", "")))
-        _, path, silent, main, noise = self.stack[-1]
-        noise = noise or tag in ROLELESS or tag == "header" and not main or any(w.lower() in NOISE for w in NAME.findall(names))
+        _, path, silent, main, noise, named = self.stack[-1]
+        noise = noise or tag in ROLELESS or tag == "header" and not main
+        if tag not in ("html", "body") and any(w.lower() in NOISE for w in NAME.findall(names)):
+            self.named += 1
+            named |= {self.named}
         noise = noise or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "")
         if tag not in INLINE:
             path = f"{path}/{tag}.{re.sub(r'[0-9]+', '', a.get('class', ''))}#{re.sub(r'[0-9]+', '', a.get('id', ''))}"
         self.links += tag == "a"
-        self.stack.append((tag, path, silent or tag in SILENT, main or tag in MAIN or a.get("role") == "main", noise))
+        main = main or tag in MAIN or a.get("role") == "main"
+        if main and not noise and self.around is None:
+            self.around = named
+        self.stack.append((tag, path, silent or tag in SILENT, main, noise, named))
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
@@ -100,7 +116,15 @@ class Page(HTMLParser):
             if self.stack[i][0] not in INLINE:
                 return
 
+    def leave_head(self, body: bool) -> None:
+        """End an open head that its end tag was left out of: what else is open in it ends only for the body."""
+        at = next((i for i, s in enumerate(self.stack) if s[0] == "head"), None)
+        if at is not None and (body or at == len(self.stack) - 1):
+            del self.stack[at:]
+
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self.leave_head(False)
         if not self.stack[-1][2]:
             self.buffer.append(data)
             self.linked += self.links > 0 and len(data.strip())
@@ -108,12 +132,25 @@ class Page(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.buffer).split())
         if text:
-            _, path, _, main, noise = self.stack[-1]
-            self.blocks.append((path, text, self.linked, main, noise))
+            _, path, _, main, noise, named = self.stack[-1]
+            self.blocks.append((path, text, self.linked, main, noise, named))
         self.buffer.clear()
         self.linked = 0
 
 
+def lifted(page: Page) -> frozenset[int]:
+    """Elements whose noise names do not count: those around the first article, and those without which next to nothing is left."""
+    out = page.around or frozenset()
+    held: dict[int, int] = {}
+    left = 0
+    for _, text, linked, _, noise, named in page.blocks:
+        size = 0 if noise else max(0, len(text) - linked)
+        left += 0 if named - out else size
+        for k in named - out:
+            held[k] = held.get(k, 0) + size
+    return out | {k for k, n in held.items() if left < LEAST_LEFT * n}
+
+
 def read(html: str) -> list[tuple[int, str, int]]:
     """Blocks of a page in order: style path (hashed), text, and its state: 0 goes, 1 stays, 2 is up to its importance."""
     page = Page()
@@ -123,9 +160,11 @@ def read(html: str) -> list[tuple[int, str, int]]:
     except AssertionError:  # the parser's own word for markup that it cannot read
         pass
     page.flush()
-    has_main = any(main and not noise for _, _, _, main, noise in page.blocks)
+    ignored = lifted(page)
+    blocks = [(path, text, linked, main, noise or bool(named - ignored)) for path, text, linked, main, noise, named in page.blocks]
+    has_main = any(main and not noise for _, _, _, main, noise in blocks)
     out = []
-    for path, text, linked, main, noise in page.blocks:
+    for path, text, linked, main, noise in blocks:
         if noise or linked > LINKED * len(text) and not main:
             state = 0
         else:

@@ -24,6 +24,30 @@ def test_read():
     assert texts("</p></div>x<![if y]>z") is not None
 
 
+BODY = "<p>The story itself, told at length.</p>"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f'<body class="no-sidebar"><article>{BODY}</article></body>',
+        f'<div class="content-with-sidebar"><article>{BODY}</article><div id="comments"><article>Me too</article></div></div>',
+        f'<article class="post tags-x">{BODY}</article>',
+        f'<div class="reader"><div class="share"><div id="related">{BODY}</div></div></div>',
+        f"<html><head><title>T</title><body>{BODY}</html>",
+        f'<head><meta charset="utf-8"><title>T</title><style>x</style>{BODY}',
+        f"<head><title>T</title><script>x</script><noscript><img></noscript><div>{BODY}</div>",
+    ],
+)
+def test_names_and_heads_do_not_empty_a_page(html):
+    assert texts(html) == ["The story itself, told at length."]
+
+
+def test_named_noise_still_goes():
+    assert texts(f'<head><title>T</title></head><div>{BODY}</div><div class="comments">Nice! {BODY}</div><div class="ad">Buy</div>') == ["The story itself, told at length."]
+    assert texts(f'<article>{BODY}<div class="share">Send</div></article><div class="related"><article>{BODY} Another</article></div>') == ["The story itself, told at length."]
+
+
 def page(i, extra=""):
     return f'<body><div class="top">Welcome to our site</div><div class="story"><p>Story number {i} has its own words {i * 7}.</p>{extra}</div><div class="legal">All rights kept</div></body>'
 
