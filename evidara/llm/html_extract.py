@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -39,9 +39,10 @@ NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist disqus discussion cookie cookies consent footer gdpr login masthead menu menubar modal nav navbar navigation navi newsletter notice notices alert "
     "overlay pagination pager paywall popup promo promoted promotion recommended recommendations related reply replies respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets complementary contentinfo dialog reader".split()
 )
-#: Importance under which a branch goes, what noise and links weigh, and the share of pages that makes a node count.
+#: Importance under which a block goes, and the share of links that takes one out.
 LEAST_IMPORTANCE, LINKED = 0.3, 0.5
-LEAST_PAGES, LEAST_SHARE = 5, 0.05
+#: States that are judged, and the pages that are thought to differ beforehand.
+PRIOR_PAGES = {2: 1}
 SALTS = 16
 #: A named element stays in if what else would stay is under this share of what it holds.
 LEAST_LEFT = 0.1
@@ -173,46 +174,59 @@ def read(html: str) -> list[tuple[int, str, int]]:
     return out
 
 
-def blocks_of(pages: DataFrame) -> DataFrame:
-    """row (page_id, url), host, a digest of the whole page and its blocks. Written out."""
+def parsed(pages: DataFrame, texts: bool) -> DataFrame:
+    """Each row as host and page (digests) with, of its blocks that roles alone do not take out, either the keys (path, text
+    digest, state) or row (page_id, url) and the texts."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rows = spread(pages).select(F.struct("page_id", "url").alias("row"), host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    block = pa.struct([("path", pa.int64()), ("text", pa.string()), ("state", pa.int32())])
+    rows = spread(pages).select(F.struct("page_id", "url").alias("row"), F.xxhash64(host).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    key = pa.struct([("path", pa.int64()), ("text", pa.int64()), ("state", pa.int32())])
+    kind = rows.schema["row"].dataType.simpleString()
+    names, schema = (["row", "host", "page", "texts"], f"row {kind}, host long, page long, texts array<string>") if texts else (["host", "page", "keys"], "host long, page long, keys array<struct<path:long,text:long,state:int>>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, digest = [], []
             for html in batch["html"].to_pylist():
-                own = read(html)
-                found.append([{"path": p, "text": t, "state": s} for p, t, s in own])
+                own = [b for b in read(html) if b[2]]
+                found.append([t for _, t, _ in own] if texts else [{"path": p, "text": xxh3_64_intdigest(t) - (1 << 63), "state": s} for p, t, s in own])
                 digest.append(xxh3_64_intdigest(html) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([batch["row"], batch["host"], pa.array(digest, pa.int64()), pa.array(found, pa.list_(block))], ["row", "host", "digest", "blocks"])
+            columns = [batch["host"], pa.array(digest, pa.int64()), pa.array(found, pa.list_(pa.string() if texts else key))]
+            yield pa.RecordBatch.from_arrays([batch["row"], *columns] if texts else columns, names)
 
-    kind = rows.schema["row"].dataType.simpleString()
-    return materialise(rows.mapInArrow(run, f"row {kind}, host string, digest long, blocks array<struct<path:long,text:string,state:int>>"), "blocks")
+    return rows.mapInArrow(run, schema)
 
 
-def low_importance(read_pages: DataFrame) -> DataFrame:
-    """host and the style paths whose branches go.
+def low(k: Column, pages: Column, prior: int) -> Column:
+    """Whether what some pages of a node say alike is of low importance; k is its count, or their weighted geometric mean.
 
-    A path counts only on LEAST_SHARE of its host's pages or more, so a host's list is at most 1 / LEAST_SHARE times as
-    long as a page has paths.
+    Entropy is taken over the node's own pages and some more, thought to differ, that stand for what is believed beforehand.
     """
-    distinct = read_pages.select("host", "digest", F.expr("array_distinct(transform(filter(blocks, b -> b.state = 2), b -> struct(b.path AS path, xxhash64(b.text) AS text)))").alias("seen"))
-    once = distinct.groupBy("host", "digest").agg(F.first("seen").alias("seen"))
-    hosts = once.groupBy("host").agg(F.count("*").alias("pages"))
-    texts = once.select("host", F.explode("seen").alias("s")).groupBy("host", "s.path", "s.text").agg(F.count("*").alias("k"))
-    nodes = texts.groupBy("host", "path").agg(F.sum("k").alias("n"), F.max("k").alias("most"), F.sum(F.col("k") * F.log("k")).alias("klogk"))
-    judged = nodes.join(hosts, "host").where((F.col("pages") >= LEAST_PAGES) & (F.col("n") >= LEAST_SHARE * F.col("pages")))
-    entropy = F.col("klogk") / F.col("n") / F.log("pages")
-    return judged.where(1 - entropy < LEAST_IMPORTANCE).groupBy("host").agg(F.collect_set("path").alias("low"))
+    return 1 - F.log(k) / F.log(pages + prior) < LEAST_IMPORTANCE
+
+
+def branches(once: DataFrame) -> DataFrame:
+    """host, path, text and the states in which a block of these goes: by its own importance or by that of its style node."""
+    seen = F.expr("array_distinct(transform(filter(keys, b -> b.state IN (JUDGED)), b -> struct(b.path AS path, b.text AS text)))".replace("JUDGED", ", ".join(map(str, PRIOR_PAGES))))
+    paths = F.expr("array_distinct(transform(seen, s -> struct(s.path AS path, cast(null AS long) AS text)))")
+    each = once.select("host", seen.alias("seen")).select("host", F.explode(F.concat("seen", paths)).alias("s"))
+    # without a text, k is the number of pages that have the path
+    texts = materialise(each.groupBy("host", "s.path", "s.text").agg(F.count("*").alias("k")), "styles")
+    some = F.when(F.col("text").isNotNull(), F.col("k"))
+    nodes = texts.groupBy("host", "path").agg(F.max(F.when(F.col("text").isNull(), F.col("k"))).alias("pages"), F.exp(F.sum(some * F.log("k")) / F.sum(some)).alias("mean"), F.max(some).alias("most"))
+    repeated = nodes.where("most > 1").drop("most").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = texts.where("text IS NOT NULL").withColumn("salt", F.pmod("text", F.lit(SALTS)).cast("int"))
+    goes = [F.when(low(F.col("k"), F.col("pages"), prior) | low(F.col("mean"), F.col("pages"), prior), state) for state, prior in PRIOR_PAGES.items()]
+    return salted.join(repeated, ["host", "path", "salt"]).select("host", "path", "text", F.array_compact(F.array(*goes)).alias("states")).where(F.size("states") > 0)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, the main text (blocks joined by an empty line) and its code points."""
-    found = blocks_of(pages)
-    low = low_importance(found).select("host", "low", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = found.withColumn("salt", F.pmod(F.xxhash64("digest", "row.page_id"), F.lit(SALTS)).cast("int"))
-    kept = F.expr("transform(filter(blocks, b -> b.state = 1 OR (b.state = 2 AND NOT coalesce(array_contains(low, b.path), false))), b -> b.text)")
-    out = salted.join(low, ["host", "salt"], "left").select("row.page_id", "row.url", F.concat_ws("\n\n", kept).alias("text"))
+    once = materialise(parsed(pages, False).groupBy("host", "page").agg(F.first("keys").alias("keys")), "pages")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    each = once.select("host", "page", F.posexplode("keys").alias("at", "b")).select("host", "page", "at", "b.*").withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int"))
+    going = each.join(branches(once).withColumn("salt", salts), ["host", "path", "text", "salt"]).where(F.array_contains("states", F.col("state")))
+    gone = materialise(going.groupBy("host", "page").agg(F.collect_set("at").alias("gone")), "gone").withColumn("salt", salts)
+    rows = parsed(pages, True).withColumn("salt", F.pmod(F.xxhash64("row.page_id"), F.lit(SALTS)).cast("int"))
+    kept = F.filter("texts", lambda t, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
+    out = rows.join(gone, ["host", "page", "salt"], "left").select("row.page_id", "row.url", F.concat_ws("\n\n", kept).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

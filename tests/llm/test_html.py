@@ -73,3 +73,17 @@ def test_main_text(pages):
     assert by[101].text.split("\n\n") == ["Title & more", "First bit é.", "Second one link.", "x", "y"]
     assert by[102].text == "" and by[103].text == "" and by[102].n_chars == 0
     assert all(r.n_chars == len(r.text) for r in rows)
+
+
+def plain(i, extra):
+    return f"<body><div><p>Story {i} is told in words like {i * 7}.</p></div>{extra}</body>"
+
+
+def test_boilerplate_of_few_pages_goes(spark):
+    """Identical blocks go on a small host, on a small share of a large one, and where one path has most pages."""
+    rows = [(i, "http://big.org/", plain(i, '<div class="legal">All rights kept</div>' if i < 4 else "")) for i in range(100)]
+    rows += [(i, "http://tiny.org/", plain(i, "<div>Read on</div>")) for i in range(200, 204)]
+    rows += [(i, "http://mid.org/", plain(i, f'<div class="box">{"Part of our series" if i < 320 else i}</div>' if i < 322 else "")) for i in range(300, 400)]
+    got = {r.page_id: r.text for r in he.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in (0, 3, 50, 200, 203, 305, 399):
+        assert got[i] == f"Story {i} is told in words like {i * 7}.", i
