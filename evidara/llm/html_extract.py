@@ -3,7 +3,8 @@
 The pages of a host are merged: nodes with the same path of tags and styles are one style node. Its importance falls with the
 entropy of its content over the host's pages: what says the same on every page is worth nothing, what is said once is
 worth everything. Tags and style names that state a role (navigation, advert, comment ...) and dense links weigh the node further.
-Branches of low importance are taken out of each page; what lies within a page's article is judged by its roles alone.
+Branches of low importance are taken out of each page. Within a page's article the same holds, with a prior for what it says: so many
+more pages must agree. An article with less than half of a page's text is a teaser: then all blocks are judged alike.
 
 Rules for odd input: null or empty html gives the empty text; a null url is a host of its own name, empty; repeated pages count
 once as evidence for their host and each give a row; broken markup is read as far as it goes; an empty table gives an
@@ -42,7 +43,9 @@ NOISE = frozenset(
 #: Importance under which a block goes, and the share of links that takes one out.
 LEAST_IMPORTANCE, LINKED = 0.3, 0.5
 #: States that are judged, and the pages that are thought to differ beforehand.
-PRIOR_PAGES = {2: 1}
+PRIOR_PAGES = {1: 10, 2: 1}
+#: Share of a page's text outside links that makes its articles the main text.
+LEAST_MAIN = 0.5
 SALTS = 16
 #: A named element stays in if what else would stay is under this share of what it holds.
 LEAST_LEFT = 0.1
@@ -153,7 +156,7 @@ def lifted(page: Page) -> frozenset[int]:
 
 
 def read(html: str) -> list[tuple[int, str, int]]:
-    """Blocks of a page in order: style path (hashed), text, and its state: 0 goes, 1 stays, 2 is up to its importance."""
+    """Blocks of a page in order: style path (hashed), text, and its state: 0 goes; 1 (in the article) and 2 are up to their importance."""
     page = Page()
     try:
         page.feed(html)
@@ -163,13 +166,16 @@ def read(html: str) -> list[tuple[int, str, int]]:
     page.flush()
     ignored = lifted(page)
     blocks = [(path, text, linked, main, noise or bool(named - ignored)) for path, text, linked, main, noise, named in page.blocks]
-    has_main = any(main and not noise for _, _, _, main, noise in blocks)
+    size = [0, 0]
+    for _, text, linked, main, noise in blocks:
+        size[main] += 0 if noise else max(0, len(text) - linked)
+    has_main = size[True] > 0 and size[True] >= LEAST_MAIN * sum(size)
     out = []
     for path, text, linked, main, noise in blocks:
-        if noise or linked > LINKED * len(text) and not main:
+        if noise or linked > LINKED * len(text) and not (main and has_main):
             state = 0
         else:
-            state = 1 if main else 0 if has_main else 2
+            state = 2 if not has_main else 1 if main else 0
         out.append((xxh3_64_intdigest(path) - (1 << 63), text, state))
     return out
 
@@ -222,11 +228,12 @@ def branches(once: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, the main text (blocks joined by an empty line) and its code points."""
     once = materialise(parsed(pages, False).groupBy("host", "page").agg(F.first("keys").alias("keys")), "pages")
+    # both tables grow with the input, so neither is broadcast even where it is small
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     each = once.select("host", "page", F.posexplode("keys").alias("at", "b")).select("host", "page", "at", "b.*").withColumn("salt", F.pmod("page", F.lit(SALTS)).cast("int"))
-    going = each.join(branches(once).withColumn("salt", salts), ["host", "path", "text", "salt"]).where(F.array_contains("states", F.col("state")))
+    going = each.join(branches(once).withColumn("salt", salts).hint("merge"), ["host", "path", "text", "salt"]).where(F.array_contains("states", F.col("state")))
     gone = materialise(going.groupBy("host", "page").agg(F.collect_set("at").alias("gone")), "gone").withColumn("salt", salts)
     rows = parsed(pages, True).withColumn("salt", F.pmod(F.xxhash64("row.page_id"), F.lit(SALTS)).cast("int"))
     kept = F.filter("texts", lambda t, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
-    out = rows.join(gone, ["host", "page", "salt"], "left").select("row.page_id", "row.url", F.concat_ws("\n\n", kept).alias("text"))
+    out = rows.join(gone.hint("merge"), ["host", "page", "salt"], "left").select("row.page_id", "row.url", F.concat_ws("\n\n", kept).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

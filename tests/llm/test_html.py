@@ -87,3 +87,17 @@ def test_boilerplate_of_few_pages_goes(spark):
     got = {r.page_id: r.text for r in he.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     for i in (0, 3, 50, 200, 203, 305, 399):
         assert got[i] == f"Story {i} is told in words like {i * 7}.", i
+
+
+def test_articles_are_judged_too(spark):
+    rows = [(i, "http://big.org/", f"<body><article><p>Story {i} has words like {i * 7}.</p><p>Told to you by the staff of our house.</p></article></body>") for i in range(30)]
+    # one text on three pages is no boilerplate
+    rows += [(i, "http://few.org/", "<body><article><p>A story that was told twice.</p></article></body>" + " " * i) for i in range(100, 103)]
+    got = {r.page_id: r.text for r in he.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i} has words like {i * 7}." for i in range(30))
+    assert all(got[i] == "A story that was told twice." for i in range(100, 103))
+
+
+def test_a_teaser_is_not_the_page():
+    body = "<div><p>The body of the page stands in a div and is told at some length.</p></div>"
+    assert texts(f'<body>{body}<article><a href="/x">See also this</a></article></body>') == ["The body of the page stands in a div and is told at some length."]
