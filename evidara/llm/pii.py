@@ -1,12 +1,13 @@
 """Personal data: base patterns, and bootstrapped contextual extraction of further identifiers.
 
-Base spans seed the search. The words before a seed are lexical patterns; every identifier-like token (and every seed) is an
-instance. Spark scores the graph of patterns and instances in turn: a pattern is worth the share of its instances that are
-trusted, an instance what its patterns make of it. Instances in contexts of high confidence, with enough different seeds behind them, are
+Base spans seed the search. The words before and after a seed are lexical patterns; every identifier-like token (and every seed) is an
+instance. Pattern and instance are scored in turn: a pattern is worth the share of its places that hold a seed or a promoted
+instance, against those that hold no identifier at all; an instance is worth what its patterns make of it, and is promoted above
+a confidence. Promoted instances are support like seeds, until no round promotes more. Instances beside trusted patterns are
 added. Only DataFrame functions run; regular expressions are possessive, so that no text makes them recurse or start over.
 
-Rules for odd input: a null text is empty and has no spans; repeated rows are searched each on its own but count once as
-evidence; an empty table gives an empty result; other columns are ignored, or kept by redact.
+Rules for odd input: a null text is empty and has no spans; repeated rows are searched each on its own and counted in the
+shares, but a pattern needs different instances; an empty table gives an empty result; other columns are ignored, or kept by redact.
 """
 
 from __future__ import annotations
@@ -27,12 +28,13 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[ -]?[0-9]){13,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    FOUND: r"(?<![A-Za-z0-9@._+-])(?=[A-Za-z@._+-]{0,32}[0-9])[A-Za-z0-9@._+-]{6,}+",
+    FOUND: r"(?<![A-Za-z0-9@._+-])(?=[A-Za-z@._+-]*+[0-9]|[@._+-]*+[A-Za-z]++[@._+-]++[A-Za-z])[A-Za-z0-9@._+-]{4,}+",
 }
 #: A letter that a text must hold to be searched at all.
 NEEDS = {"email": "@", "phone": "+"}
-#: Code points of context on the left, rounds of scoring, and what makes a pattern trusted.
-CONTEXT, ROUNDS, LEAST_SEEDS, LEAST_TRUST = 40, 3, 5, 0.8
+#: Code points of context on each side, what makes a pattern trusted, and the confidence that promotes an instance.
+CONTEXT, LEAST_SEEDS, LEAST_TRUST, LEAST_SURE = 40, 5, 0.8, 0.8
+WORDS = r"\p{L}++"
 SPAN = "struct<st:int,en:int,v:string>"
 
 
@@ -92,13 +94,19 @@ def of_kind(kind: str) -> Callable[[Column], Column]:
     return lambda s: s["kind"] == kind
 
 
-def contexts(st: Column) -> Column:
-    """The last word before a place and the last two, in lower case, as patterns."""
+def contexts(st: Column, en: Column) -> Column:
+    """The last word before a place and the last two, the first word after it and the first two, in lower case, as patterns."""
     before = F.substring(F.col("text"), F.greatest(st - CONTEXT, F.lit(0)) + 1, F.least(st, F.lit(CONTEXT)))
-    words = F.regexp_extract_all(F.lower(before), F.lit(r"\p{L}++"), F.lit(0))
-    n = F.size(words)
-    one, two = F.element_at(words, -1), F.concat_ws(" ", F.slice(words, -2, 2))
-    return F.when(n >= 2, F.array(one, two)).when(n == 1, F.array(one)).otherwise(F.array().cast("array<string>"))
+    after = F.substring(F.col("text"), en + 1, F.lit(CONTEXT))
+
+    def sided(mark: str, part: Column, start: int) -> Column:
+        words = F.regexp_extract_all(F.lower(part), F.lit(WORDS), F.lit(0))
+        n = F.size(words)
+        # slices start at an existing word: of one word, there is no pattern of two
+        one, two = F.concat(F.lit(mark), F.element_at(words, -1 if start < 0 else 1)), F.concat(F.lit(mark), F.concat_ws(" ", F.slice(words, start, 2)))
+        return F.when(n >= 2, F.array(one, two)).when(n == 1, F.array(one)).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(sided("<", before, -2), sided(">", after, 1))
 
 
 def extract(docs: DataFrame, *keep: str) -> DataFrame:
@@ -110,33 +118,53 @@ def extract(docs: DataFrame, *keep: str) -> DataFrame:
         df = df.withColumn(kind, F.filter(kind, passes(kind)))
     base = F.concat(*(F.transform(kind, ranked(kind)) for kind in KINDS))
     df = df.withColumn("base", F.array_sort(base))
-    apart = F.filter(FOUND, lambda s: (F.length(digits(s["v"])) >= 4) & ~F.exists("base", lambda b: (b["st"] < s["en"]) & (s["st"] < b["en"])))
+    apart = F.filter(FOUND, lambda s: ~F.exists("base", lambda b: (b["st"] < s["en"]) & (s["st"] < b["en"])))
     df = df.withColumn(FOUND, apart)
-    instance = lambda s, seed: F.struct(s["st"].alias("st"), s["en"].alias("en"), F.lower(s["v"]).alias("v"), F.lit(seed).alias("seed"), contexts(s["st"]).alias("patterns"))
+    instance = lambda s, seed: F.struct(s["st"].alias("st"), s["en"].alias("en"), F.lower(s["v"]).alias("v"), F.lit(seed).alias("seed"), contexts(s["st"], s["en"]).alias("patterns"))
     instances = F.concat(F.transform("base", lambda s: instance(s, True)), F.transform(FOUND, lambda s: instance(s, False)))
     out = df.select(F.monotonically_increasing_id().alias("number"), "row", F.transform("base", lambda s: s.dropFields("v")).alias("base"), instances.alias("instances"))
     return materialise(out, "personal-data")
 
 
-def trusted_patterns(found: DataFrame) -> DataFrame:
+def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern and places: how often its one or two words stand in the texts, whatever is beside them."""
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORDS), F.lit(0))
+    n = F.size("w")
+    ones = F.transform("w", lambda a: F.xxhash64(a))
+    twos = F.when(n > 1, F.zip_with(F.slice("w", F.lit(1), n - 1), F.slice("w", F.lit(2), n - 1), lambda a, b: F.xxhash64(F.concat_ws(" ", a, b)))).otherwise(F.array().cast("array<long>"))
+    counts = spread(docs).select(words.alias("w")).select(F.explode(F.concat(ones, twos)).alias("gram")).groupBy("gram").agg(F.count("*").alias("places"))
+    named = patterns.withColumn("gram", F.xxhash64(F.expr("substring(pattern, 2)")))
+    return named.join(counts, "gram").select("pattern", "places")
+
+
+def trusted_patterns(docs: DataFrame, found: DataFrame) -> DataFrame:
     """pattern and trust of the patterns that the graph ends up trusting."""
     each = found.select(F.explode("instances").alias("i")).select(F.col("i.v").alias("v"), F.col("i.seed").alias("seed"), F.explode("i.patterns").alias("pattern"))
-    edges = materialise(each.groupBy("pattern", "v").agg(F.max("seed").alias("seed")), "edges")
-    scores = edges.select("pattern", "v", "seed", F.col("seed").cast("double").alias("score"))
-    trust = None
-    for _ in range(ROUNDS):
-        worth = scores.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.col("seed").cast("int")).alias("seeds"), F.sum("score").alias("s"))
-        trust = materialise(worth.where((F.col("seeds") >= LEAST_SEEDS) & (F.col("s") / F.col("n") >= LEAST_TRUST)).select("pattern", (F.col("s") / (F.col("n") + 1)).alias("trust")), "trust")
-        doubt = edges.where("not seed").join(trust, "pattern").groupBy("v").agg(F.sum(F.log1p(-F.col("trust"))).alias("doubt"))
-        scores = edges.join(doubt, "v", "left").select("pattern", "v", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce(1 - F.exp("doubt"), F.lit(0.0))).alias("score"))
-    return trust
+    edges = materialise(each.groupBy("pattern", "v").agg(F.max("seed").alias("seed"), F.count("*").alias("k")), "edges")
+    # a pattern with fewer different instances than it needs can never be trusted
+    possible = materialise(edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum("k").alias("beside")).where(F.col("n") >= LEAST_SEEDS).select("pattern", "beside"), "patterns")
+    places = occurrences(docs, possible.select("pattern"))
+    negatives = materialise(possible.join(places, "pattern", "left").select("pattern", F.greatest(F.coalesce("places", F.lit(0)) - F.col("beside"), F.lit(0)).alias("negatives")), "negatives")
+    edges = materialise(edges.join(negatives.select("pattern"), "pattern", "left_semi"), "edges")
+    values = edges.groupBy("v").agg(F.max("seed").alias("sure"))
+    promoted, count = materialise(values.where("sure").select("v"), "promoted"), -1
+    while True:
+        support = edges.join(promoted, "v", "left_semi").groupBy("pattern").agg(F.count("*").alias("n"), F.sum("k").alias("k")).where(F.col("n") >= LEAST_SEEDS)
+        share = F.col("k") / (F.col("k") + F.col("negatives"))
+        trust = materialise(support.join(negatives, "pattern").where(share >= LEAST_TRUST).select("pattern", (F.col("k") / (F.col("k") + F.col("negatives") + 1)).alias("trust")), "trust")
+        doubt = edges.join(trust, "pattern").groupBy("v").agg(F.sum(F.log1p(-F.col("trust"))).alias("doubt"))
+        more = doubt.where(1 - F.exp("doubt") >= LEAST_SURE).select("v")
+        promoted = materialise(promoted.union(more).distinct(), "promoted")
+        before, count = count, promoted.count()
+        if count == before:
+            return trust
 
 
 def find(docs: DataFrame, *keep: str) -> DataFrame:
     """row (the kept columns), base and spans: arrays of (st, rank, en, kind), in order."""
     found = extract(docs, *keep)
     each = found.select("number", F.explode("instances").alias("i")).where("not i.seed").select("number", "i.st", "i.en", F.explode("i.patterns").alias("pattern"))
-    new = each.join(trusted_patterns(found), "pattern").select("number", F.struct("st", F.lit(len(KINDS)).alias("rank"), "en", F.lit(FOUND).alias("kind")).alias("span"))
+    new = each.join(trusted_patterns(docs, found), "pattern").select("number", F.struct("st", F.lit(len(KINDS)).alias("rank"), "en", F.lit(FOUND).alias("kind")).alias("span"))
     added = new.groupBy("number").agg(F.collect_set("span").alias("added"))
     kind = dict(found.dtypes)["base"]
     spans = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(kind))))

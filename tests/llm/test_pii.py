@@ -63,6 +63,20 @@ def test_contexts_find_unseen_identifiers(spark):
     assert spans[0] == "email:19:28"
 
 
+def test_bootstrap_spreads(spark):
+    # one seeded context with few seeds and many unseen identifiers, most of their characters letters
+    rows = [(i, f"the member m{i}@x{i}.org came") for i in range(6)] + [(100 + i, f"our member kx_{'abcdefghijkl'[i]}user went") for i in range(12)]
+    # a second context that only discovered identifiers lead to, and one that follows from it; then a context on the right
+    rows += [(200 + i, f"a badge kx_{'abcdefghijkl'[i]}user lay") for i in range(12)] + [(300, "his badge zz-top9 fell")]
+    rows += [(400 + i, f"seen {i} at r{i}@y{i}.org yesterday") for i in range(6)] + [(500, "called: qq.w7 yesterday")]
+    # ordinary words take the place of identifiers here
+    rows += [(600 + i, f"from n{i}@z{i}.org") for i in range(6)] + [(700 + i, "from here on") for i in range(6)] + [(800, "from some_where")]
+    spans = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(spans[100 + i] == "id:11:19" for i in range(12))
+    assert spans[200] == "id:8:16" and spans[300] == "id:10:17" and spans[500] == "id:8:13"
+    assert spans[800] == ""
+
+
 def test_redact(spark, no_docs, odd_docs):
     assert pii.redact(no_docs).columns == no_docs.columns and pii.redact(no_docs).count() == 0
     assert pii.redact(odd_docs).columns == odd_docs.columns
