@@ -20,6 +20,13 @@ def x1_tokens(spark, sf):
     return S.documents(spark, sf).select("doc_id", F.size(t).alias("n"), F.concat_ws(" ", F.slice(t, 1, 5)).alias("head"))
 
 
+@query(rf"SELECT doc_id, len({W}) AS n, sha256(array_to_string({W}, ' ')) AS digest FROM documents")
+def x1_all_tokens(spark, sf):
+    """As x1_tokens, with a digest of all tokens of each text."""
+    t = T.tokens("text")
+    return S.documents(spark, sf).select("doc_id", F.size(t).alias("n"), F.sha2(F.concat_ws(" ", t), 256).alias("digest"))
+
+
 @query(r"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(text, '(\w)-\s*\n\s*(\w)', '\1\2', 'g'), '[^\S\n]+', ' ', 'g'), '\s*\n\s*', ' ', 'g'))) AS digest FROM documents")
 def x2_clean(spark, sf):
     return S.documents(spark, sf).select("doc_id", F.sha2(T.clean("text"), 256).alias("digest"))
