@@ -72,6 +72,10 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top(scored, k, [F.col("score").desc(), F.col("doc_id")]).select("query_id", "rank", "doc_id", "score")
 
 
+#: Query vectors in a block.
+BLOCK = 1024
+
+
 def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -83,9 +87,10 @@ def norm(a: str) -> Column:
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Exact cosine ranking of a stated set of query vectors against all vectors; a zero vector scores 0.
 
-    queries: query_id and query_vector; a bounded set, sent to every partition.
+    queries: query_id and query_vector; they meet the vectors in blocks of about BLOCK, so no task or driver holds all of them.
     """
-    pairs = vectors.join(F.broadcast(queries), F.size("embedding") == F.size("query_vector"))
+    blocks = queries.repartition(max(1, -(-queries.count() // BLOCK))).hint("shuffle_replicate_nl")
+    pairs = vectors.join(blocks, F.size("embedding") == F.size("query_vector"))
     size = norm("embedding") * norm("query_vector")
     cosine = F.when(size == 0, 0.0).otherwise(dot("embedding", "query_vector") / size)
     scored = pairs.select("query_id", "vec_id", F.round(cosine, 6).alias("score"))

@@ -96,7 +96,8 @@ def a22_metric_records(spark, sf):
 @query("WITH s AS (SELECT unnest(generate_series(0, (SELECT max(conv_id) + 5 FROM conversations))) AS conv_id) SELECT s.conv_id, count(c.turn) AS messages FROM s LEFT JOIN conversations c ON s.conv_id = c.conv_id GROUP BY 1")
 def j1_message_counts(spark, sf):
     m = S.messages(spark, sf)
-    all_ids = m.agg(F.explode(F.sequence(F.lit(0), F.max("conv_id") + 5)).alias("conv_id"))
+    last = m.agg(F.max("conv_id")).first()[0]
+    all_ids = spark.range(0 if last is None else last + 6).withColumnRenamed("id", "conv_id")
     return usage.message_counts(all_ids, m)
 
 

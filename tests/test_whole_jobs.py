@@ -2,6 +2,7 @@
 
 from hashlib import sha256
 
+from evidara.operators import retrieval
 from evidara.plans.catalogue import QUERIES
 
 
@@ -15,3 +16,15 @@ def test_every_token_counts(spark, tmp_path):
 def test_few_queries_cannot_be_compared(spark):
     got = {r.verdict: r.queries for r in QUERIES["y8_compare_whole_runs"](spark, "/root/testdata/sf0.1").collect()}
     assert got["UNCOMPARABLE"] * 4 <= sum(got.values()) and got["IMPROVED"] and got["REGRESSED"] and got["UNCHANGED"]
+
+
+def test_ids_and_query_vectors_are_dealt_out(spark, monkeypatch):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    ids = QUERIES["j1_message_counts"](spark, "/root/testdata/sf0.001")
+    assert "Generate" not in plan(ids) and "Range" in plan(ids)
+    monkeypatch.setattr(retrieval, "BLOCK", 3)
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "vec_id long, embedding array<float>")
+    queries = vectors.where("vec_id < 8").toDF("query_id", "query_vector")
+    got = retrieval.vector_top(vectors, queries, 1)
+    assert "Broadcast" not in plan(got) and "CartesianProduct" in plan(got)
+    assert {r.query_id for r in got.collect()} == set(range(8))
