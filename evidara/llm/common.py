@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space that separates words.
 SPACE = " \t\n\x0b\x0c\r"
-#: At most this many rows go to Python at once, so that a batch of very long texts stays small.
+#: Rows of an Arrow batch that are turned into Python objects at once.
 BATCH_ROWS = 500
 
 U64 = np.uint64
@@ -23,20 +25,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a table of very few partitions over the cores; larger tables stay as they are.
-
-    Also bounds the rows in an Arrow batch, as every caller hands whole texts to Python.
-    """
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    cores = spark.sparkContext.defaultParallelism
+    """Deal a table of very few partitions over the cores; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def small(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, as whole texts take several times their size as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is set."""
+    """The folder that driver and executors share. A folder of our own stands in only where all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="evidara-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -50,6 +56,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_of(df: DataFrame, names: list[str] | tuple[str, ...]) -> Column:
+    """A struct of the named columns; a name may hold dots or clash with those made here."""
+    return F.struct(*(df[f"`{n.replace('`', '``')}`"] for n in names))
+
+
 def remainder_of_id(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts

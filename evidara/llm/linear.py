@@ -1,4 +1,8 @@
-"""FTRL-proximal logistic regression over hashed features, trained in shards on a bounded sample."""
+"""FTRL-proximal logistic regression over hashed features, learnt from a bounded sample.
+
+Features are hashed by all tasks and written. One task then goes over them example by example, as FTRL is defined: at most max_rows
+examples of at most 2**bits features, whatever the corpus. Only weights other than zero come to the driver.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidara.llm.common import materialise, text_bytes
+from evidara.llm.common import materialise, small, text_bytes
 
 #: text -> (distinct feature indices, their values)
 Featurise = Callable[[bytes], tuple[np.ndarray, np.ndarray]]
@@ -26,7 +30,6 @@ class Ftrl:
     l1: float = 1.0
     l2: float = 1.0
     epochs: int = 3
-    shards: int = 8
     max_rows: int = 20_000
 
     def weights(self, z: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -54,41 +57,51 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     different labels, the mean label stands.
     """
     marked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
-    share = min(1.0, max_rows / max(1, labels.count()))
+    # labels of documents that are not here (or may not be learnt from) do not count
+    there = docs.select("doc_id").join(marked.select("doc_id"), "doc_id", "left_semi").count()
+    share = min(1.0, max_rows / max(1, there))
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))
     return text_bytes(docs.where(drawn), F.col("doc_id")).join(marked.where(drawn), "doc_id").groupBy("text").agg(F.avg("y").alias("y"))
 
 
-def train(sample: DataFrame, featurise: Featurise, model: Ftrl) -> np.ndarray:
-    """Weights (2**bits) after some epochs; each shard continues from the mean of all shards' states.
+def hashed(sample: DataFrame, featurise: Featurise) -> DataFrame:
+    """y of each example with its feature indices and values, in an order that the texts alone fix."""
 
-    What comes to the driver is one state of 2**bits coordinates for each of model.shards shards.
-    """
-    spark, size = sample.sparkSession, 1 << model.bits
-    rows = materialise(sample.repartition(model.shards).sortWithinPartitions(F.xxhash64("text")), "training")
-    z, n = np.zeros(size), np.zeros(size)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            found = [featurise(t) for t in batch["text"].to_pylist()]
+            idx = pa.array([i.astype(np.int32).tobytes() for i, _ in found], pa.binary())
+            x = pa.array([v.astype(np.float32).tobytes() for _, v in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["place"], batch["y"], idx, x], ["place", "y", "idx", "x"])
+
+    return sample.select(F.xxhash64("text").alias("place"), "y", "text").mapInArrow(run, "place long, y double, idx binary, x binary")
+
+
+def learn(examples: list[tuple[float, np.ndarray, np.ndarray]], model: Ftrl) -> np.ndarray:
+    """Weights (2**bits) after some epochs over the examples, in a new but fixed order each time."""
+    z, n = np.zeros(1 << model.bits), np.zeros(1 << model.bits)
+    order = np.random.default_rng(len(examples))
     for _ in range(model.epochs):
-        start = spark.sparkContext.broadcast((z.astype(np.float32), n.astype(np.float32)))
-
-        def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            zs, ns = (a.astype(np.float64) for a in start.value)
-            seen = 0
-            for batch in batches:
-                for text, y in zip(batch["text"].to_pylist(), batch["y"].to_pylist(), strict=True):
-                    model.update(zs, ns, *featurise(text), y)
-                    seen += 1
-            if seen:
-                at = np.flatnonzero((ns != start.value[1]) | (zs != start.value[0])).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"seen": [seen], "at": [at.tobytes()], "z": [zs[at].astype(np.float32).tobytes()], "n": [ns[at].astype(np.float32).tobytes()]})
-
-        states = rows.mapInArrow(learn, "seen long, at binary, z binary, n binary").collect()
-        dz, dn, total = np.zeros(size), np.zeros(size), 0
-        for s in states:
-            at = np.frombuffer(s.at, np.int32)
-            dz[at] += s.seen * (np.frombuffer(s.z, np.float32) - z[at])
-            dn[at] += s.seen * (np.frombuffer(s.n, np.float32) - n[at])
-            total += s.seen
-        if not total:
-            break
-        z, n = z + dz / total, np.maximum(n + dn / total, 0.0)
-    return model.weights(z, n).astype(np.float32)
+        for i in order.permutation(len(examples)):
+            y, idx, x = examples[i]
+            model.update(z, n, idx, x, y)
+    return model.weights(z, n)
+
+
+def train(sample: DataFrame, featurise: Featurise, model: Ftrl) -> np.ndarray:
+    """Weights (2**bits) learnt from a sample that the caller has bounded; all zero if it is empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        examples = []
+        for batch in batches:
+            for y, idx, x in zip(*(batch[c].to_pylist() for c in ("y", "idx", "x")), strict=True):
+                examples.append((y, np.frombuffer(idx, np.int32), np.frombuffer(x, np.float32)))
+        w = learn(examples, model)
+        at = np.flatnonzero(w)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at].astype(np.float32))], ["at", "w"])
+
+    rows = materialise(hashed(sample, featurise), "training")
+    found = rows.repartition(1).sortWithinPartitions("place", "y").mapInArrow(run, "at long, w float").toArrow()
+    weights = np.zeros(1 << model.bits, np.float32)
+    weights[found["at"].to_numpy()] = found["w"].to_numpy()
+    return weights

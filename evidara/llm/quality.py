@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidara.llm.common import SPACE, U64, mix, spread, text_bytes
+from evidara.llm.common import SPACE, U64, mix, row_of, small, spread, text_bytes
 from evidara.llm.linear import Ftrl, labelled_sample, sigmoid, train
 
 MODEL = Ftrl(bits=18, alpha=0.5, beta=1.0, l1=0.0, l2=0.0, epochs=4, max_rows=12_000)
@@ -71,7 +71,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: Ftrl = MODEL) -> tuple[np.nda
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield pa.RecordBatch.from_arrays([pa.array([margin(t, sent.value) for t in batch["text"].to_pylist()], pa.float64()), batch["y"]], ["m", "y"])
 
     # at most model.max_rows pairs of numbers
@@ -128,12 +128,12 @@ def judge(docs: DataFrame, model: tuple[np.ndarray, float, float], *keep: str) -
     """The kept columns as a struct (row), the base counts, base_failed, good (the calibrated chance) and kept."""
     weights, slope, shift = model
     sent = docs.sparkSession.sparkContext.broadcast(weights)
-    rows = text_bytes(docs, F.struct(*keep).alias("row"))
+    rows = text_bytes(docs, row_of(docs, keep).alias("row"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     schema = rows.select("row", *(F.lit(0).cast("long").alias(c) for c in names), F.lit(0.0).alias("good")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for text in batch["text"].to_pylist():
                 words = text.split()

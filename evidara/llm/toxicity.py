@@ -1,8 +1,9 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Rules for odd input: a null or empty text has only the bias feature and gets the base rate; a null id counts as the
-empty text when it is hashed; repeated rows are scored each on its own; without any labelled row every score is 0.5.
-Other columns of the input are ignored.
+Rules for odd input: a null or empty text has only the bias feature and gets the base rate; a very long text has at most
+2**bits features and is scored whole; a null id counts as the empty text when it is hashed; repeated rows are scored each on its
+own and are one example; copies with unlike labels are one example with the mean label; without any labelled row every score is 0.5; an
+empty table gives an empty result. Other columns, whatever their names, are ignored by detect and kept by keep_clean.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidara.llm.common import U64, mix, remainder_of_id, spread, text_bytes
+from evidara.llm.common import U64, mix, remainder_of_id, row_of, small, spread, text_bytes
 from evidara.llm.linear import Ftrl, labelled_sample, sigmoid, train
 
-MODEL = Ftrl(bits=20, alpha=1.0, beta=1.0, l1=2.0, l2=0.0, epochs=8)
+MODEL = Ftrl(bits=20, alpha=1.0, beta=1.0, l1=8.0, l2=0.0, epochs=4)
 #: The label is predicted from this score on.
 THRESHOLD = 0.3
 #: ASCII other than letters and digits parts words.
@@ -54,7 +55,7 @@ def score(docs: DataFrame, weights: np.ndarray, *keep: str) -> DataFrame:
     """
     sparse = np.flatnonzero(weights)
     sent = docs.sparkSession.sparkContext.broadcast((len(weights), sparse, weights[sparse]))
-    rows = text_bytes(docs, F.struct(*keep).alias("row"))
+    rows = text_bytes(docs, row_of(docs, keep).alias("row"))
     schema = rows.select("row", F.lit(0.0).alias("toxicity_score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,7 +63,7 @@ def score(docs: DataFrame, weights: np.ndarray, *keep: str) -> DataFrame:
         dense = np.zeros(size, np.float32)
         dense[at] = w
         bits = size.bit_length() - 1
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for text in batch["text"].to_pylist():
                 h = feature_hashes(text, bits)
