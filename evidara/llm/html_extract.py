@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from evidara.llm.common import materialise, spread
+from evidara.llm.common import materialise, small, spread
 
 #: Fixed sets of HTML tags.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -190,7 +190,7 @@ def parsed(pages: DataFrame, texts: bool) -> DataFrame:
     names, schema = (["row", "host", "page", "texts"], f"row {kind}, host long, page long, texts array<string>") if texts else (["host", "page", "keys"], "host long, page long, keys array<struct<path:long,text:long,state:int>>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found, digest = [], []
             for html in batch["html"].to_pylist():
                 own = [b for b in read(html) if b[2]]

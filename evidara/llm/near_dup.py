@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from evidara.llm.common import U64, materialise, mix, spread, text_bytes
+from evidara.llm.common import U64, materialise, mix, small, spread, text_bytes
 
 #: Minwise values that paths choose from, and values of which a byte each is kept to compare classes.
 SIZE, CHECKS = 64, 256
@@ -94,7 +94,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     weights = U64(1) << np.arange(SIZE, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             n, hi, lo, sig, check, bits = [], [], [], [], [], []
             for text in batch["text"].to_pylist():
                 s = shingle_set(text, width)
@@ -294,7 +294,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
         held = 0
-        for batch in batches:
+        for batch in small(batches):
             keep = []
             for a, b, ta, tb in zip(*(batch[c].to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
                 if held > REMEMBERED_BYTES:
@@ -346,7 +346,7 @@ class Texts:
         width = self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small(batches):
                 sets = (shingle_set(t, width) for t in batch["text"].to_pylist())
                 yield pa.RecordBatch.from_arrays([batch["cls"], pa.array([x.tobytes() if len(x) <= SET_MOST else None for x in sets], pa.binary())], ["cls", "shingles"])
 
@@ -371,7 +371,7 @@ class Texts:
         width = self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small(batches):
                 keep = [set_key(shingle_set(t, width)) == (hi, lo) for t, hi, lo in zip(batch["text"].to_pylist(), batch["hi"].to_pylist(), batch["lo"].to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch["cls"], batch["text"]], ["cls", "text"]).filter(pa.array(keep, pa.bool_()))
 

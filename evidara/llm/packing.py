@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidara.llm.bpe import encoder
-from evidara.llm.common import materialise, spread
+from evidara.llm.bpe import TOGETHER, encoder
+from evidara.llm.common import materialise, small, spread
 
 CAPACITY = 2048
 END_ID = 0
@@ -108,9 +108,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in batches:
+        for batch in small(batches, TOGETHER):
             at, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(enc.encode_batch(batch["text"].to_pylist())):
+            for i, ids in enumerate(enc.encode_batch(batch["text"])):
                 data = ids + end
                 for p, b in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[b : b + 4 * capacity]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidara.llm.common import spread, text_bytes
+from evidara.llm.common import small, spread, text_bytes
 
 #: The symbol after the last byte of a word.
 END = 256
@@ -110,7 +110,7 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
         if path not in _loaded:
             _loaded[path] = Automaton(vocabulary(path)), {}
         automaton, known = _loaded[path]
-        for batch in batches:
+        for batch in small(batches):
             words, counts = [], []
             for text in batch["text"].to_pylist():
                 split = text.lower().split()

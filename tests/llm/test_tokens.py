@@ -44,6 +44,35 @@ def test_tree_concatenation_is_exact(library):
         assert bpe.join_tree(enc, [(p, enc.encode(p)) for p in parts]) == ids_of(library, text), repr(text)
 
 
+def counted(enc):
+    """Notes how many characters are encoded from now on."""
+    seen = []
+    plain, batch = enc.merged, enc.encode_batch
+    enc.merged = lambda pieces: (seen.append(sum(map(len, pieces))), plain(pieces))[1]
+    enc.encode_batch = lambda texts: (seen.append(sum(len(str(t)) for t in texts)), batch(texts))[1]
+    return seen
+
+
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "aab", "theinanreonat", "éaüß", "x"])
+def test_letters_without_white_space_need_small_windows(library, alphabet):
+    r = random.Random(len(alphabet))
+    text = "".join(r.choice(alphabet) for _ in range(1_000_000 if len(alphabet) == 26 else 60_000))
+    enc = bpe.Encoder(PATH)
+    parts = [(p, enc.encode(p)) for p in bpe.halves(text, 8192)]
+    seen = counted(enc)
+    assert bpe.join_tree(enc, parts) == ids_of(library, text)
+    assert sum(seen) < len(parts) * 2000
+
+
+def test_random_runs_join_exactly(library):
+    r = random.Random(12)
+    enc = bpe.Encoder(PATH)
+    for _ in range(40):
+        text = "".join(r.choice(["th", "e", "ing", "a", "re", "on", "z", "'s", "é", "q"][: r.choice([5, 7, 10])]) for _ in range(r.randint(50, 1500)))
+        parts = [(p, enc.encode(p)) for p in bpe.halves(text, r.choice([16, 40, 100]))]
+        assert bpe.join_tree(enc, parts) == ids_of(library, text), repr(text)
+
+
 def test_round_trip(odd_docs, no_docs, library):
     assert bpe.round_trip(no_docs, PATH).count() == 0
     want = sorted(
