@@ -1,314 +1,311 @@
 """LM scoring by a probabilistic suffix tree over words.
 
-The root is the add-one unigram over all training tokens. A context (up to DEPTH symbols) is a candidate if it makes up LEAST_CONTEXT of
-the training tokens; it is retained if what follows it diverges enough from what follows its own suffix. A retained context
-knows the next tokens that make up LEAST_ENTRY of the corpus after it; the mass it does not spend on them goes to its suffix, in the
+The root is the add-one unigram over all training tokens. A context (up to DEPTH words) that occurs LEAST_CONTEXT times is tested: if
+what follows it diverges enough from what follows its own suffix, it is retained, and its suffixes with it. A retained
+context knows the next words that follow it LEAST_ENTRY times; the mass it does not spend on them goes to its suffix, in the
 suffix's proportions, so each distribution sums to one. A text is scored with the longest retained suffix at each token.
 
-Symbols of a context are the common words (LEAST_COMMON of the tokens or more) and, for other words, the class of their last
-two bytes. Fixed shares bound all that is broadcast: at most 1/LEAST_KNOWN words, 1/LEAST_CONTEXT contexts and
-1/LEAST_ENTRY entries a depth, whatever the corpus. Counts of the words beyond that are looked up by a join.
-
-Rules for odd input: a null or empty text has the end token alone; repeated rows count and are scored each; a null id hashes as the
-empty text; without training rows every probability is that of an unknown word among none (1, log 0); an empty table gives
-an empty result; other columns are ignored.
+All thresholds are absolute counts and every word is a symbol of its own, so what is gathered grows with the corpus. It stays in
+tables: grams of one word more are counted from those of one word fewer. The gain over the root of a token is the sum of a
+value for each gram that ends at it and one for each that ends before it, so a text's score is the sum of its grams' values: one
+look-up by join. Two things of fixed size are broadcast: the values of the most frequent words and grams (by share of the corpus, so
+that no hot key is joined), and bit maps that tell most grams that are not in a table. On a corpus so large that the
+maps fill up, results are the same, but all grams are shuffled: some 25 bytes a token and depth instead of about 10.
+
+Words and grams are named by 64-bit hashes. Rules for odd input: a null or empty text has the end token alone; very long texts are
+scored whole; repeated rows count and are scored each; ties need no rule; a null id hashes as the empty text; without training rows
+every probability is that of an unknown word among none (1, log 0); an empty table gives an empty result; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from evidara.llm.common import materialise, remainder_of_id, spread, text_bytes
+from evidara.llm.common import U64, materialise, remainder_of_id, small, spread, text_bytes
 
-#: Shares of the training tokens: words whose counts are broadcast, words that are symbols, contexts, entries.
-LEAST_KNOWN, LEAST_COMMON, LEAST_CONTEXT, LEAST_ENTRY = 5e-7, 1e-4, 5e-5, 2e-6
 DEPTH = 3
+#: Occurrences of a context that is tested and of an entry that is kept.
+LEAST_CONTEXT, LEAST_ENTRY = 32, 4
 #: Occurrences times divergence (natural log) that keep a context, and what is taken off each entry's count.
 LEAST_GAIN, DISCOUNT = 20.0, 0.5
-#: Symbols: common words from 0, classes of other words from CLASSES, and the mark of any next token that is not common.
-CLASSES, CLASS_COUNT, OTHER = 10_002, 55_000, 65_535
-#: The end of a text, as a word that no text holds.
-END = b""
-#: Words that a counting task holds before it hands them on.
-HELD = 400_000
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word (bytes, the end as empty) and n over all rows of docs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
-        for batch in batches:
-            for text in batch["text"].to_pylist():
-                held.update(text.lower().split())
-            held[END] += batch.num_rows
-            if len(held) > HELD:
-                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-                held.clear()
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-
-    return text_bytes(docs).mapInArrow(run, "word binary, n long").where("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class Vocabulary:
-    """Counts of the known words; total and distinct are those of all training tokens."""
-
-    index: dict[bytes, int]
-    count: np.ndarray
-    symbol: np.ndarray
-    total: int
-    distinct: int
+#: Shares of the training tokens from which words and grams are broadcast: at most 1/share of each.
+TOP_WORD, TOP_GRAM = 1e-6, 4e-6
+#: Bits of a map: a fixed size (4 MB), whatever the corpus.
+BITS = 1 << 25
+#: Grams that a counting task holds before it merges and hands them on, and rows that are read together.
+HELD, TOGETHER = 2_000_000, 1000
+#: The end of a text, as the hash of the empty word, which no text holds.
+END = U64(xxh3_64_intdigest(b""))
+#: Constants of the public 64-bit xxHash, by which Spark names a gram from its context and its suffix.
+P1, P2, P3, P4, P5 = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def rotated(x: np.ndarray, n: int) -> np.ndarray:
+    return x << U64(n) | x >> U64(64 - n)
+
+
+def named(ctx: np.ndarray, suf: np.ndarray) -> np.ndarray:
+    """The same as F.xxhash64(ctx, suf)."""
+    out: np.ndarray | np.uint64 = U64(42)
+    for x in (ctx, suf):
+        h = (out + P5 + U64(8)) ^ rotated(x * P2, 31) * P1
+        h = rotated(h, 27) * P1 + P4
+        h = (h ^ h >> U64(33)) * P2
+        h = (h ^ h >> U64(29)) * P3
+        out = h ^ h >> U64(32)
+    return out
+
+
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, each text's end token last, and where each text begins."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    coded = words.values.dictionary_encode()
+    distinct = np.fromiter(map(xxh3_64_intdigest, coded.dictionary.cast(pa.binary()).to_pylist()), np.uint64, len(coded.dictionary))
+    h = distinct[coded.indices.to_numpy()]
+    # splitting leaves an empty word at a rim of white space (and in an empty text)
+    there = h != END
+    stops = np.r_[0, np.cumsum(there)][words.offsets.to_numpy() - words.offsets[0].as_py()]
+    begins = stops + np.arange(len(stops))
+    out = np.full(begins[-1], END, np.uint64)
+    kept = np.flatnonzero(there)
+    out[np.arange(len(kept)) + np.searchsorted(stops[1:], np.arange(len(kept)), side="right")] = h[kept]
+    return out, begins
+
+
+def grams(h: np.ndarray, begins: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For lengths from 2 to most: places in h where such grams end, their contexts, their suffixes and their names."""
+    place, name = np.arange(len(h)), h
+    starts = np.zeros(len(h) + 1, bool)
+    starts[begins] = True
+    for n in range(2, most + 1):
+        # a gram goes on with the next token of the same text
+        fits = np.flatnonzero(~starts[place[:-1] + 1] & (place[1:] == place[:-1] + 1)) if len(place) else place
+        ctx, suf = name[fits], name[fits + 1]
+        place, name = place[fits + 1], named(ctx, suf)
+        yield place, ctx, suf, name
+
+
+class Map:
+    """A bit map of names: says no only of names that are not in it."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits = bits
 
     @classmethod
-    def of(cls, counts: DataFrame) -> Vocabulary:
-        whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
-        known = counts.where((F.col("n") >= LEAST_KNOWN * whole.total) | (F.col("word") == F.lit(END))).toArrow()
-        pairs = sorted(zip(known["n"].to_pylist(), known["word"].to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
-        words, count = [w for _, w in pairs], np.array([n for n, _ in pairs], np.int64)
-        common = (count >= LEAST_COMMON * whole.total) | np.array([w == END for w in words], bool)
-        symbol = np.array([class_of(w) for w in words], np.int64)
-        symbol[common] = np.arange(common.sum())
-        return cls({w: i for i, w in enumerate(words)}, count, symbol, whole.total, whole.distinct)
-
-    def root(self, count: np.ndarray) -> np.ndarray:
-        return np.log10(count + 1.0) - np.log10(self.total + self.distinct + 1.0)
-
+    def of(cls, names: DataFrame) -> Map:
+        at = [F.pmod("name", F.lit(BITS)), F.pmod(F.shiftrightunsigned("name", 32), F.lit(BITS))]
+        place = names.select(F.explode(F.array(*at)).alias("place")).select((F.col("place") + 1).alias("place"))
+        rows = place.groupBy(F.expr("bitmap_bucket_number(place)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(place))").alias("bits")).toArrow()
+        bits = np.zeros((BITS // 32768, 4096), np.uint8)
+        for bucket, some in zip(rows["bucket"].to_pylist(), rows["bits"].to_pylist(), strict=True):
+            bits[bucket - 1] = np.frombuffer(some, np.uint8)
+        return cls(bits.ravel())
+
+    def may_hold(self, names: np.ndarray) -> np.ndarray:
+        out = np.ones(len(names), bool)
+        for at in (names & U64(BITS - 1), names >> U64(32) & U64(BITS - 1)):
+            out &= self.bits[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8) & 1 == 1
+        return out
+
+
+def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """name, ctx, suf and n of parts, each name once."""
+    name, ctx, suf, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    name, first, at = np.unique(name, return_index=True, return_inverse=True)
+    return name, ctx[first], suf[first], np.bincount(at, n, minlength=len(name)).astype(np.int64)
+
+
+def held_and_handed_on(found: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """ctx, suf and n of grams that come as names, contexts and suffixes, merged now and then."""
+    held, size = [], 0
+
+    def hand_on() -> Iterator[pa.RecordBatch]:
+        if held:
+            _, ctx, suf, n = merged(held)
+            for i in range(0, len(n), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(ctx[i : i + 50_000].view(np.int64)), pa.array(suf[i : i + 50_000].view(np.int64)), pa.array(n[i : i + 50_000])], ["ctx", "suf", "n"])
 
-def class_of(word: bytes) -> int:
-    return CLASSES + crc32(word[-2:]) % CLASS_COUNT
+    for name, ctx, suf in found:
+        held.append((name, ctx, suf, np.ones(len(name), np.int64)))
+        size += len(name)
+        if size > HELD:
+            yield from hand_on()
+            held, size = [], 0
+    yield from hand_on()
 
 
-def read(docs: DataFrame, vocabulary: Vocabulary, held_out: F.Column) -> DataFrame:
-    """Each row as symbols (16 bits each, the end last), with the sums over its known words and the words left to look up."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    rows = text_bytes(docs, F.col("doc_id"), held_out.alias("held_out"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "known", "symbols", "words", "times"]
+def word_counts(docs: DataFrame) -> DataFrame:
+    """name (the word's hash) and n over all rows of docs, ends included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v: Vocabulary = sent.value
-        get, end = v.index.get, v.index.get(END, -1)
-        logs = np.log10(np.append(v.count, 0) + 1.0)
-        symbol = np.append(v.symbol, 0)
-        for batch in batches:
-            out = [[] for _ in names[2:]]
-            for text in batch["text"].to_pylist():
-                words = text.lower().split()
-                at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-                rare = [words[i] for i in np.flatnonzero(at < 0).tolist()]
-                s = symbol[np.append(at, end)]
-                s[np.flatnonzero(at < 0)] = list(map(class_of, rare))
-                times = Counter(rare)
-                known = int((at >= 0).sum()) + (end >= 0)
-                for x, value in zip(out, (len(words) + 1, known, float(logs[at].sum() + logs[end]), s.astype("<u2").tobytes(), list(times), list(times.values())), strict=True):
-                    x.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], names)
-
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, known double, symbols binary, words array<binary>, times array<long>"
-    return rows.mapInArrow(run, schema).withColumn("number", F.monotonically_increasing_id())
-
-
-def context_keys(s: np.ndarray, depth: int) -> np.ndarray:
-    """The packed context of so many symbols before each position from depth on; the nearest symbol has the lowest bits."""
-    key = np.zeros(max(0, len(s) - depth), np.uint64)
-    for i in range(depth):
-        key = key << np.uint64(16) | s[i : len(s) - depth + i]
-    return key
-
-
-def found_in(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each key is in a sorted table, and where."""
-    if not len(table):
-        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-    at = np.searchsorted(table, keys)
-    at[at == len(table)] = 0
-    return table[at] == keys, at
-
-
-def pair_counts(rows: DataFrame, depth: int, contexts: np.ndarray) -> DataFrame:
-    """ctx, next and n: what follows the given contexts (sorted), any token that is not common being OTHER."""
-    sent = rows.sparkSession.sparkContext.broadcast(contexts)
+        yield from held_and_handed_on((h, h, h) for h, _ in (tokens(b["text"]) for b in small(batches, TOGETHER)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a key for (index of context, next symbol); counts are merged now and then
-        held, some, size = [], [], 0
-        for batch in batches:
-            for data in batch["symbols"].to_pylist():
-                s = np.frombuffer(data, "<u2").astype(np.uint64)
-                hit, at = found_in(context_keys(s, depth), sent.value)
-                following = s[depth:][hit]
-                following[following >= CLASSES] = OTHER
-                some.append(at[hit].astype(np.uint64) << np.uint64(16) | following)
-                size += len(some[-1])
-            if size > 2_000_000:
-                held.append(np.unique(np.concatenate(some), return_counts=True))
-                some, size = [], 0
-        if size:
-            held.append(np.unique(np.concatenate(some), return_counts=True))
-        if held:
-            keys, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            n = np.bincount(where, np.concatenate([c for _, c in held])).astype(np.int64)
-            for i in range(0, len(keys), 50_000):
-                k = keys[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(sent.value[(k >> np.uint64(16)).astype(np.int64)].view(np.int64)), pa.array((k & np.uint64(0xFFFF)).astype(np.int32)), pa.array(n[i : i + 50_000])], ["ctx", "next", "n"])
+    return text_bytes(docs).mapInArrow(run, "ctx long, suf long, n long").groupBy(F.col("ctx").alias("name")).agg(F.sum("n").alias("n"))
 
-    return rows.select("symbols").mapInArrow(run, "ctx long, next int, n long").groupBy("ctx", "next").agg(F.sum("n").alias("n"))
 
+def longer(docs: DataFrame, length: int, shorter: DataFrame) -> DataFrame:
+    """The grams of so many words, from those of one word fewer: each with its count (n), its context's and suffix's (of), the
+    suffix's empirical chance (q) and the last word's at the root (root)."""
+    spark = docs.sparkSession
+    contexts = spark.sparkContext.broadcast(Map.of(shorter.where(F.col("n") >= LEAST_CONTEXT).select("name")))
+    entries = spark.sparkContext.broadcast(Map.of(shorter.select("name")))
 
-def symbol_pairs(rows: DataFrame) -> DataFrame:
-    """Counts of two symbols in a row, as contexts of depth 2; and, with the earlier one missing, of single symbols."""
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for batch in small(batches, TOGETHER):
+            *_, (_, ctx, suf, name) = grams(*tokens(batch["text"]), length)
+            some = contexts.value.may_hold(ctx)
+            some[some] = entries.value.may_hold(suf[some])
+            yield name[some], ctx[some], suf[some]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        some, size = [], 0
-
-        def merge() -> None:
-            if some:
-                held.append(np.unique(np.concatenate(some), return_counts=True))
-
-        for batch in batches:
-            for data in batch["symbols"].to_pylist():
-                s = np.frombuffer(data, "<u2").astype(np.uint64)[:-1]
-                some.append(s[:-1] << np.uint64(16) | s[1:])
-                some.append(s | np.uint64(1 << 40))
-                size += 2 * len(s)
-            if size > 2_000_000:
-                merge()
-                some, size = [], 0
-        merge()
-        if held:
-            keys, where = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            n = np.bincount(where, np.concatenate([c for _, c in held])).astype(np.int64)
-            for i in range(0, len(keys), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 50_000].view(np.int64)), pa.array(n[i : i + 50_000])], ["ctx", "n"])
+        yield from held_and_handed_on(found(batches))
 
-    return rows.select("symbols").mapInArrow(run, "ctx long, n long").groupBy("ctx").agg(F.sum("n").alias("n"))
+    counted = text_bytes(docs).mapInArrow(run, "ctx long, suf long, n long").groupBy("ctx", "suf").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_ENTRY)
+    counted = materialise(counted.withColumn("name", F.xxhash64("ctx", "suf")), "grams")
+    of_ctx = shorter.where(F.col("n") >= LEAST_CONTEXT).select(F.col("name").alias("ctx"), F.col("n").alias("of"))
+    of_suf = shorter.select(F.col("name").alias("suf"), "root", F.col("p").alias("q"))
+    out = counted.join(of_ctx, "ctx").join(of_suf, "suf")
+    return materialise(out.select("name", "ctx", "suf", "n", "of", "root", "q", (F.col("n") / F.col("of")).alias("p")), "grams")
 
 
 @dataclass
-class Level:
-    """Retained contexts of one depth: their back-off weight, and entries (context's index, next) with their gain over the root."""
-
-    contexts: np.ndarray
-    alpha: np.ndarray
-    entries: np.ndarray
-    gain: np.ndarray
+class Tree:
+    """name and value of the retained grams and contexts; a text's gain over the root is the sum over all its grams."""
 
+    values: DataFrame
+    total: int
+    distinct: int
 
-class Tree:
-    """The retained contexts, shortest first. gains(symbols): log10 of each token's probability over the root's."""
-
-    def __init__(self, root: np.ndarray) -> None:
-        #: log10 probability of each common symbol at the root.
-        self.root = root
-        self.levels: list[Level] = []
-
-    def gain_after(self, ctx: np.ndarray, following: np.ndarray) -> np.ndarray:
-        """Gain over the root of each next symbol after a context of len(levels) symbols at most, all held in ctx."""
-        gain = np.zeros(len(ctx))
-        for d, level in enumerate(self.levels, 1):
-            gain = self.deepen(level, ctx & np.uint64((1 << 16 * d) - 1), following, gain)
-        return gain
-
-    @staticmethod
-    def deepen(level: Level, ctx: np.ndarray, following: np.ndarray, gain: np.ndarray) -> np.ndarray:
-        hit, at = found_in(ctx, level.contexts)
-        where = np.flatnonzero(hit)
-        gain = gain.copy()
-        gain[where] += level.alpha[at[where]]
-        common = where[following[where] < CLASSES]
-        known, entry = found_in(at[common].astype(np.uint64) << np.uint64(16) | following[common], level.entries)
-        gain[common[known]] = level.gain[entry[known]]
-        return gain
-
-    def gains(self, s: np.ndarray) -> np.ndarray:
-        gain = np.zeros(len(s))
-        for d, level in enumerate(self.levels, 1):
-            if len(s) > d:
-                gain[d:] = self.deepen(level, context_keys(s, d), s[d:], gain[d:])
-        return gain
-
-    def add_level(self, ctx: np.ndarray, following: np.ndarray, n: np.ndarray, least: float) -> np.ndarray:
-        """Retain what diverges from its suffix; returns the contexts retained. Rows are all that follows each context."""
-        names, at = np.unique(ctx, return_inverse=True)
-        total = np.bincount(at, n, minlength=len(names))
-        entry = (following != OTHER) & (n >= least)
-        e_at, e_next, e_n = at[entry], following[entry].astype(np.uint64), n[entry] - DISCOUNT
-        p = e_n / total[e_at]
-        suffix = 10 ** (self.gain_after(names[e_at], e_next) + self.root[e_next.astype(np.int64)])
-        spent, by_suffix = np.bincount(e_at, p, minlength=len(names)), np.bincount(e_at, suffix, minlength=len(names))
-        rest, rest_suffix = np.maximum(1 - spent, 1e-12), np.maximum(1 - by_suffix, 1e-12)
-        divergence = np.bincount(e_at, p * np.log(p / suffix), minlength=len(names)) + rest * np.log(rest / rest_suffix)
-        # a context stays only if its own suffix did: then one look-up after the other finds the longest
-        whole = np.ones(len(names), bool) if not self.levels else found_in(names & np.uint64((1 << 16 * len(self.levels)) - 1), self.levels[-1].contexts)[0]
-        keep = (total * divergence >= LEAST_GAIN) & whole & (by_suffix < 1)
-        new = np.cumsum(keep) - 1
-        kept = keep[e_at]
-        keys = new[e_at[kept]].astype(np.uint64) << np.uint64(16) | e_next[kept]
-        order = np.argsort(keys)
-        gain = np.log10(p[kept]) - self.root[e_next[kept].astype(np.int64)]
-        self.levels.append(Level(names[keep], np.log10(rest[keep] / rest_suffix[keep]), keys[order], gain[order]))
-        return names[keep]
-
-
-def grow(rows: DataFrame, vocabulary: Vocabulary) -> Tree:
-    """The tree from training rows. To the driver come counts above fixed shares of the corpus only."""
-    common = vocabulary.symbol < CLASSES
-    tree = Tree(vocabulary.root(vocabulary.count[common][np.argsort(vocabulary.symbol[common])]))
-    enough, least = LEAST_CONTEXT * vocabulary.total, max(2.0, LEAST_ENTRY * vocabulary.total)
-    frequent = symbol_pairs(rows).where(F.col("n") >= max(2.0, enough)).select("ctx").toArrow()["ctx"].to_numpy().view(np.uint64)
-    single = np.uint64(1 << 40)
-    candidates = np.sort(frequent[frequent >= single] - single)
-    for depth in range(1, DEPTH + 1):
-        if not len(candidates):
-            break
-        counts = materialise(pair_counts(rows, depth, candidates), "contexts")
-        # entries too small to be kept are told as one with what is not common
-        lumped = counts.withColumn("next", F.when(F.col("n") >= least, F.col("next")).otherwise(F.lit(OTHER))).groupBy("ctx", "next").agg(F.sum("n").alias("n")).toArrow().to_pandas()
-        ctx, following, n = lumped.ctx.to_numpy(np.int64).view(np.uint64), lumped.next.to_numpy(np.int64), lumped.n.to_numpy(np.float64)
-        retained = tree.add_level(ctx, following, n, least)
-        if depth == 1:
-            pairs = np.sort(frequent[frequent < single])
-            longer = pairs
-        else:
-            # a longer context: a counted (context, next), one symbol earlier
-            grown = (following != OTHER) & (n >= enough)
-            longer = np.unique(ctx[grown] << np.uint64(16) | following[grown].astype(np.uint64))
-        candidates = longer[found_in(longer & np.uint64((1 << 16 * depth) - 1), retained)[0]]
+    @property
+    def below(self) -> float:
+        return float(np.log10(self.total + self.distinct + 1.0))
+
+
+def tested(level: DataFrame) -> DataFrame:
+    """ctx of the contexts whose next words diverge from those of their suffix."""
+    p, q = (F.col("n") - DISCOUNT) / F.col("of"), F.col("q")
+    sums = level.groupBy("ctx").agg(F.max("of").alias("of"), F.sum(p).alias("p"), F.sum(q).alias("q"), F.sum(p * F.log(p / q)).alias("d"))
+    rest, rest_q = F.greatest(1 - F.col("p"), F.lit(1e-12)), F.greatest(1 - F.col("q"), F.lit(1e-12))
+    return sums.where(F.col("of") * (F.col("d") + rest * F.log(rest / rest_q)) >= LEAST_GAIN).select("ctx")
+
+
+def grow(docs: DataFrame, counts: DataFrame) -> Tree:
+    """The tree of the training rows, from their word counts."""
+    whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
+    tree = Tree(counts, whole.total, whole.distinct)
+    root = F.log10(F.col("n") + 1.0) - F.lit(tree.below)
+    shorter = counts.where(F.col("n") >= LEAST_ENTRY).select("name", "n", root.alias("root"), F.pow(F.lit(10.0), root).alias("p"))
+    levels = []
+    for length in range(2, DEPTH + 2):
+        shorter = longer(docs, length, shorter)
+        levels.append(shorter)
+    # a context is retained for its own sake or as the suffix of a retained one
+    retained, deeper = [], None
+    for i in range(DEPTH - 1, -1, -1):
+        own = tested(levels[i])
+        if deeper is not None:
+            own = own.union(levels[i].join(deeper.select(F.col("ctx").alias("name")), "name", "left_semi").select(F.col("suf").alias("ctx"))).distinct()
+        deeper = materialise(own, "retained")
+        retained.insert(0, deeper)
+    # top down: an entry's gain over the root, what its suffix's would be, and the share that backs off
+    values, upper = [], None
+    for i, level in enumerate(levels):
+        kept = level.join(retained[i], "ctx", "left_semi").withColumn("gain", F.log10((F.col("n") - DISCOUNT) / F.col("of")) - F.col("root"))
+        kept = kept.withColumn("by_suffix", F.lit(0.0)) if upper is None else kept.join(upper.select(F.col("name").alias("suf"), F.col("gain").alias("by_suffix")), "suf")
+        kept = materialise(kept, "entries")
+        spent = kept.groupBy("ctx").agg(F.max("of").alias("of"), F.sum((F.col("n") - DISCOUNT) / F.col("of")).alias("p"), F.sum(F.pow(F.lit(10.0), F.col("root") + F.col("by_suffix"))).alias("q"))
+        alpha = materialise(spent.select("ctx", "of", F.log10(F.greatest(1 - F.col("p"), F.lit(1e-12)) / F.greatest(1 - F.col("q"), F.lit(1e-12))).alias("alpha")), "alpha")
+        values += [alpha.select(F.col("ctx").alias("name"), F.col("of").alias("n"), F.col("alpha").alias("value"), F.lit(i + 1).alias("length"))]
+        values += [kept.join(alpha.select("ctx", "alpha"), "ctx").select("name", "n", (F.col("gain") - F.col("alpha") - F.col("by_suffix")).alias("value"), F.lit(i + 2).alias("length"))]
+        upper = kept
+    all_of = values[0]
+    for more in values[1:]:
+        all_of = all_of.unionByName(more)
+    tree.values = materialise(all_of.groupBy("name", "length").agg(F.max("n").alias("n"), F.sum("value").alias("value")), "values")
     return tree
 
 
+class Top:
+    """Names with two numbers each, sorted."""
+
+    def __init__(self, rows: pa.Table, *columns: str) -> None:
+        name = rows["name"].to_numpy().view(np.uint64)
+        order = np.argsort(name)
+        self.name = name[order]
+        self.columns = [np.append(rows[c].to_numpy()[order], 0.0) for c in columns]
+
+    def at(self, names: np.ndarray) -> np.ndarray:
+        """The place of each name; the last place, of zeros, if it is not there."""
+        at = np.searchsorted(self.name, names)
+        there = at < len(self.name)
+        there[there] = self.name[at[there]] == names[there]
+        return np.where(there, at, len(self.name))
+
+
+def looked_up(docs: DataFrame, counts: DataFrame, tree: Tree, held_out: Column) -> DataFrame:
+    """Each document with the sums over its most frequent words and grams, and the names left to look up with their numbers."""
+    send = docs.sparkSession.sparkContext.broadcast
+    alpha = tree.values.where("length = 1").select("name", "value")
+    words = materialise(counts.join(alpha, "name", "left").select("name", "n", F.log10(F.col("n") + 1.0).alias("log"), F.coalesce("value", F.lit(0.0)).alias("value")), "words")
+    of_grams = tree.values.where("length > 1").select("name", "n", "value")
+    top_word, top_gram = TOP_WORD * tree.total, TOP_GRAM * tree.total
+    top = send((Top(words.where(F.col("n") >= top_word).select("name", "log", "value").toArrow(), "log", "value"), Top(of_grams.where(F.col("n") >= top_gram).select("name", "value").toArrow(), "value")))
+    known = send(Map.of(of_grams.select("name")))
+    rows = text_bytes(docs, F.col("doc_id"), held_out.alias("held_out"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "logs", "gain", "names", "times"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (top_words, top_grams), grams_known = top.value, known.value
+        for batch in small(batches, TOGETHER):
+            h, begins = tokens(batch["text"])
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(begins))
+            distinct, code = np.unique(h, return_inverse=True)
+            at = top_words.at(distinct)[code]
+            found = at < len(top_words.name)
+            sums = [np.bincount(doc, found, minlength=batch.num_rows)] + [np.bincount(doc, c[at], minlength=batch.num_rows) for c in top_words.columns]
+            left = [(doc[~found], h[~found])]
+            for place, _, _, name in grams(h, begins, DEPTH + 1):
+                some = np.flatnonzero(grams_known.may_hold(name))
+                at = top_grams.at(name[some])
+                hit = at < len(top_grams.name)
+                sums[2] = sums[2] + np.bincount(doc[place[some]], top_grams.columns[0][at], minlength=batch.num_rows)
+                left.append((doc[place[some[~hit]]], name[some[~hit]]))
+            owner, name = (np.concatenate(x) for x in zip(*left, strict=True))
+            order = np.lexsort((name, owner))
+            owner, name = owner[order], name[order]
+            first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (name[1:] != name[:-1])]) if len(name) else np.zeros(0, np.int64)
+            times = np.diff(np.r_[first, len(name)])
+            offsets = pa.array(np.searchsorted(owner[first], np.arange(batch.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (name[first].view(np.int64), times.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(np.diff(begins)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(float)), pa.array(sums[2].astype(float)), *lists], names)
+
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, logs double, gain double, names array<long>, times array<long>"
+    out = materialise(rows.mapInArrow(run, schema).withColumn("number", F.monotonically_increasing_id()), "scored")
+    # no name that is left is frequent, so the join has no hot keys
+    table = words.where(F.col("n") < top_word).select("name", F.lit(1).alias("is_word"), "log", "value").unionByName(of_grams.where(F.col("n") < top_gram).select("name", F.lit(0).alias("is_word"), F.lit(0.0).alias("log"), "value"))
+    each = out.select("number", F.explode(F.arrays_zip("names", "times")).alias("x")).select("number", F.col("x.names").alias("name"), F.col("x.times").alias("times"))
+    more = each.join(table, "name").groupBy("number").agg(F.sum(F.col("times") * F.col("is_word")).alias("more_known"), F.sum(F.col("times") * F.col("log")).alias("more_logs"), F.sum(F.col("times") * F.col("value")).alias("more_gain"))
+    sums = [(F.col(c) + F.coalesce(f"more_{m}", F.lit(0))).alias(c) for c, m in (("n_known", "known"), ("logs", "logs"), ("gain", "gain"))]
+    return out.drop("names", "times").join(more, "number", "left").select("doc_id", "held_out", "n_tokens", *sums)
+
+
 def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (the root's) and score (the tree's) of each document."""
     docs = spread(docs)
     held_out = remainder_of_id(F.col("doc_id"), folds) == held
-    counts = materialise(word_counts(docs.where(~held_out)), "counts")
-    vocabulary = Vocabulary.of(counts)
-    rows = materialise(read(docs, vocabulary, held_out), "symbols")
-    tree = grow(rows.where("not held_out"), vocabulary)
-    sent = docs.sparkSession.sparkContext.broadcast(tree)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gain = [float(sent.value.gains(np.frombuffer(x, "<u2").astype(np.uint64)).sum()) for x in batch["symbols"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(gain, pa.float64())], ["number", "doc_id", "held_out", "n_tokens", "n_known", "known", "gain"])
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    known = rows.select("number", "doc_id", "held_out", "n_tokens", "n_known", "known", "symbols").mapInArrow(run, f"number long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, known double, gain double")
-    rare = rows.select("number", F.explode(F.arrays_zip("words", "times")).alias("w")).select("number", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    looked_up = rare.join(counts.where(F.col("n") < LEAST_KNOWN * vocabulary.total), "word").groupBy("number").agg(F.sum("times").alias("found"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("logs"))
-    base = F.col("known") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(vocabulary.total + vocabulary.distinct + 1.0)))
-    out = known.join(looked_up, "number", "left").withColumn("base_score", base)
-    return out.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(vocabulary.total).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("gain")).alias("score"))
+    training = docs.where(~held_out)
+    counts = materialise(word_counts(training), "counts")
+    tree = grow(training, counts)
+    base = F.col("logs") - F.col("n_tokens") * F.lit(tree.below)
+    out = looked_up(docs, counts, tree, held_out).withColumn("base_score", base)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("gain")).alias("score"))
