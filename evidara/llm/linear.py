@@ -71,7 +71,8 @@ def hashed(sample: DataFrame, featurise: Featurise) -> DataFrame:
         for batch in small(batches):
             found = [featurise(t) for t in batch["text"].to_pylist()]
             idx = pa.array([i.astype(np.int32).tobytes() for i, _ in found], pa.binary())
-            x = pa.array([v.astype(np.float32).tobytes() for _, v in found], pa.binary())
+            # values that are all one are left out
+            x = pa.array([b"" if (v == 1).all() else v.astype(np.float32).tobytes() for _, v in found], pa.binary())
             yield pa.RecordBatch.from_arrays([batch["place"], batch["y"], idx, x], ["place", "y", "idx", "x"])
 
     return sample.select(F.xxhash64("text").alias("place"), "y", "text").mapInArrow(run, "place long, y double, idx binary, x binary")
@@ -84,7 +85,7 @@ def learn(examples: list[tuple[float, np.ndarray, np.ndarray]], model: Ftrl) ->
     for _ in range(model.epochs):
         for i in order.permutation(len(examples)):
             y, idx, x = examples[i]
-            model.update(z, n, idx, x, y)
+            model.update(z, n, idx, x if len(x) else np.ones(len(idx)), y)
     return model.weights(z, n)
 
 
