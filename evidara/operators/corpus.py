@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import tempfile
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidara.functions import text as T
@@ -78,20 +80,37 @@ def islands(rows: DataFrame, partition: list[str], order: list[Column], label: s
     return run.groupBy(*partition, "island", label).agg(F.min("_at").alias("first"), F.max("_at").alias("last"), F.count("*").alias("size"))
 
 
-def descend(spark: SparkSession, nodes: DataFrame, roots: DataFrame, most: int = 10) -> DataFrame:
-    """All nodes under the roots with their depth and path, level by level; a node on its own path ends the descent.
+def written(df: DataFrame) -> DataFrame:
+    """The rows checkpointed to the shared folder: what follows does not compute them again, and lost executors do no harm."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="evidara-"))
+    return df.checkpoint()
+
+
+def descend(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """All nodes under the roots with their depth and path, level by level until a level is empty; a node on its own path ends the descent.
 
     nodes: node_id, parent_id. roots: node_id.
     """
-    level = roots.select("node_id", F.lit(0).alias("depth"), F.array("node_id").alias("path"))
+    level = written(roots.select("node_id", F.lit(0).alias("depth"), F.array("node_id").alias("path")))
     found = level
-    for depth in range(1, most + 1):
-        up = level.select(F.col("node_id").alias("parent_id"), "path")
-        level = nodes.join(up, "parent_id").where(~F.array_contains("path", F.col("node_id"))).select("node_id", F.lit(depth).alias("depth"), F.concat("path", F.array("node_id")).alias("path"))
+    while not level.isEmpty():
+        up = level.select(F.col("node_id").alias("parent_id"), "depth", "path")
+        below = nodes.join(up, "parent_id").where(~F.array_contains("path", F.col("node_id")))
+        level = written(below.select("node_id", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("node_id")).alias("path")))
         found = found.unionByName(level)
     return found.select("node_id", "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"))
 
 
+def repeated_ids(rows: DataFrame, key: str) -> DataFrame:
+    """Ids that more than one row has, and how many; rows without an id count as one group."""
+    return rows.groupBy(F.col(key).alias("id")).agg(F.count("*").alias("n")).where("n > 1")
+
+
 def violations(rows: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:
     """key and the name of every check that a row fails."""
     failed = F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items())))

@@ -43,31 +43,44 @@ def top(df: DataFrame, k: int, by: list[Column], key: str = "query_id") -> DataF
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*by))).where(F.col("rank") <= k)
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, term and tf, and the length of the document in terms."""
+def term_counts(docs: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """doc_id, term and tf, and the length of the document in terms; of the asked terms only, if there are any given.
+
+    Other terms are left out before rows are moved, and each text is tokenised once.
+    """
     t = docs.select("doc_id", T.tokens("text").alias("terms"))
-    return t.select("doc_id", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
+    each = t.select("doc_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
+    if asked is not None:
+        each = each.join(asked.select("term").distinct(), "term", "left_semi")
+    return each.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
+
+
+def document_frequency(docs: DataFrame) -> DataFrame:
+    """term and the number of documents that hold it; counted in each task first."""
+    return docs.select(F.explode(F.array_distinct(T.tokens("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def document_frequency(postings: DataFrame) -> DataFrame:
-    return postings.groupBy("term").agg(F.count("*").alias("df"))
+def collection(docs: DataFrame) -> DataFrame:
+    """One row: the number of documents and their mean length in terms."""
+    length = F.when(F.col("text").rlike(T.HAN), F.size(T.tokens("text"))).otherwise(F.regexp_count(F.lower("text"), F.lit(T.WORD)))
+    return docs.agg(F.count("*").alias("documents"), F.avg(length).alias("mean_length"))
 
 
-def inverse_frequency(postings: DataFrame, documents: int) -> DataFrame:
-    """idf of every term; a negative one becomes EPSILON times the mean over the vocabulary."""
-    raw = document_frequency(postings).select("term", "df", (F.log(F.lit(documents) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+def inverse_frequency(docs: DataFrame) -> DataFrame:
+    """df and idf of every term; a negative one becomes EPSILON times the mean over the vocabulary."""
+    # both tables that are joined to all rows have one row
+    size = F.broadcast(docs.agg(F.count("*").alias("documents")))
+    raw = document_frequency(docs).join(size).select("term", "df", (F.log(F.col("documents") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    mean = F.broadcast(raw.agg(F.avg("raw").alias("mean")))
+    return raw.join(mean).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, rank, doc_id and score. queries: query_id and text; a repeated query term counts each time."""
-    postings = term_counts(docs)
-    size = docs.select("doc_id", F.size(T.tokens("text")).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
     asked = queries.select("query_id", F.explode(T.tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(size["mean"] or 1.0)))
-    hits = asked.join(inverse_frequency(postings, size["n"]), "term").join(postings, "term")
-    scored = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * weight).alias("score"))
+    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.coalesce("mean_length", F.lit(1.0))))
+    weighed = term_counts(docs, asked).join(inverse_frequency(docs), "term").join(F.broadcast(collection(docs))).select("doc_id", "term", weight.alias("weight"))
+    scored = asked.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
     scored = scored.withColumn("score", F.round("score", 6))
     return top(scored, k, [F.col("score").desc(), F.col("doc_id")]).select("query_id", "rank", "doc_id", "score")
 
@@ -108,10 +121,12 @@ def fuse(channels: DataFrame, k: int, rrf_k: int = RRF_K) -> DataFrame:
 
     Ties go to the better vector rank, then the better lexical rank, then the key; a missing rank is one past the channel's last.
     """
-    each = channels.groupBy("query_id", "key").agg(F.sum(F.col("weight") / (rrf_k + F.col("rank"))).alias("raw"), *(F.min(F.when(F.col("channel") == c, F.col("rank"))).alias(f"{c}_rank") for c in ("vector", "lexical")))
-    last = channels.groupBy("query_id").agg(*(F.coalesce(F.max(F.when(F.col("channel") == c, F.col("rank"))), F.lit(0)).alias(f"{c}_last") for c in ("vector", "lexical")))
-    known = each.join(last, "query_id")
-    ranks = [F.coalesce(f"{c}_rank", F.col(f"{c}_last") + 1).alias(f"{c}_rank") for c in ("vector", "lexical")]
+    names = ("vector", "lexical")
+    rank_in = {c: F.when(F.col("channel") == c, F.col("rank")) for c in names}
+    each = channels.groupBy("query_id", "key").agg(F.sum(F.col("weight") / (rrf_k + F.col("rank"))).alias("raw"), *(F.min(rank_in[c]).alias(f"{c}_rank") for c in names), *(F.max(rank_in[c]).alias(f"{c}_most") for c in names))
+    w = Window.partitionBy("query_id")
+    known = each.withColumns({f"{c}_last": F.coalesce(F.max(f"{c}_most").over(w), F.lit(0)) for c in names})
+    ranks = [F.coalesce(f"{c}_rank", F.col(f"{c}_last") + 1).alias(f"{c}_rank") for c in names]
     full = known.select("query_id", "key", "raw", *ranks).withColumn("score", F.round(F.col("raw") / F.max("raw").over(Window.partitionBy("query_id")), 6))
     return top(full, k, [F.round("raw", 12).desc(), F.col("vector_rank"), F.col("lexical_rank"), F.col("key")]).select("query_id", "rank", "key", "score", "vector_rank", "lexical_rank")
 

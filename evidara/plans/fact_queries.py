@@ -175,9 +175,12 @@ def p1_quarters(spark, sf):
     return S.read(spark, sf, "orders").select("o_orderkey", q.alias("periods"), P.normal_period(F.regexp_replace(q, "_", "-FY")).alias("normal"))
 
 
-@query("SELECT source, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query("WITH r AS (SELECT doc_id, source FROM documents UNION ALL SELECT doc_id, 'again' FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT doc_id, 'third' FROM documents WHERE doc_id % 30 = 0) SELECT doc_id AS id, count(*) AS n FROM r GROUP BY 1 HAVING count(*) > 1")
 def d9_repeated_ids(spark, sf):
-    return S.documents(spark, sf).groupBy("source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+    """Ids that two records or more have, with their number: such a file is rejected."""
+    d = S.documents(spark, sf).select("doc_id", "source")
+    records = d.unionByName(d.where("doc_id % 10 = 0").withColumn("source", F.lit("again"))).unionByName(d.where("doc_id % 30 = 0").withColumn("source", F.lit("third")))
+    return corpus.repeated_ids(records, "doc_id")
 
 
 @query("SELECT user_id, CAST(min(n) AS BIGINT) AS first, CAST(max(n) AS BIGINT) AS last, count(*) AS size, event_type, island FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY n) AS island FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) = event_type THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, event_type, island")
@@ -186,9 +189,9 @@ def g1_islands(spark, sf):
     return i.select("user_id", "event_type", "island", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "size")
 
 
-@query("WITH RECURSIVE n AS (SELECT p_partkey AS node_id, CASE WHEN p_partkey > 1 THEN p_partkey // 4 + 1 END AS parent_id FROM part WHERE p_partkey = 1 OR p_partkey // 4 + 1 <> p_partkey), t AS (SELECT CAST(1 AS BIGINT) AS node_id, 0 AS depth, '1' AS path UNION ALL SELECT n.node_id, t.depth + 1, t.path || '/' || n.node_id FROM n JOIN t ON n.parent_id = t.node_id WHERE t.depth < 10 AND n.node_id <> 1) SELECT * FROM t")
+@query("WITH RECURSIVE n AS (SELECT p_partkey AS node_id, CASE WHEN p_partkey > 1 THEN p_partkey // 4 + 1 END AS parent_id FROM part WHERE p_partkey = 1 OR p_partkey // 4 + 1 <> p_partkey), t AS (SELECT CAST(1 AS BIGINT) AS node_id, 0 AS depth, '1' AS path UNION ALL SELECT n.node_id, t.depth + 1, t.path || '/' || n.node_id FROM n JOIN t ON n.parent_id = t.node_id WHERE n.node_id <> 1) SELECT * FROM t")
 def g2_descend(spark, sf):
     k = F.col("p_partkey")
     up = F.floor(k / 4) + 1
     nodes = S.read(spark, sf, "part").where((k > 1) & (up != k)).select(k.alias("node_id"), up.alias("parent_id"))
-    return corpus.descend(spark, nodes, spark.createDataFrame([(1,)], "node_id long"))
+    return corpus.descend(nodes, spark.createDataFrame([(1,)], "node_id long"))

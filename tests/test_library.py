@@ -93,7 +93,7 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
 
 def test_trees_and_audits(spark):
     nodes = spark.createDataFrame([(2, 1), (3, 1), (4, 3), (1, 4)], "node_id long, parent_id long")
-    got = corpus.descend(spark, nodes, spark.createDataFrame([(1,)], "node_id long")).collect()
+    got = corpus.descend(nodes, spark.createDataFrame([(1,)], "node_id long")).collect()
     assert sorted((r.node_id, r.depth, r.path) for r in got) == [(1, 0, "1"), (2, 1, "1/2"), (3, 1, "1/3"), (4, 2, "1/3/4")]
     bad = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 0.0]), (2, [float("nan"), 1.0, 1.0])], "vec_id long, embedding array<float>")
     assert corpus.vector_audit(bad).first().asDict() == {"vectors": 3, "sizes": 2, "not_finite": 1, "zero": 1, "repeated_ids": 1}
