@@ -34,11 +34,11 @@ from evidara.llm.common import U64, materialise, remainder_of_id, small, spread,
 
 DEPTH = 3
 #: Occurrences of a context that is tested and of an entry that is kept.
-LEAST_CONTEXT, LEAST_ENTRY = 32, 4
+LEAST_CONTEXT, LEAST_ENTRY = 1000, 24
 #: Occurrences times divergence (natural log) that keep a context, and what is taken off each entry's count.
 LEAST_GAIN, DISCOUNT = 20.0, 0.5
 #: Shares of the training tokens from which words and grams are broadcast: at most 1/share of each.
-TOP_WORD, TOP_GRAM = 1e-6, 4e-6
+TOP_WORD, TOP_GRAM = 5e-7, 1e-6
 #: Bits of a map: a fixed size (4 MB), whatever the corpus.
 BITS = 1 << 25
 #: Grams that a counting task holds before it merges and hands them on, and rows that are read together.

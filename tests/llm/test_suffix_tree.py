@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 from evidara.llm import suffix_tree as st
 
 
+@pytest.fixture(autouse=True)
+def small_counts(monkeypatch):
+    """Thresholds that a small corpus reaches; they are used on the driver alone."""
+    monkeypatch.setattr(st, "LEAST_CONTEXT", 32)
+    monkeypatch.setattr(st, "LEAST_ENTRY", 4)
+
+
 def split(text):
     words, now = [], b""
     for b in (text or "").encode() + b" ":
