@@ -26,7 +26,7 @@ from evidara.llm.common import materialise, small, spread
 CAPACITY = 2048
 END_ID = 0
 #: Pieces in a bucket within which ranks are counted, on average.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 5_000
 
 
 class OpenSequences:

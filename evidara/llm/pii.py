@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidara.llm.common import materialise, spread
+from evidara.llm.common import materialise, row_of, spread
 
 #: Base kinds in their fixed order, and the kind of what the method adds.
 KINDS = ("email", "ip", "card", "phone")
@@ -85,6 +85,10 @@ def passes(kind: str) -> Callable[[Column], Column]:
     return lambda s: valid(kind, s["v"])
 
 
+def fails(kind: str) -> Callable[[Column], Column]:
+    return lambda s: ~valid(kind, s["v"])
+
+
 def ranked(kind: str) -> Callable[[Column], Column]:
     """A span with the place of its kind in the fixed order."""
     return lambda s: F.struct(s["st"].alias("st"), F.lit(KINDS.index(kind)).alias("rank"), s["en"].alias("en"), F.lit(kind).alias("kind"), s["v"].alias("v"))
@@ -111,14 +115,17 @@ def contexts(st: Column, en: Column) -> Column:
 
 def extract(docs: DataFrame, *keep: str) -> DataFrame:
     """row (the kept columns), a number for each row, the base spans, and the instances with their patterns. Written out."""
-    df = spread(docs).select(F.struct(*keep).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    df = spread(docs).select(row_of(docs, keep).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     for kind in PATTERNS:
         df = add_spans(df, kind)
+    # what looks like a base kind and fails its check is no identifier either
+    df = df.withColumn("failed", F.concat(*(F.filter(kind, fails(kind)) for kind in KINDS[1:])))
     for kind in KINDS[1:]:
         df = df.withColumn(kind, F.filter(kind, passes(kind)))
     base = F.concat(*(F.transform(kind, ranked(kind)) for kind in KINDS))
     df = df.withColumn("base", F.array_sort(base))
-    apart = F.filter(FOUND, lambda s: ~F.exists("base", lambda b: (b["st"] < s["en"]) & (s["st"] < b["en"])))
+    meets = lambda spans, s: F.exists(spans, lambda b: (b["st"] < s["en"]) & (s["st"] < b["en"]))
+    apart = F.filter(FOUND, lambda s: ~meets("base", s) & ~meets("failed", s))
     df = df.withColumn(FOUND, apart)
     instance = lambda s, seed: F.struct(s["st"].alias("st"), s["en"].alias("en"), F.lower(s["v"]).alias("v"), F.lit(seed).alias("seed"), contexts(s["st"], s["en"]).alias("patterns"))
     instances = F.concat(F.transform("base", lambda s: instance(s, True)), F.transform(FOUND, lambda s: instance(s, False)))
@@ -182,18 +189,24 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents with every span replaced by its kind in brackets, and n_chars, where there is one, counted anew."""
-    columns = docs.columns
-    df = find(docs, *columns).select("row.*", F.col("spans").alias("_spans"), F.coalesce("row.text", F.lit("")).alias("_text"))
+    """The documents with every span replaced by its kind in brackets, and n_chars, where there is one, counted anew.
+
+    All other columns stay as they are, whatever their names.
+    """
+    df = find(docs, *docs.columns).select("row", "spans", F.coalesce("row.text", F.lit("")).alias("text"))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def go_on(acc: Column, s: Column) -> Column:
         apart = s["st"] >= acc["at"]
-        more = F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, s["st"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        more = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["st"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
         return F.struct(F.greatest(acc["at"], s["en"]).alias("at"), F.when(apart, more).otherwise(acc["out"]).alias("out"))
 
-    whole = F.aggregate("_spans", begin, go_on, lambda acc: F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, F.length("_text"))))
-    df = df.withColumn("text", F.when(F.size("_spans") > 0, whole).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        df = df.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    whole = F.aggregate("spans", begin, go_on, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    df = df.select("row", (F.size("spans") > 0).alias("changed"), F.when(F.size("spans") > 0, whole).otherwise(F.col("row.text")).alias("text"))
+    columns = []
+    for name in docs.columns:
+        own = F.col("row")[name]
+        if name == "n_chars":
+            own = F.when(F.col("changed"), F.length("text").cast(docs.schema[name].dataType)).otherwise(own)
+        columns.append((F.col("text") if name == "text" else own).alias(name))
     return df.select(*columns)

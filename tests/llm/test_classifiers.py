@@ -58,6 +58,39 @@ def test_no_labels(odd_docs, no_docs, spark):
     assert kept.columns == odd_docs.columns
 
 
+def test_learning_is_plain_ftrl():
+    """The learner's weights are those of the published update, one coordinate at a time."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    model = linear.Ftrl(bits=6, alpha=0.5, beta=1.0, l1=0.3, l2=0.1, epochs=3)
+    examples = [(float(r.random() < 0.4), np.unique(r.integers(0, 64, 6)).astype(np.int32), np.zeros(0, np.float32)) for _ in range(60)]
+    examples += [(1.0, np.array([3, 9], np.int32), np.array([0.5, -2.0], np.float32))]
+    z, n, w = [0.0] * 64, [0.0] * 64, [0.0] * 64
+    order = np.random.default_rng(len(examples))
+    for _ in range(model.epochs):
+        for i in order.permutation(len(examples)):
+            y, idx, x = examples[i]
+            x = x if len(x) else np.ones(len(idx))
+            for j in idx:
+                w[j] = 0.0 if abs(z[j]) <= model.l1 else -(z[j] - np.sign(z[j]) * model.l1) / ((model.beta + n[j] ** 0.5) / model.alpha + model.l2)
+            p = 1 / (1 + np.exp(-sum(w[j] * v for j, v in zip(idx, x))))
+            for j, v in zip(idx, x):
+                g = (p - y) * v
+                z[j] += g - ((n[j] + g * g) ** 0.5 - n[j] ** 0.5) / model.alpha * w[j]
+                n[j] += g * g
+    want = [0.0 if abs(a) <= model.l1 else -(a - np.sign(a) * model.l1) / ((model.beta + b**0.5) / model.alpha + model.l2) for a, b in zip(z, n)]
+    assert linear.learn(examples, model) == pytest.approx(np.array(want), abs=1e-9)
+
+
+def test_names_of_other_columns(spark):
+    docs = spark.createDataFrame([(1, "some text", "x", 2.0)], "doc_id long, text string, `a.b` string, toxicity_score double")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    kept = toxicity.keep_clean(docs, none.unionByName(spark.createDataFrame([(1, 1, 0)], none.schema)))
+    assert kept.columns == docs.columns
+    assert quality.keep_good(docs, none).columns == docs.columns
+
+
 def brute_base(text):
     text = text or ""
     words, now = [], ""

@@ -36,6 +36,19 @@ def test_every_row(spark, odd_docs, no_docs, monkeypatch):
     check(spark, [(i * 7 % 1000, "".join(r.choice("abcé 🙂") for _ in range(r.randint(0, 80)))) for i in range(300)])
 
 
+def test_ids_of_any_type_and_large_groups_of_one_id(spark, monkeypatch):
+    """The ranges give what one sort gives, where ids are text and where most rows share an id or have none."""
+    monkeypatch.setattr(fp, "RUN_CHARS", 400)
+    r = random.Random(6)
+    some = lambda: "".join(r.choice("abcé 🙂") for _ in range(r.randint(0, 80)))
+    for ids in ([f"d{i:03}é"[: r.randint(2, 5)] for i in range(200)], [r.choice([None, "a", "a", "b"]) for _ in range(200)]):
+        rows = list({(i, some()) for i in ids})
+        order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or "", x[1]), reverse=True)
+        df = spark.createDataFrame(rows, "doc_id string, text string").withColumnRenamed("doc_id", "doc_id")
+        want = sorted((str(a[0]), a[1], order[(i + 1) % len(order)][1]) for i, a in enumerate(order))
+        assert sorted((str(x.doc_id), x.text, x.next) for x in fp.with_next(df).collect()) == want
+
+
 def test_anchors_are_closed_syncmers():
     r = random.Random(3)
     text = "".join(r.choice("abcdefg ") for _ in range(400))

@@ -50,8 +50,18 @@ def test_base_spans(spark, odd_docs, no_docs):
 
 
 def test_very_long_runs(spark):
-    texts = ["1" * 100_000, "1 " * 50_000, "a" * 100_000, "a@" + "b." * 50_000 + "c", "1.1.1." * 20_000, "+1" + " " * 100_000, "a@b.c " * 2000]
+    # the plain patterns are quadratic on these, so they bound the lengths here
+    texts = ["1" * 6000, "1 " * 4000, "a" * 6000, "a@" + "b." * 6000 + "c", "1.1.1." * 2000, "+1" + " " * 6000, "a@b.c " * 2000]
     check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    long = ["1" * 200_000, "a" * 200_000, "a@" + "b." * 100_000 + "c", "+1" + " " * 200_000]
+    got = pii.report(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone) for r in got) == [(0, 0, 0, 0, 0), (1, 0, 0, 0, 0), (2, 1, 0, 0, 0), (3, 0, 0, 0, 0)]
+
+
+def test_what_a_base_rule_rejects_is_not_found_again(spark):
+    rows = [(i, f"card no 411111111111111{'1' if i else '2'} x, member m{i}@x{i}.org and member 4111-1111-1111-1112") for i in range(8)]
+    spans = [r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert all("id:" not in s for s in spans)
 
 
 def test_contexts_find_unseen_identifiers(spark):
@@ -83,3 +93,5 @@ def test_redact(spark, no_docs, odd_docs):
     df = spark.createDataFrame([(1, "é a@b.co, +1 (234) 555-6789!", "en", 29), (2, None, None, None), (3, "plain", "en", 5)], "doc_id long, text string, lang string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in pii.redact(df).collect()}
     assert got == {1: ("é [EMAIL], [PHONE]!", 19), 2: (None, None), 3: ("plain", 5)}
+    names = spark.createDataFrame([(1, "to a@b.co", "x", 7, 8)], "doc_id long, text string, `a.b` string, _spans long, row long")
+    assert pii.redact(names).columns == names.columns and pii.redact(names).first() == (1, "to [EMAIL]", "x", 7, 8)
