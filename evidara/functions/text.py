@@ -120,3 +120,13 @@ def alphanumeric_share(text: Column | str) -> Column:
     """Letters and digits among the characters that are not white space."""
     shown = F.length(F.regexp_replace(column(text), r"\s+", ""))
     return F.try_divide(F.length(F.regexp_replace(column(text), r"[^\p{L}\p{N}]+", "")).cast("double"), shown.cast("double"))
+
+
+def listed(text: Column | str) -> Column:
+    """Values parted by pipes or commas, trimmed, blank ones left out."""
+    return F.filter(F.transform(F.split(F.replace(column(text), F.lit(","), F.lit("|")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def authority(named: Column, tenant: Column) -> Column:
+    """The stated authority of a source in lower case, else public for tenant 0 and private for the others."""
+    return F.coalesce(F.nullif(F.lower(F.trim(named)), F.lit("")), F.when(tenant == 0, "public").otherwise("private"))

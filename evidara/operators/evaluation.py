@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -69,3 +69,93 @@ def compare_runs(old: DataFrame, new: DataFrame) -> DataFrame:
     o, n = old.select("query_id", F.col("recall").alias("old")), new.select("query_id", F.col("recall").alias("new"))
     verdict = F.when(F.col("old").isNull() | F.col("new").isNull(), "UNCOMPARABLE").when(F.col("new") > F.col("old"), "IMPROVED").when(F.col("new") < F.col("old"), "REGRESSED").otherwise("UNCHANGED")
     return o.join(n, "query_id", "full_outer").groupBy(verdict.alias("verdict")).agg(F.count("*").alias("queries"))
+
+
+#: Words of a promise that no source gives.
+MARKERS = ["guaranteed return", "risk-free", "insider information", "secret deal", "confidential source", "100% guaranteed", "perfect prediction"]
+
+
+def hallucination(answer: Column, sources: Column, companies: Column) -> Column:
+    """100 less 10 for each marker found; sources and a company that is named give 5 back each; from 0 to 100."""
+    t = F.lower(answer)
+    left = 100.0 - 10.0 * F.size(F.filter(F.array(*map(F.lit, MARKERS)), lambda m: F.contains(t, m)))
+    left = F.when(F.size(sources) > 0, F.least(left + 5, F.lit(100.0))).otherwise(left)
+    left = F.when(F.exists(companies, lambda c: F.contains(t, F.lower(c))), F.least(left + 5, F.lit(100.0))).otherwise(left)
+    return F.when(F.coalesce(F.trim(answer), F.lit("")) == "", 100.0).otherwise(F.round(F.greatest(left, F.lit(0.0)), 1))
+
+
+def categorical_match(actual: Column, expected: Column) -> Column:
+    """100 where nothing is expected or both say the same, whatever case and blanks; else 0."""
+    same = F.lower(F.trim(actual)) == F.lower(F.trim(expected))
+    return F.when(F.coalesce(expected, F.lit("")) == "", 100.0).when(F.coalesce(same, F.lit(False)), 100.0).otherwise(0.0)
+
+
+def source_match(found: Column, expected: Column) -> Column:
+    """F1 of source names in per cent, whatever case and blanks; null where no source is expected."""
+    names = lambda a: F.array_distinct(F.filter(F.transform(a, lambda s: F.lower(F.trim(s))), lambda s: s != ""))
+    got, want = names(found), names(expected)
+    both = F.size(F.array_intersect(got, want)).cast("double")
+    return F.when(F.size(want) > 0, F.round(200 * both / (F.size(got) + F.size(want)), 1))
+
+
+def better_retriever(a: Column, b: Column) -> Column:
+    """HYBRID (a), TREE (b) or TIE: first what has no wrong citation at all, then recall, then precision. Both: wrong (counts), recall, precision."""
+    rank = lambda x: F.struct(F.forall(x["wrong"], lambda n: n == 0).alias("sound"), x["recall"].alias("recall"), x["precision"].alias("precision"))
+    return F.when(rank(a) == rank(b), "TIE").when(rank(a) > rank(b), "HYBRID").otherwise("TREE")
+
+
+def numbered(evidence: DataFrame, key: str, k: int) -> DataFrame:
+    """The first k rows of each key in their place, numbered from 1."""
+    w = Window.partitionBy(key).orderBy("place")
+    return evidence.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def joined(rows: DataFrame, key: str, block: Column, name: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("block")))), lambda x: x["block"]), "\n").alias(name))
+
+
+def head(*more: Column) -> Column:
+    """The lines that name a piece of evidence."""
+    return F.concat(F.lit("[Evidence "), F.col("rank").cast("string"), F.lit("]\nSource: "), "source", F.lit("\nChunk: "), F.col("chunk_id").cast("string"), F.lit("\n"), *more)
+
+
+def context(evidence: DataFrame, key: str, k: int) -> DataFrame:
+    """The evidence of each key as one text to answer from. evidence: source, chunk_id, text and place."""
+    return joined(numbered(evidence, key, k), key, head(F.lit("\n\n"), F.col("text"), F.lit("\n")), "context")
+
+
+def citations(evidence: DataFrame, key: str, k: int) -> DataFrame:
+    """The references of each key, each with a preview of 150 characters. evidence: source, chunk_id, text, confidence and place."""
+    return joined(numbered(evidence, key, k), key, head(F.lit("Confidence: "), F.col("confidence").cast("string"), F.lit("\n\nPreview:\n"), F.substring("text", 1, 150), F.lit("\n\n" + "-" * 60)), "citations")
+
+
+def held_by_source(evidence: DataFrame, sources: DataFrame) -> DataFrame:
+    """Evidence with whether its span is in the source block that it names, on the same page. Both: doc_id, block_id, page."""
+    s = sources.select("doc_id", "block_id", F.col("page").alias("_page"), F.col("text").alias("_text"))
+    ok = (F.col("page") == F.col("_page")) & (F.trim("words") != "") & F.contains(F.col("_text"), F.col("words"))
+    return evidence.join(s, ["doc_id", "block_id"], "left").withColumn("held", F.coalesce(ok, F.lit(False))).drop("_page", "_text")
+
+
+def coverage(required: DataFrame, found: DataFrame, key: str, on: list[str]) -> DataFrame:
+    """FULL, PARTIAL or NONE for each key, and the share of what it requires that was found."""
+    there = found.select(key, *on).distinct().withColumn("_there", F.lit(True))
+    each = required.join(there, [key, *on], "left").withColumn("_there", F.coalesce("_there", F.lit(False)))
+    grade = F.when(F.every("_there"), "FULL").when(F.some("_there"), "PARTIAL").otherwise("NONE")
+    return each.groupBy(key).agg(grade.alias("coverage"), F.round(F.avg(F.col("_there").cast("double")), 6).alias("share"))
+
+
+def benchmark_summary(runs: DataFrame, key: str, quality: str, latency: str) -> DataFrame:
+    """Runs of each key, how many were scored, and means over those that have a value."""
+    return runs.groupBy(key).agg(F.count("*").alias("n"), F.count(quality).alias("scored"), F.round(F.avg(quality), 4).alias("quality"), F.round(F.avg(latency), 4).alias("latency"))
+
+
+def ranked_confidence(rows: DataFrame) -> DataFrame:
+    """Rank of each row of a query, and its score as a confidence from 0 to 1."""
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
+    return rows.select("query_id", "doc_id", F.round(F.greatest(F.least("score", F.lit(1.0)), F.lit(0.0)), 4).cast("double").alias("confidence"), F.row_number().over(w).alias("rank"))
+
+
+def best_rejected(rows: DataFrame) -> DataFrame:
+    """The most confident row, the first of equals, of each query of which no row was admitted."""
+    best = F.max_by(F.struct("doc_id", "confidence"), F.struct("confidence", (-F.col("doc_id")).alias("first")))
+    return rows.groupBy("query_id").agg(F.some("admitted").alias("any"), best.alias("best")).where("not any").select("query_id", "best.*")
