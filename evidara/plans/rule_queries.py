@@ -106,7 +106,7 @@ def j12_dependencies(spark, sf):
     return S.read(spark, sf, "orders").select("o_orderkey", rules.dependencies_met(needs, done).alias("met"))
 
 
-@query("WITH l AS (SELECT l_orderkey, l_linenumber AS k, l_returnflag AS d, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) AS r FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey)), s AS (SELECT l_orderkey, k, r, row_number() OVER (PARTITION BY l_orderkey, d ORDER BY r) AS within, CASE d WHEN 'R' THEN 1 WHEN 'A' THEN 2 END AS slot FROM l), o AS (SELECT l_orderkey, k, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN within = 1 THEN coalesce(slot, 9) ELSE 9 END, r) AS place FROM s) SELECT l_orderkey, string_agg(k, ',' ORDER BY place) AS keys FROM o WHERE place <= 3 GROUP BY 1")
+@query("WITH l AS (SELECT l_orderkey, l_linenumber AS k, l_returnflag AS d, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber) AS r FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag)), s AS (SELECT l_orderkey, k, r, row_number() OVER (PARTITION BY l_orderkey, d ORDER BY r) AS within, CASE d WHEN 'R' THEN 1 WHEN 'A' THEN 2 END AS slot FROM l), o AS (SELECT l_orderkey, k, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN within = 1 THEN coalesce(slot, 9) ELSE 9 END, r) AS place FROM s) SELECT l_orderkey, string_agg(k, ',' ORDER BY place) AS keys FROM o WHERE place <= 3 GROUP BY 1")
 def r12_reserved_slots(spark, sf):
     once = S.read(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min_by(F.struct("l_quantity", "l_returnflag"), F.struct("l_partkey", "l_quantity", "l_returnflag")).alias("x"))
     c = once.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("x.l_quantity")).alias("q"), "l_linenumber", F.col("x.l_returnflag").alias("f")))), lambda r: F.struct(r["l_linenumber"].cast("long").alias("key"), F.array(r["f"]).alias("dimensions"))).alias("scored"))
