@@ -33,8 +33,8 @@ from evidara.llm.common import small, spread
 
 #: Code points in a part that is encoded at once.
 LEAF = 32_768
-#: Pieces that each Python worker remembers for good, and those met once of late that wait to be met again (130 MB in all at most).
-REMEMBERED, WAITING = 300_000, 400_000
+#: Pieces that each Python worker remembers for good, and those met once of late that wait to be met again (some 70 MB in all).
+REMEMBERED, WAITING = 150_000, 200_000
 #: Rows that are encoded together.
 TOGETHER = 2000
 #: Marks a text that is not plain Latin: a control that the library does not take for white space, or a letter past Latin Extended-B (or the

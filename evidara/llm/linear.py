@@ -95,8 +95,9 @@ def train(sample: DataFrame, featurise: Featurise, model: Ftrl) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples = []
         for batch in batches:
-            for y, idx, x in zip(*(batch[c].to_pylist() for c in ("y", "idx", "x")), strict=True):
-                examples.append((y, np.frombuffer(idx, np.int32), np.frombuffer(x, np.float32)))
+            # views of the batch's own memory, which is held once
+            for y, idx, x in zip(batch["y"].to_pylist(), batch["idx"], batch["x"], strict=True):
+                examples.append((y, np.frombuffer(idx.as_buffer(), np.int32), np.frombuffer(x.as_buffer(), np.float32)))
         w = learn(examples, model)
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at].astype(np.float32))], ["at", "w"])
