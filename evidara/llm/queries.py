@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,5 +55,41 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
 
 
+def base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op8_quality counts, without the learnt verdict, so that SQL can say it."""
+    docs = table(spark, sf_dir, "documents")
+    nothing = np.zeros(1 << quality.MODEL.bits, np.float32)
+    return quality.judge(docs, (nothing, 1.0, 0.0), "doc_id").select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many base spans of each kind op4_pii finds, so that SQL can say it."""
+    return op4_pii(spark, sf_dir).select("doc_id", *(f"n_{k}" for k in pii.KINDS))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_lm_scoring, op3_bpe, op4_pii, op5_near_dup, op6_packing, op7_token_counts, op8_quality, op9_html, op10_fingerprints)}
-ORACLES: dict[str, str] = {}
+QUERIES |= {"corpus_base_counts": base_counts, "corpus_base_spans": base_spans}
+
+WORDS = r"regexp_extract_all({0}, '[^ \t\n\x0B\f\r]+')"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: All pairs of documents that share a shingle, then what is reachable by links: exact, for tables of a few thousand documents.
+NEAR = f"""WITH RECURSIVE t AS (SELECT doc_id, {WORDS.format(LOWER)} AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM t),
+e AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * c >= 80 * (na + nb - c)), both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS o FROM documents UNION SELECT r.doc_id, b FROM r JOIN both_ways ON r.o = a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN (SELECT doc_id, min(o) AS component_id FROM r GROUP BY 1) USING (doc_id)"""
+COUNTS = rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+x AS (SELECT doc_id, i, list_slice(w, i, i + 7) AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM t WHERE len(w) >= 8)),
+h AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM x) WHERE n > 1),
+m AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM h) GROUP BY 1),
+c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, list_filter(string_split(text, chr(10)), lambda y: len({WORDS.format("y")}) > 0) AS lines FROM t)
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(m.n, 0) AS n_repeat_words, n_words < 20 OR 100 * coalesce(m.n, 0) > 30 * n_words AS base_failed FROM c LEFT JOIN m USING (doc_id)"""
+DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
+LUHN = "list_sum(list_transform(generate_series(1, length(d)), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN CAST(d[i:i] AS INTEGER) ELSE CAST(d[i:i] AS INTEGER) * 2 - CASE WHEN CAST(d[i:i] AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+SPANS = rf"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) AS BIGINT) AS n_email,
+CAST(len(list_filter(regexp_extract_all(text, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), lambda v: list_max(list_transform(string_split(v, '.'), lambda x: coalesce(TRY_CAST(x AS BIGINT), 999))) <= 255)) AS BIGINT) AS n_ip,
+CAST(len(list_filter(list_transform(regexp_extract_all(text, '[0-9](?:[ -]?[0-9])+'), lambda v: {DIGITS}), lambda d: length(d) BETWEEN 14 AND 19 AND {LUHN})) AS BIGINT) AS n_card,
+CAST(len(list_filter(regexp_extract_all(text, '\+[0-9][ ().0-9-]+[0-9]'), lambda v: length({DIGITS}) BETWEEN 10 AND 15)) AS BIGINT) AS n_phone FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)"""
+ORACLES: dict[str, str] = {"op5_near_dup": NEAR, "corpus_base_counts": COUNTS, "corpus_base_spans": SPANS}

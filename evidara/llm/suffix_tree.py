@@ -1,12 +1,13 @@
 """LM scoring by a probabilistic suffix tree over words.
 
-The root is the add-one unigram over all training tokens. A context (up to DEPTH words) that occurs LEAST_CONTEXT times is tested: if
+The root is the add-one unigram over all training tokens. A context (up to DEPTH words) that occurs often enough is tested: if
 what follows it diverges enough from what follows its own suffix, it is retained, and its suffixes with it. A retained
-context knows the next words that follow it LEAST_ENTRY times; the mass it does not spend on them goes to its suffix, in the
+context knows the next words that follow it often enough; the mass it does not spend on them goes to its suffix, in the
 suffix's proportions, so each distribution sums to one. A text is scored with the longest retained suffix at each token.
 
-All thresholds are absolute counts and every word is a symbol of its own, so what is gathered grows with the corpus. It stays in
-tables: grams of one word more are counted from those of one word fewer. The gain over the root of a token is the sum of a
+Every word is a symbol of its own, and what is often enough grows with the square root of the training tokens only: so what is gathered
+grows with the corpus, about as its square root, while estimates get surer. It stays in tables: grams of one word more are
+counted from those of one word fewer. The gain over the root of a token is the sum of a
 value for each gram that ends at it and one for each that ends before it, so a text's score is the sum of its grams' values: one
 look-up by join. Two things of fixed size are broadcast: the values of the most frequent words and grams (by share of the corpus, so
 that no hot key is joined), and bit maps that tell most grams that are not in a table. On a corpus so large that the
@@ -33,8 +34,8 @@ from xxhash import xxh3_64_intdigest
 from evidara.llm.common import U64, materialise, remainder_of_id, small, spread, text_bytes
 
 DEPTH = 3
-#: Occurrences of a context that is tested and of an entry that is kept.
-LEAST_CONTEXT, LEAST_ENTRY = 1000, 24
+#: Occurrences of a context that is tested and of an entry that is kept, for each root of the training tokens.
+ROOT_CONTEXT, ROOT_ENTRY = 0.2, 0.005
 #: Occurrences times divergence (natural log) that keep a context, and what is taken off each entry's count.
 LEAST_GAIN, DISCOUNT = 20.0, 0.5
 #: Shares of the training tokens from which words and grams are broadcast: at most 1/share of each.
@@ -49,6 +50,11 @@ END = U64(xxh3_64_intdigest(b""))
 P1, P2, P3, P4, P5 = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
+def thresholds(total: int) -> tuple[float, float]:
+    """Least occurrences of a context and of an entry."""
+    return max(2.0, ROOT_CONTEXT * total**0.5), max(2.0, ROOT_ENTRY * total**0.5)
+
+
 def rotated(x: np.ndarray, n: int) -> np.ndarray:
     return x << U64(n) | x >> U64(64 - n)
 
@@ -152,11 +158,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return text_bytes(docs).mapInArrow(run, "ctx long, suf long, n long").groupBy(F.col("ctx").alias("name")).agg(F.sum("n").alias("n"))
 
 
-def longer(docs: DataFrame, length: int, shorter: DataFrame) -> DataFrame:
+def longer(docs: DataFrame, length: int, shorter: DataFrame, least_context: float, least_entry: float) -> DataFrame:
     """The grams of so many words, from those of one word fewer: each with its count (n), its context's and suffix's (of), the
     suffix's empirical chance (q) and the last word's at the root (root)."""
     spark = docs.sparkSession
-    contexts = spark.sparkContext.broadcast(Map.of(shorter.where(F.col("n") >= LEAST_CONTEXT).select("name")))
+    contexts = spark.sparkContext.broadcast(Map.of(shorter.where(F.col("n") >= least_context).select("name")))
     entries = spark.sparkContext.broadcast(Map.of(shorter.select("name")))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -169,9 +175,9 @@ def longer(docs: DataFrame, length: int, shorter: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from held_and_handed_on(found(batches))
 
-    counted = text_bytes(docs).mapInArrow(run, "ctx long, suf long, n long").groupBy("ctx", "suf").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_ENTRY)
+    counted = text_bytes(docs).mapInArrow(run, "ctx long, suf long, n long").groupBy("ctx", "suf").agg(F.sum("n").alias("n")).where(F.col("n") >= least_entry)
     counted = materialise(counted.withColumn("name", F.xxhash64("ctx", "suf")), "grams")
-    of_ctx = shorter.where(F.col("n") >= LEAST_CONTEXT).select(F.col("name").alias("ctx"), F.col("n").alias("of"))
+    of_ctx = shorter.where(F.col("n") >= least_context).select(F.col("name").alias("ctx"), F.col("n").alias("of"))
     of_suf = shorter.select(F.col("name").alias("suf"), "root", F.col("p").alias("q"))
     out = counted.join(of_ctx, "ctx").join(of_suf, "suf")
     return materialise(out.select("name", "ctx", "suf", "n", "of", "root", "q", (F.col("n") / F.col("of")).alias("p")), "grams")
@@ -202,11 +208,12 @@ def grow(docs: DataFrame, counts: DataFrame) -> Tree:
     """The tree of the training rows, from their word counts."""
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
     tree = Tree(counts, whole.total, whole.distinct)
+    least_context, least_entry = thresholds(tree.total)
     root = F.log10(F.col("n") + 1.0) - F.lit(tree.below)
-    shorter = counts.where(F.col("n") >= LEAST_ENTRY).select("name", "n", root.alias("root"), F.pow(F.lit(10.0), root).alias("p"))
+    shorter = counts.where(F.col("n") >= least_entry).select("name", "n", root.alias("root"), F.pow(F.lit(10.0), root).alias("p"))
     levels = []
     for length in range(2, DEPTH + 2):
-        shorter = longer(docs, length, shorter)
+        shorter = longer(docs, length, shorter, least_context, least_entry)
         levels.append(shorter)
     # a context is retained for its own sake or as the suffix of a retained one
     retained, deeper = [], None

@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 from evidara.llm import suffix_tree as st
 
 
+LEAST_CONTEXT, LEAST_ENTRY = 32, 4
+UNPATCHED = st.thresholds
+
+
 @pytest.fixture(autouse=True)
 def small_counts(monkeypatch):
     """Thresholds that a small corpus reaches; they are used on the driver alone."""
-    monkeypatch.setattr(st, "LEAST_CONTEXT", 32)
-    monkeypatch.setattr(st, "LEAST_ENTRY", 4)
+    monkeypatch.setattr(st, "thresholds", lambda total: (LEAST_CONTEXT, LEAST_ENTRY))
 
 
 def split(text):
@@ -45,7 +48,7 @@ class Plain:
         self.distinct = sum(len(k) == 1 for k in self.n)
         self.after = defaultdict(list)
         for k, v in self.n.items():
-            if len(k) > 1 and v >= st.LEAST_ENTRY and self.n[k[:-1]] >= st.LEAST_CONTEXT:
+            if len(k) > 1 and v >= LEAST_ENTRY and self.n[k[:-1]] >= LEAST_CONTEXT:
                 self.after[k[:-1]].append(k[-1])
         self.kept = set()
         for ctx, words in self.after.items():
@@ -133,6 +136,12 @@ def test_more_text_gives_a_larger_tree(spark):
     assert sizes[1] > 2 * sizes[0] > 0
 
 
+def test_thresholds_leave_room_to_grow():
+    now, then = UNPATCHED(10**6), UNPATCHED(10**10)
+    # a corpus of 10,000 times the tokens may hold 100 times the contexts and entries
+    assert [b / a for a, b in zip(now, then)] == [pytest.approx(100)] * 2
+
+
 def test_empty_and_repeated(spark, odd_docs, no_docs):
     assert st.score(no_docs).count() == 0
     assert st.score(odd_docs).count() == odd_docs.count()
