@@ -37,6 +37,18 @@ def small(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator
             yield batch.slice(at, rows)
 
 
+def by_size(batches: Iterable[pa.RecordBatch], most: int, name: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many bytes of a binary column, or of one row."""
+    for batch in batches:
+        if batch.num_rows:
+            offsets = np.frombuffer(batch[name].buffers()[1], np.int32)[batch[name].offset :][: batch.num_rows + 1]
+            at = 0
+            while at < batch.num_rows:
+                stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
+                yield batch.slice(at, stop - at)
+                at = stop
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. A folder of our own stands in only where all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -78,3 +90,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> U64(29))
     x = x * U64(0xBF58476D1CE4E5B9)
     return x ^ (x >> U64(32))
+
+
+class BitMap:
+    """A bit map of 64-bit names: says no only of names that are not in it. The number of bits is a power of two."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits = bits
+
+    @classmethod
+    def of(cls, names: DataFrame, size: int) -> BitMap:
+        at = [F.pmod("name", F.lit(size)), F.pmod(F.shiftrightunsigned("name", 32), F.lit(size))]
+        place = names.select(F.explode(F.array(*at)).alias("place")).select((F.col("place") + 1).alias("place"))
+        rows = place.groupBy(F.expr("bitmap_bucket_number(place)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(place))").alias("bits")).toArrow()
+        bits = np.zeros((size // 32768, 4096), np.uint8)
+        for bucket, some in zip(rows["bucket"].to_pylist(), rows["bits"].to_pylist(), strict=True):
+            bits[bucket - 1] = np.frombuffer(some, np.uint8)
+        return cls(bits.ravel())
+
+    def may_hold(self, names: np.ndarray) -> np.ndarray:
+        out, last = np.ones(len(names), bool), U64(8 * len(self.bits) - 1)
+        for at in (names & last, names >> U64(32) & last):
+            out &= self.bits[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8) & 1 == 1
+        return out

@@ -7,8 +7,9 @@ from collections.abc import Callable
 import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evidara.llm import bpe, fingerprints, html_extract, near_dup, packing, pii, quality, suffix_tree, token_counts, toxicity
+from evidara.llm import bpe, filter_audit, fingerprints, html_extract, near_dup, packing, pii, quality, repeats, suffix_tree, token_counts, toxicity, whitening
 from evidara.llm.common import table
 
 #: The tokenizer file of the queries; operators take any path.
@@ -55,6 +56,19 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("row.doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op8_quality counts, without the learnt verdict, so that SQL can say it."""
     docs = table(spark, sf_dir, "documents")
@@ -67,7 +81,7 @@ def base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_pii(spark, sf_dir).select("doc_id", *(f"n_{k}" for k in pii.KINDS))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_lm_scoring, op3_bpe, op4_pii, op5_near_dup, op6_packing, op7_token_counts, op8_quality, op9_html, op10_fingerprints)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_lm_scoring, op3_bpe, op4_pii, op5_near_dup, op6_packing, op7_token_counts, op8_quality, op9_html, op10_fingerprints, op11_filter_audit, op12_substring_dedup, op13_whitening)}
 QUERIES |= {"corpus_base_counts": base_counts, "corpus_base_spans": base_spans}
 
 WORDS = r"regexp_extract_all({0}, '[^ \t\n\x0B\f\r]+')"
@@ -92,4 +106,23 @@ SPANS = rf"""SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+
 CAST(len(list_filter(regexp_extract_all(text, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), lambda v: list_max(list_transform(string_split(v, '.'), lambda x: coalesce(TRY_CAST(x AS BIGINT), 999))) <= 255)) AS BIGINT) AS n_ip,
 CAST(len(list_filter(list_transform(regexp_extract_all(text, '[0-9](?:[ -]?[0-9])+'), lambda v: {DIGITS}), lambda d: length(d) BETWEEN 14 AND 19 AND {LUHN})) AS BIGINT) AS n_card,
 CAST(len(list_filter(regexp_extract_all(text, '\+[0-9][ ().0-9-]+[0-9]'), lambda v: length({DIGITS}) BETWEEN 10 AND 15)) AS BIGINT) AS n_phone FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)"""
-ORACLES: dict[str, str] = {"op5_near_dup": NEAR, "corpus_base_counts": COUNTS, "corpus_base_spans": SPANS}
+#: What every filter does after every set of filters applied before it, document by document, for each order written out.
+AUDIT = rf"""WITH RECURSIVE w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+t AS (SELECT w.*, min(doc_id) OVER (PARTITION BY text) AS first_id FROM w),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+d AS MATERIALIZED (SELECT part, CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > first_id THEN 'E' ELSE '' END AS fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM t LEFT JOIN l USING (doc_id)),
+c AS MATERIALIZED (SELECT part, fails, good, toxic, count(*) AS n FROM d GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT '' AS o UNION ALL SELECT o || f FROM o, f WHERE NOT contains(o, f)),
+s AS (SELECT o AS filter_order, CAST(k AS INTEGER) AS step, o[1:k - 1] AS before, o[k:k] AS f FROM (SELECT o, unnest([1, 2, 3, 4, 5]) AS k FROM o WHERE length(o) = 5)),
+x AS (SELECT part, filter_order, step, f, n, good, toxic, fails, fails <> '' AND regexp_matches(fails, '[' || before || '_]') AS gone, contains(fails, f) AS failing FROM c, s),
+r AS MATERIALIZED (SELECT part, filter_order, step, f, sum(CASE WHEN NOT gone AND NOT failing THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND failing THEN n ELSE 0 END) AS removed, sum(CASE WHEN gone AND failing THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = f THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN NOT gone AND failing AND good = 1 THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND failing AND toxic = 1 THEN n ELSE 0 END) AS toxic_lost FROM x GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r"""
+#: All windows of all documents, spelled out.
+REPEATS = f"""WITH t AS MATERIALIZED (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS w FROM documents),
+k AS MATERIALIZED (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM t WHERE len(w) >= 13)),
+r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS lo FROM k) WHERE doc_id > lo),
+u AS (SELECT doc_id, word, i FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM t) ANTI JOIN r USING (doc_id, i)),
+s AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM u GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s.text, '')) AS kept_sha256 FROM t LEFT JOIN s USING (doc_id)"""
+ORACLES: dict[str, str] = {"op5_near_dup": NEAR, "op11_filter_audit": AUDIT, "op12_substring_dedup": REPEATS, "corpus_base_counts": COUNTS, "corpus_base_spans": SPANS}

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from evidara.llm.common import U64, materialise, remainder_of_id, small, spread, text_bytes
+from evidara.llm.common import U64, BitMap, materialise, remainder_of_id, small, spread, text_bytes
 
 DEPTH = 3
 #: Occurrences of a context that is tested and of an entry that is kept, for each root of the training tokens.
@@ -100,29 +100,6 @@ def grams(h: np.ndarray, begins: np.ndarray, most: int) -> Iterator[tuple[np.nda
         yield place, ctx, suf, name
 
 
-class Map:
-    """A bit map of names: says no only of names that are not in it."""
-
-    def __init__(self, bits: np.ndarray) -> None:
-        self.bits = bits
-
-    @classmethod
-    def of(cls, names: DataFrame) -> Map:
-        at = [F.pmod("name", F.lit(BITS)), F.pmod(F.shiftrightunsigned("name", 32), F.lit(BITS))]
-        place = names.select(F.explode(F.array(*at)).alias("place")).select((F.col("place") + 1).alias("place"))
-        rows = place.groupBy(F.expr("bitmap_bucket_number(place)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(place))").alias("bits")).toArrow()
-        bits = np.zeros((BITS // 32768, 4096), np.uint8)
-        for bucket, some in zip(rows["bucket"].to_pylist(), rows["bits"].to_pylist(), strict=True):
-            bits[bucket - 1] = np.frombuffer(some, np.uint8)
-        return cls(bits.ravel())
-
-    def may_hold(self, names: np.ndarray) -> np.ndarray:
-        out = np.ones(len(names), bool)
-        for at in (names & U64(BITS - 1), names >> U64(32) & U64(BITS - 1)):
-            out &= self.bits[(at >> U64(3)).astype(np.int64)] >> (at & U64(7)).astype(np.uint8) & 1 == 1
-        return out
-
-
 def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     """name, ctx, suf and n of parts, each name once."""
     name, ctx, suf, n = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -162,8 +139,8 @@ def longer(docs: DataFrame, length: int, shorter: DataFrame, least_context: floa
     """The grams of so many words, from those of one word fewer: each with its count (n), its context's and suffix's (of), the
     suffix's empirical chance (q) and the last word's at the root (root)."""
     spark = docs.sparkSession
-    contexts = spark.sparkContext.broadcast(Map.of(shorter.where(F.col("n") >= least_context).select("name")))
-    entries = spark.sparkContext.broadcast(Map.of(shorter.select("name")))
+    contexts = spark.sparkContext.broadcast(BitMap.of(shorter.where(F.col("n") >= least_context).select("name"), BITS))
+    entries = spark.sparkContext.broadcast(BitMap.of(shorter.select("name"), BITS))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         for batch in small(batches, TOGETHER):
@@ -266,7 +243,7 @@ def looked_up(docs: DataFrame, counts: DataFrame, tree: Tree, held_out: Column)
     of_grams = tree.values.where("length > 1").select("name", "n", "value")
     top_word, top_gram = TOP_WORD * tree.total, TOP_GRAM * tree.total
     top = send((Top(words.where(F.col("n") >= top_word).select("name", "log", "value").toArrow(), "log", "value"), Top(of_grams.where(F.col("n") >= top_gram).select("name", "value").toArrow(), "value")))
-    known = send(Map.of(of_grams.select("name")))
+    known = send(BitMap.of(of_grams.select("name"), BITS))
     rows = text_bytes(docs, F.col("doc_id"), held_out.alias("held_out"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "held_out", "n_tokens", "n_known", "logs", "gain", "names", "times"]

@@ -155,7 +155,7 @@ def test_names_are_those_that_spark_gives(spark):
 
 def test_a_map_forgets_nothing(spark):
     x = np.random.default_rng(4).integers(-(2**63), 2**63, 3000)
-    m = st.Map.of(spark.createDataFrame([(int(a),) for a in x], "name long"))
+    m = st.BitMap.of(spark.createDataFrame([(int(a),) for a in x], "name long"), st.BITS)
     assert m.may_hold(x.view(np.uint64)).all()
     other = np.random.default_rng(5).integers(-(2**63), 2**63, 100_000)
     assert m.may_hold(other.view(np.uint64)).mean() < 0.001
