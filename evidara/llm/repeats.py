@@ -4,11 +4,11 @@ A passage recurs if WINDOW consecutive words of it occur in documents of differe
 words in it with the least hash, so equal windows have equal anchors, and neighbouring windows mostly share theirs. Anchors
 are counted over all documents; what lies around an anchor that several documents have is cut out (a segment) and dealt to a shard by
 that anchor, so all occurrences of a window meet in one shard. There the windows found in documents of different ids are
-confirmed, compiled into an Aho-Corasick automaton (a character for each word), and all segments of the shard stream through it: each
+confirmed, compiled into an Aho-Corasick automaton (two characters for each word), and all segments of the shard stream through it: each
 match is a place, removed if its document has a larger id than the first that has the window.
 
-Anchors in very many documents would make a shard large. Windows around these that are themselves in very many documents
-go into one automaton that every task has (their number is bounded: all windows over HOT documents each); the rest of the windows around such
+Anchors in very many places would make a shard large. Windows around these that are themselves in very many places
+go into one automaton that every task has (their number is bounded by all windows over those places); the rest of the windows around such
 anchors are dealt each by its own hash. A bit map of the recurring anchors, of bounded size, is broadcast; it says no only of
 anchors that do not recur, so if it fills up more segments move and the result is the same.
 
@@ -38,10 +38,10 @@ if TYPE_CHECKING:
     import ahocorasick
 
 WINDOW, ANCHOR = 13, 5
-#: Documents from which an anchor or a window counts as hot: at least LEAST_HOT, and one in HOT_SHARE of all anchors counted.
+#: Places from which an anchor or a window counts as hot: at least LEAST_HOT, and one in HOT_SHARE of all anchors' places.
 LEAST_HOT, HOT_SHARE = 4000, 20_000
 #: Bytes of text that are read together, anchors that a task holds before it hands them on, and bytes of segments in a shard.
-TOGETHER, HELD, SHARD_BYTES = 4_000_000, 2_000_000, 4_000_000
+TOGETHER, HELD, SHARD_BYTES = 4_000_000, 2_000_000, 2_000_000
 #: Bits of the map for each recurring anchor, and in all.
 BITS_EACH, MOST_BITS = 12, 1 << 30
 NO_ID = (1 << 63) - 1
@@ -126,16 +126,17 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def anchor_counts(rows: DataFrame) -> DataFrame:
-    """name (the anchor's hash) and n, the documents that have it; repeated rows count each."""
+    """name (the anchor's hash), n, the documents that have it, and places, where it is; repeated rows count each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def hand_on() -> Iterator[pa.RecordBatch]:
             if held:
-                names, n = np.unique(np.concatenate(held), return_counts=True)
+                names, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+                n, places = np.bincount(at), np.bincount(at, np.concatenate([p for _, p in held])).astype(np.int64)
                 for i in range(0, len(n), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 50_000].view(np.int64)), pa.array(n[i : i + 50_000])], ["name", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in (names.view(np.int64), n, places)], ["name", "n", "places"])
 
         for batch in by_size(batches, TOGETHER):
             words = Words.of(batch["text"])
@@ -143,19 +144,19 @@ def anchor_counts(rows: DataFrame) -> DataFrame:
             # an anchor once, then a hash once for each text
             anchor, at = np.unique(anchor, return_index=True)
             names = words.runs(ANCHOR)[anchor]
-            _, once = np.unique(mix(names ^ (text[at].astype(np.uint64) + U64(1)) * BASE), return_index=True)
-            held.append(names[once])
+            _, once, places = np.unique(mix(names ^ (text[at].astype(np.uint64) + U64(1)) * BASE), return_index=True, return_counts=True)
+            held.append((names[once], places))
             size += len(once)
             if size > HELD:
                 yield from hand_on()
                 held, size = [], 0
         yield from hand_on()
 
-    return rows.select("text").mapInArrow(run, "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
+    return rows.select("text").mapInArrow(run, "name long, n long, places long").groupBy("name").agg(F.sum("n").alias("n"), F.sum("places").alias("places"))
 
 
 def around_hot(rows: DataFrame, hot: np.ndarray, least: int) -> list[tuple[bytes, int]]:
-    """Windows around hot anchors that very many documents have, as words joined by blanks, each with the least rank that has it."""
+    """Windows around hot anchors that are in very many places, as words joined by blanks, each with the least rank that has it."""
     sent = rows.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,24 +165,26 @@ def around_hot(rows: DataFrame, hot: np.ndarray, least: int) -> list[tuple[bytes
             begin, text, anchor = words.windows()
             some = np.isin(words.runs(ANCHOR)[anchor], sent.value)
             begin, text = begin[some], text[some]
-            _, once = np.unique(mix(words.runs(WINDOW)[begin] ^ (text.astype(np.uint64) + U64(1)) * BASE), return_index=True)
-            begin, ranks = begin[once], batch["rank"].to_numpy()[text[once]]
             cut = pc.binary_join(pc.ascii_split_whitespace(words.cut(begin, begin + WINDOW).view(pa.string())), " ")
             # one row for each window of the batch
-            found = pa.table({"words": cut, "rank": ranks}).group_by("words").aggregate([("rank", "min"), ("rank", "max"), ("rank", "count")])
+            found = pa.table({"words": cut, "rank": batch["rank"].to_numpy()[text]}).group_by("words").aggregate([("rank", "min"), ("rank", "max"), ("rank", "count")])
             yield from found.select(["words", "rank_min", "rank_max", "rank_count"]).rename_columns(["words", "lo", "hi", "n"]).combine_chunks().to_batches()
 
     found = rows.mapInArrow(run, "words string, lo long, hi long, n long").groupBy("words").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
     return [(r.words, r.lo) for r in found.where(F.col("n") >= least).where("lo < hi").select("words", "lo").collect()]
 
 
-def letters(codes: np.ndarray) -> str:
-    """A character for each code, leaving out the surrogates."""
-    x = codes.astype(np.uint32) + 1
-    x[x >= 0xD800] += 0x800
+def letters(codes: np.ndarray, base: int) -> str:
+    """Two characters for each code, as an automaton looks through the characters that go on from a state one by one."""
+    x = np.stack([codes // base, codes % base + base], 1).ravel().astype(np.uint32) + 1
+    x[x >= 0xD800] += 0x800  # leaving out the surrogates
     return x.tobytes().decode("utf-32-le")
 
 
+def base_for(codes: np.ndarray) -> int:
+    return int((int(codes.max(initial=0)) + 1) ** 0.5) + 1
+
+
 def automaton(patterns: list[tuple[str, int]]) -> ahocorasick.Automaton:
     import ahocorasick
 
@@ -198,16 +201,17 @@ class HotPhrases:
     def __init__(self, phrases: list[tuple[str, int]]) -> None:
         words = Words.of(pa.array([p.encode() for p, _ in phrases], pa.binary()))
         self.known, codes = np.unique(words.hash, return_inverse=True)
-        text = letters(codes + 1)
-        self.automaton = automaton([(text[i : i + WINDOW], j) for j, i in enumerate(range(0, len(text), WINDOW))])
+        self.base = base_for(codes + 1)
+        text = letters(codes + 1, self.base)
+        self.automaton = automaton([(text[i : i + 2 * WINDOW], j) for j, i in enumerate(range(0, len(text), 2 * WINDOW))])
         self.first = np.array([f for _, f in phrases], np.int64)
 
     def places(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Where hot windows begin, and the least rank that has each."""
         at = np.searchsorted(self.known, words.hash).clip(max=len(self.known) - 1)
         codes = np.where(self.known[at] == words.hash, at + 1, 0)
-        found = np.array(list(self.automaton.iter(letters(codes))), np.int64).reshape(-1, 2)
-        return found[:, 0] - WINDOW + 1, self.first[found[:, 1]]
+        found = np.array(list(self.automaton.iter(letters(codes, self.base))), np.int64).reshape(-1, 2)
+        return found[:, 0] // 2 - WINDOW + 1, self.first[found[:, 1]]
 
 
 #: Of a Python worker: the automaton of the last run it has seen.
@@ -254,7 +258,7 @@ def segments(rows: DataFrame, recurring: BitMap, hot: np.ndarray, phrases: list[
                     row, a, b = spans_of(of[gone], at[gone])
                     if len(row):
                         take = pa.array(row)
-                        yield pa.RecordBatch.from_arrays([batch["rank"].take(take), batch["digest"].take(take), batch["digest"].take(take), pa.array((a - words.first[row]).astype(np.int32)), pa.array((b - words.first[row]).astype(np.int32)), pa.nulls(len(row), pa.binary())], names)
+                        yield pa.RecordBatch.from_arrays([batch["rank"].take(take), batch["digest"].take(take), batch["rank"].take(take), pa.array((a - words.first[row]).astype(np.int32)), pa.array((b - words.first[row]).astype(np.int32)), pa.nulls(len(row), pa.binary())], names)
                     rest = ~(alone & np.isin(begin, at))
                     begin, text, anchor, key, alone = begin[rest], text[rest], anchor[rest], key[rest], alone[rest]
                 key = np.where(alone, words.runs(WINDOW)[begin], key)
@@ -315,12 +319,12 @@ def located(shard: pa.Table) -> pa.Table:
     confirmed = np.flatnonzero(least < most)
     if not len(confirmed):
         return ready
-    text = letters(codes)
+    text = letters(codes, base_for(codes))
     place = np.zeros(len(least), np.int64)
     place[names] = begin
-    found = automaton([(text[i : i + WINDOW], j) for i, j in zip(place[confirmed].tolist(), confirmed.tolist(), strict=True)]).iter(text)
+    found = automaton([(text[2 * i : 2 * (i + WINDOW)], j) for i, j in zip(place[confirmed].tolist(), confirmed.tolist(), strict=True)]).iter(text)
     matches = np.fromiter((x for pair in found for x in pair), np.int64).reshape(-1, 2)
-    at, earliest = matches[:, 0] - WINDOW + 1, least[matches[:, 1]]
+    at, earliest = matches[:, 0] // 2 - WINDOW + 1, least[matches[:, 1]]
     inside = np.searchsorted(first, at, side="right") - 1
     # every row of the shard has the matches of its segment
     begins, per = np.searchsorted(inside, np.arange(len(split))), np.bincount(inside, minlength=len(split))
@@ -339,9 +343,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = spread(keyed(docs))
     anchors = materialise(anchor_counts(rows).where("n > 1"), "anchors")
-    size = anchors.agg(F.count("*").alias("n"), F.sum("n").alias("all")).first()
+    size = anchors.agg(F.count("*").alias("n"), F.sum("places").alias("all")).first()
     least = max(LEAST_HOT, (size["all"] or 0) // HOT_SHARE)
-    hot = np.array(sorted(r.name for r in anchors.where(F.col("n") >= least).select("name").collect()), np.int64).view(np.uint64)
+    hot = np.array(sorted(r.name for r in anchors.where(F.col("places") >= least).select("name").collect()), np.int64).view(np.uint64)
     recurring = BitMap.of(anchors.select("name"), min(MOST_BITS, max(1 << 20, 1 << (size.n * BITS_EACH).bit_length())))
     phrases = around_hot(rows, hot, least) if len(hot) else []
     found = segments(rows, recurring, hot, phrases)
