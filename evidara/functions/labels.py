@@ -15,9 +15,13 @@ def row_label(label: Column) -> Column:
     return F.translate(F.regexp_replace(label, rf"[\s　 {WIDTHLESS}]+", ""), WIDE, PLAIN)
 
 
+#: Fixed value: reference marks at the end of a label.
+MARK = r"(?:\[(?:注)?\d+\]|\(注\d+\)|[¹²³⁴⁵⁶⁷⁸⁹])$"
+
+
 def alias_key(label: Column) -> Column:
     """The key of a label: in lower case, without a reference mark at its end."""
-    return F.regexp_replace(F.lower(row_label(label)), r"(?:\[(?:注)?[0-9]+\]|\(注[0-9]+\)|[¹²³⁴⁵⁶⁷⁸⁹])$", "")
+    return F.regexp_replace(F.lower(row_label(label)), MARK, "")
 
 
 def alias_lookup(rows: DataFrame, aliases: DataFrame) -> DataFrame:

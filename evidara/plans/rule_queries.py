@@ -90,7 +90,7 @@ def j7_required_first(spark, sf):
     return rules.required_first(items, required, "l_orderkey", "at").select("l_orderkey", "l_linenumber", "required", "place")
 
 
-@query("WITH RECURSIVE l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n, CAST(l_quantity AS BIGINT) AS c FROM lineitem), f AS (SELECT l_orderkey, n, c, CASE WHEN c <= 60 THEN 60 - c ELSE 60 END AS rest, c <= 60 AS fits FROM l WHERE n = 1 UNION ALL SELECT l.l_orderkey, l.n, l.c, CASE WHEN l.c <= f.rest THEN f.rest - l.c ELSE f.rest END, l.c <= f.rest FROM f JOIN l ON l.l_orderkey = f.l_orderkey AND l.n = f.n + 1) SELECT l_orderkey, count(*) FILTER (fits) AS taken, CAST(sum(CASE WHEN fits THEN c ELSE 0 END) AS BIGINT) AS cost FROM f GROUP BY 1")
+@query("WITH RECURSIVE l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS n, CAST(l_quantity AS BIGINT) AS c FROM lineitem), f AS (SELECT l_orderkey, n, c, CASE WHEN c <= 60 THEN 60 - c ELSE 60 END AS rest, c <= 60 AS fits FROM l WHERE n = 1 UNION ALL SELECT l.l_orderkey, l.n, l.c, CASE WHEN l.c <= f.rest THEN f.rest - l.c ELSE f.rest END, l.c <= f.rest FROM f JOIN l ON l.l_orderkey = f.l_orderkey AND l.n = f.n + 1) SELECT l_orderkey, count(*) FILTER (fits) AS taken, CAST(sum(CASE WHEN fits THEN c ELSE 0 END) AS BIGINT) AS cost FROM f GROUP BY 1")
 def x28_context_budget(spark, sf):
     """Evidence in order as long as it fits what is left: a piece that is too long is passed over, later ones may fit."""
     l = S.read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("c")))), lambda x: x["c"]).alias("costs"))

@@ -61,6 +61,9 @@ def having(*classes: tuple[str, str]) -> str:
     return ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in classes)
 
 
+#: Of a chain c of digit groups: from each group on, the longest run of whole groups that has 13 to 19 digits.
+CARDS = r"list_transform(list_transform(range(1, len(regexp_split_to_array(c, '[ -]')) + 1), lambda i: list_filter(list_transform(range(i, i + 19), lambda j: array_to_string(list_slice(regexp_split_to_array(c, '[ -]'), i, j), '')), lambda x: length(x) BETWEEN 13 AND 19)[-1]), lambda x: x)"
+LUHN = "v IS NOT NULL AND list_sum(list_transform(generate_series(1, length(v)), lambda i: CASE WHEN (length(v) - i) % 2 = 0 THEN CAST(v[i:i] AS INTEGER) ELSE CAST(v[i:i] AS INTEGER) * 2 - CASE WHEN CAST(v[i:i] AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
 #: The classes as DuckDB's engine can say them: it has no looking around, so what stands beside a match is matched too.
 SENSITIVE = having(
     ("private key", "contains(text, 'PRIVATE KEY-----') AND regexp_matches(text, '-----BEGIN ([A-Z ]+ )?PRIVATE KEY-----')"),
@@ -74,7 +77,7 @@ SENSITIVE = having(
     ("cn id", "regexp_matches(text, '(^|[^[:alnum:]])[1-9][[:digit:]]{16}[[:digit:]xX]([^[:alnum:]]|$)')"),
     ("cn phone", r"regexp_matches(text, '(^|\D)1[3-9]\d{9}(\D|$)')"),
     ("international phone", r"contains(text, '+') AND regexp_matches(text, '(^|\W)\+\d{1,3}[ .-]?\d{3,4}[ .-]?\d{3,4}[ .-]?\d{3,4}(\W|$)')"),
-    ("card", r"len(list_filter(list_transform(regexp_extract_all(text, '\d(?:[ -]?\d){12,}'), lambda v: regexp_replace(v, '\D', '', 'g')), lambda v: length(v) BETWEEN 13 AND 19 AND list_sum(list_transform(generate_series(1, length(v)), lambda i: CASE WHEN (length(v) - i) % 2 = 0 THEN CAST(v[i:i] AS INTEGER) ELSE CAST(v[i:i] AS INTEGER) * 2 - CASE WHEN CAST(v[i:i] AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0)) > 0"),
+    ("card", f"regexp_matches(text, '\d(?:[ -]?\d){{12}}') AND len(list_filter(flatten(list_transform(regexp_extract_all(text, '\d+(?:[ -]\d+)*'), lambda c: {CARDS})), lambda v: {LUHN})) > 0"),
 )
 
 
