@@ -12,12 +12,26 @@ def ranked_metrics(ranked: DataFrame, expected: DataFrame, k: int) -> DataFrame:
     ranked: query_id, rank, doc_id. expected: query_id, doc_id (nulls: nothing expected), each pair once. A repeated result
     counts in precision and gain, once in recall.
     """
-    cut = ranked.where(F.col("rank") <= k)
     wanted = expected.where("doc_id IS NOT NULL").select("query_id", "doc_id", F.lit(1).alias("hit"))
-    hits = cut.join(wanted, ["query_id", "doc_id"], "left")
+    return metrics_of_hits(ranked.join(wanted, ["query_id", "doc_id"], "left"), expected.groupBy("query_id").agg(F.count("doc_id").alias("expected")), k)
+
+
+def by_label(ranked: DataFrame, queries: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The ranked rows with hit (1 where the item has its query's label), and how many items each query expects.
+
+    queries: query_id and label. items: doc_id and label. Labels are compared on ranked rows and counted once; no pairs are written out.
+    """
+    labelled = ranked.join(queries.withColumnRenamed("label", "asked"), "query_id").join(items, "doc_id", "left")
+    sizes = items.groupBy("label").agg(F.count("*").alias("expected"))
+    per = queries.join(sizes, "label", "left").select("query_id", F.coalesce("expected", F.lit(0)).alias("expected"))
+    return labelled.withColumn("hit", F.when(F.col("label") == F.col("asked"), 1)).drop("label", "asked"), per
+
+
+def metrics_of_hits(ranked: DataFrame, all_ids: DataFrame, k: int) -> DataFrame:
+    """ranked_metrics of rows that are marked already. all_ids: query_id and expected, the number."""
+    hits = ranked.where(F.col("rank") <= k)
     gain = F.when(F.col("hit") == 1, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)
     per = hits.groupBy("query_id").agg(F.count("*").alias("returned"), F.count("hit").alias("hits"), F.count_distinct(F.when(F.col("hit") == 1, F.col("doc_id"))).alias("found"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"), F.sum(gain).alias("dcg"))
-    all_ids = expected.groupBy("query_id").agg(F.count("doc_id").alias("expected"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(F.col("expected"), F.lit(k)), F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     full = all_ids.join(per, "query_id", "left")
     score = lambda x: F.round(F.when(F.col("expected") == 0, 100.0).otherwise(F.coalesce(x, F.lit(0.0)) * 100), 4)
@@ -33,8 +47,13 @@ def ranked_metrics(ranked: DataFrame, expected: DataFrame, k: int) -> DataFrame:
 def recall_at(ranked: DataFrame, expected: DataFrame, ks: list[int]) -> DataFrame:
     """Mean recall over the queries that expect something, at several cuts at once."""
     wanted = expected.where("doc_id IS NOT NULL")
-    size = wanted.groupBy("query_id").agg(F.count("*").alias("expected"))
-    found = ranked.join(wanted, ["query_id", "doc_id"]).groupBy("query_id").agg(*(F.count_distinct(F.when(F.col("rank") <= k, F.col("doc_id"))).alias(f"k{k}") for k in ks))
+    return recall_of_hits(ranked.join(wanted.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left"), wanted.groupBy("query_id").agg(F.count("*").alias("expected")), ks)
+
+
+def recall_of_hits(ranked: DataFrame, size: DataFrame, ks: list[int]) -> DataFrame:
+    """recall_at of rows that are marked already. size: query_id and expected, the number."""
+    size = size.where("expected > 0")
+    found = ranked.where("hit = 1").groupBy("query_id").agg(*(F.count_distinct(F.when(F.col("rank") <= k, F.col("doc_id"))).alias(f"k{k}") for k in ks))
     per = size.join(found, "query_id", "left")
     return per.agg(F.count("*").alias("queries"), *(F.round(F.avg(F.coalesce(f"k{k}", F.lit(0)) / F.col("expected")) * 100, 4).alias(f"recall_{k}") for k in ks))
 

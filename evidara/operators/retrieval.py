@@ -5,10 +5,16 @@ Every operator takes a table of queries and ranks for all of them in one job.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidara.functions import text as T
+from evidara.operators import corpus
 
 #: The usual settings of BM25, and the share of the mean idf that stands for a negative one.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -43,16 +49,11 @@ def top(df: DataFrame, k: int, by: list[Column], key: str = "query_id") -> DataF
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*by))).where(F.col("rank") <= k)
 
 
-def term_counts(docs: DataFrame, asked: DataFrame | None = None) -> DataFrame:
-    """doc_id, term and tf, and the length of the document in terms; of the asked terms only, if there are any given.
-
-    Other terms are left out before rows are moved, and each text is tokenised once.
-    """
+def postings(docs: DataFrame) -> DataFrame:
+    """doc_id, term and tf, and the length of the document in terms. Each text is tokenised once; the table is written once."""
     t = docs.select("doc_id", T.tokens("text").alias("terms"))
     each = t.select("doc_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    if asked is not None:
-        each = each.join(asked.select("term").distinct(), "term", "left_semi")
-    return each.groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
+    return corpus.tabled(each.groupBy("doc_id", "length", "term").agg(F.count("*").cast("int").alias("tf")), "postings")
 
 
 def document_frequency(docs: DataFrame) -> DataFrame:
@@ -60,53 +61,80 @@ def document_frequency(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.array_distinct(T.tokens("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def collection(docs: DataFrame) -> DataFrame:
-    """One row: the number of documents and their mean length in terms."""
-    length = F.when(F.col("text").rlike(T.HAN), F.size(T.tokens("text"))).otherwise(F.regexp_count(F.lower("text"), F.lit(T.WORD)))
-    return docs.agg(F.count("*").alias("documents"), F.avg(length).alias("mean_length"))
-
-
-def inverse_frequency(docs: DataFrame) -> DataFrame:
-    """df and idf of every term; a negative one becomes EPSILON times the mean over the vocabulary."""
+def inverse_frequency(docs: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """df and idf of every term; a negative one becomes EPSILON times the mean over the vocabulary. held: postings, if there are any."""
     # both tables that are joined to all rows have one row
     size = F.broadcast(docs.agg(F.count("*").alias("documents")))
-    raw = document_frequency(docs).join(size).select("term", "df", (F.log(F.col("documents") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    frequency = document_frequency(docs) if held is None else held.groupBy("term").agg(F.count("*").alias("df"))
+    raw = frequency.join(size).select("term", "df", (F.log(F.col("documents") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = F.broadcast(raw.agg(F.avg("raw").alias("mean")))
     return raw.join(mean).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, doc_id and score. queries: query_id and text; a repeated query term counts each time."""
+def bm25_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, doc_id and score of every document that holds a term of a query. queries: query_id and text; a repeated query term
+    counts each time. Documents are tokenised once; only the postings of asked terms meet the queries."""
+    held = postings(docs)
+    length = F.broadcast(held.agg(F.sum("tf").alias("terms")).join(docs.agg(F.count("*").alias("documents"))).select(F.coalesce(F.col("terms") / F.nullif("documents", F.lit(0)), F.lit(1.0)).alias("mean_length")))
     asked = queries.select("query_id", F.explode(T.tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.coalesce("mean_length", F.lit(1.0))))
-    weighed = term_counts(docs, asked).join(inverse_frequency(docs), "term").join(F.broadcast(collection(docs))).select("doc_id", "term", weight.alias("weight"))
-    scored = asked.join(weighed, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
-    scored = scored.withColumn("score", F.round("score", 6))
-    return top(scored, k, [F.col("score").desc(), F.col("doc_id")]).select("query_id", "rank", "doc_id", "score")
+    weighed = asked.join(inverse_frequency(docs, held), "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
+    scored = held.join(weighed, "term").join(length).groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
+    return scored.withColumn("score", F.round("score", 6))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, doc_id and score of the first k documents of each query."""
+    return top(bm25_scores(docs, queries), k, [F.col("score").desc(), F.col("doc_id")]).select("query_id", "rank", "doc_id", "score")
 
 
-#: Query vectors in a block.
+#: Vectors and query vectors in a block.
 BLOCK = 1024
 
 
-def dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def packed(rows: DataFrame, name: str, vector: str) -> DataFrame:
+    """Rows in blocks: width, ids and the vectors one after the other as doubles. Vectors that are null, empty or hold nulls are left out."""
+    whole = rows.where(F.col(vector).isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull())).select(F.col(name).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            width = pc.list_value_length(batch["v"]).to_numpy()
+            for w in np.unique(width):
+                some = batch.filter(pa.array(width == w))
+                for at in range(0, some.num_rows, BLOCK):
+                    part = some.slice(at, BLOCK)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(w)], pa.int32()), pa.array([part["id"].to_pylist()], pa.list_(pa.int64())), pa.array([part["v"].flatten().to_numpy().tobytes()], pa.binary())], ["width", "ids", "data"])
 
-def norm(a: str) -> Column:
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return whole.mapInArrow(run, "width int, ids array<long>, data binary")
 
 
 def vector_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Exact cosine ranking of a stated set of query vectors against all vectors; a zero vector scores 0.
 
-    queries: query_id and query_vector; they meet the vectors in blocks of about BLOCK, so no task or driver holds all of them.
+    queries: query_id and query_vector. Blocks of vectors meet blocks of queries in a matrix product, which hands on what may be among the first k
+    of its block; so no task or driver holds all of either, and no row is written for a pair.
     """
-    blocks = queries.repartition(max(1, -(-queries.count() // BLOCK))).hint("shuffle_replicate_nl")
-    pairs = vectors.join(blocks, F.size("embedding") == F.size("query_vector"))
-    size = norm("embedding") * norm("query_vector")
-    cosine = F.when(size == 0, 0.0).otherwise(dot("embedding", "query_vector") / size)
-    scored = pairs.select("query_id", "vec_id", F.round(cosine, 6).alias("score"))
+    blocks = packed(vectors, "vec_id", "embedding")
+    asked = packed(queries, "query_id", "query_vector").select("width", F.col("ids").alias("query_ids"), F.col("data").alias("query_data"))
+    # nearly all have one width, so a join by it would meet in one task; each partition of one side meets each of the other
+    asked = asked.repartition(vectors.sparkSession.sparkContext.defaultParallelism).hint("shuffle_replicate_nl")
+    pairs = blocks.join(asked, "width")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def matrix(data: bytes, width: int) -> np.ndarray:
+            x = np.frombuffer(data).reshape(-1, width)
+            size = np.sqrt((x * x).sum(1, keepdims=True))
+            return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, query_ids = np.array(row["ids"]), np.array(row["query_ids"])
+                score = np.round(matrix(row["data"], row["width"]) @ matrix(row["query_data"], row["width"]).T, 6) + 0.0
+                least = np.partition(score, max(0, len(ids) - k), axis=0)[max(0, len(ids) - k)]
+                at, of = np.nonzero(score >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[of]), pa.array(ids[at]), pa.array(score[at, of])], ["query_id", "vec_id", "score"])
+
+    scored = pairs.select("width", "ids", "data", "query_ids", "query_data").mapInArrow(run, "query_id long, vec_id long, score double")
     return top(scored, k, [F.col("score").desc(), F.col("vec_id")]).select("query_id", "rank", "vec_id", "score", F.round(1 - F.col("score"), 6).alias("distance"))
 
 
@@ -162,3 +190,56 @@ def seeded_embedding(texts: DataFrame, seed: int = 733, dims: int = 512) -> Data
     counts = t.groupBy("doc_id", low.alias("dim")).agg(F.count("*").alias("n"))
     length = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("doc_id")))
     return counts.select("doc_id", "dim", F.round(F.col("n") / length, 6).alias("weight"))
+
+
+#: How many candidates each channel keeps for every result asked for: usually, and for questions that sum up or compare.
+POOL, WIDE_POOL = 4, 8
+#: Weight of the lexical channel where a question was enriched.
+ENRICHED = 1.25
+
+
+def enrich(questions: DataFrame, hints: DataFrame) -> DataFrame:
+    """Questions with the hints of the terms they hold appended, each once, and whether there were any.
+
+    questions: query_id, text and others. hints: term and hint; few enough rows for a dictionary.
+    """
+    terms = questions.select("query_id", F.explode(F.array_distinct(T.words("text"))).alias("term"))
+    found = terms.join(hints, "term").groupBy("query_id").agg(F.array_sort(F.collect_set("hint")).alias("hints"))
+    joined = questions.join(found, "query_id", "left")
+    return joined.withColumn("asked", F.concat_ws(" ", "text", F.array_join("hints", " "))).withColumn("enriched", F.col("hints").isNotNull()).drop("hints")
+
+
+def retrieve(docs: DataFrame, vectors: DataFrame, questions: DataFrame, query_vectors: DataFrame, hints: DataFrame) -> DataFrame:
+    """The whole way from questions to evidence, for all questions in one plan: query_id, rank, doc_id, score, stage and both channels' ranks.
+
+    docs: doc_id, text, source, tenant_id and lang. questions: query_id, text, top_k, tenant_id, lang (null: any) and scope. Questions are enriched; each
+    channel keeps a pool that differs by question (POOL or WIDE_POOL times its top_k) of rows in its tenant's scope. Stage 1 are rows that pass
+    the question's own filter; where a channel has fewer of these than top_k, rows of the scope fill up (stage 2). Pools are fused by reciprocal ranks, and
+    the fused score is reranked by the terms that question and text share. Postings are scanned once for all questions.
+    """
+    q = enrich(questions, hints).withColumn("pool", F.col("top_k") * F.when(F.col("scope").isin("summary", "compare"), WIDE_POOL).otherwise(POOL))
+    most = q.agg(F.coalesce(F.max("pool"), F.lit(1)).alias("most")).first().most
+    rules = q.select("query_id", "top_k", "pool", F.col("tenant_id").alias("caller"), F.col("lang").alias("wanted"), "enriched")
+    about = docs.select("doc_id", "tenant_id", "lang")
+
+    def pooled(scored: DataFrame, channel: str) -> DataFrame:
+        seen = scored.join(about, "doc_id").join(rules, "query_id").where(in_scope(F.col("tenant_id"), F.col("caller"), include_public=True))
+        staged = seen.withColumn("stage", F.when(F.col("wanted").isNull() | (F.col("wanted") == F.col("lang")), 1).otherwise(2))
+        enough = staged.groupBy("query_id").agg(F.count_if(F.col("stage") == 1).alias("own"))
+        allowed = staged.join(enough, "query_id").where((F.col("stage") == 1) | (F.col("own") < F.col("top_k")))
+        cut = top(allowed, most, [F.col("stage"), F.col("score").desc(), F.col("doc_id")]).where(F.col("rank") <= F.col("pool"))
+        weight = F.when(F.col("enriched"), ENRICHED).otherwise(1.0) if channel == "lexical" else F.lit(1.0)
+        return cut.select("query_id", F.col("doc_id").alias("key"), F.lit(channel).alias("channel"), "rank", weight.alias("weight"), "stage")
+
+    lexical = pooled(bm25_scores(docs, q.select("query_id", F.col("asked").alias("text"))), "lexical")
+    # a vector's pool is cut after the scope is known, so as many times more are ranked as there are tenants' rows to lose
+    near = vector_top(vectors, query_vectors, most * WIDE_POOL).select("query_id", F.col("vec_id").alias("doc_id"), "score")
+    both = corpus.tabled(lexical.unionByName(pooled(near, "vector")), "pools")
+    fused = fuse(both, most)
+    stage = both.groupBy("query_id", "key").agg(F.min("stage").alias("stage"))
+    terms = q.select("query_id", F.array_distinct(T.words("text")).alias("terms"), "top_k")
+    full = fused.join(stage, ["query_id", "key"]).join(docs.select(F.col("doc_id").alias("key"), "text"), "key").join(terms, "query_id")
+    shared = F.size(F.array_intersect("terms", F.array_distinct(T.words("text"))))
+    scored = full.drop("rank").withColumn("score", F.round(F.col("score") + F.least(shared * 0.005, F.lit(0.02)), 6))
+    ranked = top(scored, most, [F.col("score").desc(), F.col("vector_rank"), F.col("lexical_rank"), F.col("key")])
+    return ranked.where(F.col("rank") <= F.col("top_k")).select("query_id", "rank", F.col("key").alias("doc_id"), "score", "stage", "vector_rank", "lexical_rank")

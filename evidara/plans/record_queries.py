@@ -11,7 +11,7 @@ from evidara.operators import evaluation, facts, records, retrieval
 from evidara.plans.fact_queries import FACTS
 from evidara.plans.grounding_queries import key
 from evidara.plans.registry import query
-from evidara.plans.retrieval_queries import COS, EXPECT, RRF, TEXT_KEY, channels, found, judged
+from evidara.plans.retrieval_queries import COS, EXPECT, RRF, TEXT_KEY, channels, judged
 from evidara.sources import tables as S
 
 
@@ -22,7 +22,7 @@ def j4_ranks_side_by_side(spark, sf):
 
 @query(f"WITH {COS}, {EXPECT} SELECT v.query_id, v.vec_id AS doc_id, v.rank, s.doc_id IS NOT NULL AS hit FROM vtop v LEFT JOIN same s ON s.query_id = v.query_id AND s.doc_id = v.vec_id")
 def j10_judged_hits(spark, sf):
-    return records.judged_hits(found(spark, sf).select("query_id", "doc_id", "rank"), judged(spark, sf))
+    return judged(spark, sf)[0].select("query_id", "doc_id", "rank", F.coalesce(F.col("hit") == 1, F.lit(False)).alias("hit"))
 
 
 @query(f"SELECT doc_id, doc_id || ':' || {TEXT_KEY} AS key FROM documents")

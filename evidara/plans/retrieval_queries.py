@@ -120,6 +120,33 @@ def r11_rerank(spark, sf):
     return retrieval.rerank(c, "terms", 10)
 
 
+#: Terms of the questions that have a hint.
+HINTS = [("that", "thation"), ("with", "thation"), ("from", "ment"), ("this", "ther")]
+QUESTIONS = f"""SELECT item_id AS query_id, text, item_id % 4 + 2 AS top_k, item_id % 3 AS tenant_id, CASE item_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'xx' END AS lang, item_id % 5 = 0 AS wide, list_sort(list_distinct(list_transform(list_filter([{", ".join(f"['{t}', '{h}']" for t, h in HINTS)}], lambda h: list_contains({WORDS.format("text")}, h[1])), lambda h: h[2]))) AS hints FROM benchmark"""
+RETRIEVE = (
+    "WITH " + BM25.replace("SELECT item_id AS query_id, unnest(" + WORDS.format("text") + ") AS term FROM benchmark", "SELECT query_id, unnest(" + WORDS.format("text || ' ' || array_to_string(hints, ' ')") + ") AS term FROM questions").replace("tok AS", f"questions AS MATERIALIZED ({QUESTIONS}), tok AS", 1)
+    + f""", {COS.replace("rank <= 20", f"rank <= {5 * 8 * 8}")},
+both_channels AS (SELECT query_id, doc_id, score, 'lexical' AS channel FROM scored UNION ALL SELECT query_id, vec_id, score, 'vector' FROM vtop),
+seen AS (SELECT c.query_id, c.doc_id, c.score, channel, top_k, top_k * CASE WHEN wide THEN 8 ELSE 4 END AS pool, CASE WHEN q.lang IS NULL OR q.lang = d.lang THEN 1 ELSE 2 END AS stage, len(hints) > 0 AS enriched FROM both_channels c JOIN questions q USING (query_id) JOIN documents d USING (doc_id) WHERE d.doc_id % 3 = q.tenant_id OR d.doc_id % 3 = 0),
+ok AS (SELECT * FROM (SELECT *, count(*) FILTER (stage = 1) OVER (PARTITION BY query_id, channel) AS own FROM seen) WHERE stage = 1 OR own < top_k),
+pools AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, channel ORDER BY stage, score DESC, doc_id) AS rank FROM ok) WHERE rank <= pool),
+each_key AS (SELECT query_id, doc_id, sum(CASE WHEN channel = 'lexical' AND enriched THEN 1.25 ELSE 1.0 END / (60 + rank)) AS raw, min(CASE WHEN channel = 'vector' THEN rank END) AS v, min(CASE WHEN channel = 'lexical' THEN rank END) AS l, min(stage) AS stage FROM pools GROUP BY 1, 2),
+ranks AS (SELECT *, coalesce(v, coalesce(max(v) OVER w, 0) + 1) AS vr, coalesce(l, coalesce(max(l) OVER w, 0) + 1) AS lr FROM each_key WINDOW w AS (PARTITION BY query_id)),
+first_ones AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 12) DESC, vr, lr, doc_id) AS n, round(raw / max(raw) OVER (PARTITION BY query_id), 6) AS fused FROM ranks) WHERE n <= (SELECT max(top_k * CASE WHEN wide THEN 8 ELSE 4 END) FROM questions)),
+last_score AS (SELECT f.query_id, f.doc_id, stage, vr, lr, top_k, round(fused + least(0.005 * len(list_intersect(list_distinct({WORDS.format("q.text")}), list_distinct({WORDS.format("d.text")}))), 0.02), 6) AS score FROM first_ones f JOIN questions q USING (query_id) JOIN documents d USING (doc_id))
+SELECT query_id, rank, doc_id, score, stage, CAST(vr AS INTEGER) AS vector_rank, CAST(lr AS INTEGER) AS lexical_rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vr, lr, doc_id) AS INTEGER) AS rank FROM last_score) WHERE rank <= top_k"""
+)
+
+
+@query(RETRIEVE)
+def r10_retrieve(spark, sf):
+    """Every benchmark passage as a question of its own size, tenant, language and scope."""
+    item = F.col("item_id")
+    questions = S.read(spark, sf, "benchmark").select(item.alias("query_id"), "text", (item % 4 + 2).alias("top_k"), (item % 3).alias("tenant_id"), F.when(item % 4 == 0, "en").when(item % 4 == 1, "xx").alias("lang"), F.when(item % 5 == 0, "summary").otherwise("point").alias("scope"))
+    hints = spark.createDataFrame(HINTS, "term string, hint string")
+    return retrieval.retrieve(S.documents(spark, sf), S.read(spark, sf, "embeddings"), questions, vector_queries(spark, sf), hints)
+
+
 TEXT_KEY = r"sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))))"
 
 
@@ -159,29 +186,34 @@ h AS (SELECT v.query_id, count(*) AS returned, count(s.doc_id) AS hits, min(CASE
 m AS (SELECT query_id, round(100.0 * hits / returned, 4) AS precision, round(100.0 * hits / expected, 4) AS recall, round(coalesce(100.0 / first, 0), 4) AS mrr, round(100 * dcg / list_sum(list_transform(generate_series(1, greatest(least(expected, 10), 1)), lambda i: 1 / log2(i + 1))), 4) AS ndcg FROM h JOIN x USING (query_id))"""
 
 
+def found(spark, sf):
+    return by_vector(spark, sf).withColumnRenamed("vec_id", "doc_id")
+
+
 def judged(spark, sf):
-    """Vectors of the same label are what a query vector expects."""
+    """Ranked vectors marked where they have the label of their query, and how many have it in all."""
     e = S.read(spark, sf, "embeddings")
-    return e.where("vec_id % 100 = 0").select((F.col("vec_id") / 100).cast("long").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("doc_id"), "label"), "label").select("query_id", "doc_id")
+    queries = e.where("vec_id % 100 = 0").select((F.col("vec_id") / 100).cast("long").alias("query_id"), "label")
+    return evaluation.by_label(found(spark, sf), queries, e.select(F.col("vec_id").alias("doc_id"), "label"))
 
 
-def found(spark, sf):
-    return by_vector(spark, sf).withColumnRenamed("vec_id", "doc_id")
+def measured(spark, sf):
+    return evaluation.metrics_of_hits(*judged(spark, sf), 10)
 
 
 @query(f"{METRICS} SELECT * FROM m")
 def e1_ranked_metrics(spark, sf):
-    return evaluation.ranked_metrics(found(spark, sf), judged(spark, sf), 10)
+    return measured(spark, sf)
 
 
 @query(f"WITH {COS}, {EXPECT}, x AS (SELECT query_id, count(*) AS expected FROM same GROUP BY 1), f AS (SELECT v.query_id, count(*) FILTER (rank <= 4) AS k4, count(*) FILTER (rank <= 8) AS k8, count(*) FILTER (rank <= 12) AS k12 FROM vtop v JOIN same s ON s.query_id = v.query_id AND s.doc_id = v.vec_id GROUP BY 1) SELECT count(*) AS queries, round(100 * avg(coalesce(k4, 0) / expected), 4) AS recall_4, round(100 * avg(coalesce(k8, 0) / expected), 4) AS recall_8, round(100 * avg(coalesce(k12, 0) / expected), 4) AS recall_12 FROM x LEFT JOIN f USING (query_id)")
 def a24_recall_at(spark, sf):
-    return evaluation.recall_at(found(spark, sf), judged(spark, sf), [4, 8, 12])
+    return evaluation.recall_of_hits(*judged(spark, sf), [4, 8, 12])
 
 
 @query(f"{METRICS} SELECT round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(mrr), 4) AS mrr, round(avg(ndcg), 4) AS ndcg, round((avg(precision) + avg(recall) + avg(mrr) + avg(ndcg)) / 4, 4) AS gate, bool_and(recall >= 1) AS passed FROM m")
 def a23_gate(spark, sf):
-    m = evaluation.ranked_metrics(found(spark, sf), judged(spark, sf), 10)
+    m = measured(spark, sf)
     names = ["precision", "recall", "mrr", "ndcg"]
     mean = F.avg("precision") + F.avg("recall") + F.avg("mrr") + F.avg("ndcg")
     return m.agg(*(F.round(F.avg(c), 4).alias(c) for c in names), F.round(mean / 4, 4).alias("gate"), F.every(F.col("recall") >= 1).alias("passed"))
@@ -210,18 +242,10 @@ def e5_overall(spark, sf):
     return S.read(spark, sf, "labels").select("doc_id", evaluation.overall(F.col("quality") * 100.0, F.lit(50.0), (1 - F.col("toxic")) * 100.0, F.lit(80.0)).alias("overall"))
 
 
-@query(f"{METRICS}, n AS (SELECT query_id, CASE WHEN query_id % 2 = 0 THEN recall ELSE recall + query_id - 5 END AS recall FROM m WHERE query_id < 3), j AS (SELECT m.recall AS o, n.recall AS w FROM m FULL JOIN n USING (query_id)) SELECT CASE WHEN o IS NULL OR w IS NULL THEN 'UNCOMPARABLE' WHEN w > o THEN 'IMPROVED' WHEN w < o THEN 'REGRESSED' ELSE 'UNCHANGED' END AS verdict, count(*) AS queries FROM j GROUP BY 1")
-def y8_compare_runs(spark, sf):
-    m = evaluation.ranked_metrics(found(spark, sf), judged(spark, sf), 10)
-    q = F.col("query_id")
-    new = m.where("query_id < 3").withColumn("recall", F.when(q % 2 == 0, F.col("recall")).otherwise(F.col("recall") + q - 5))
-    return evaluation.compare_runs(m, new)
-
-
 @query(f"{METRICS}, n AS (SELECT query_id, CASE WHEN query_id % 2 = 0 THEN recall ELSE recall + query_id % 4 - 2 END AS recall FROM m WHERE query_id % 5 <> 4), j AS (SELECT m.recall AS o, n.recall AS w FROM m FULL JOIN n USING (query_id)) SELECT CASE WHEN o IS NULL OR w IS NULL THEN 'UNCOMPARABLE' WHEN w > o THEN 'IMPROVED' WHEN w < o THEN 'REGRESSED' ELSE 'UNCHANGED' END AS verdict, count(*) AS queries FROM j GROUP BY 1")
-def y8_compare_whole_runs(spark, sf):
-    """As y8_compare_runs, with a new run over all queries but each fifth."""
-    m = evaluation.ranked_metrics(found(spark, sf), judged(spark, sf), 10)
+def y8_compare_runs(spark, sf):
+    """Against a new run over all queries but each fifth."""
+    m = measured(spark, sf)
     q = F.col("query_id")
     new = m.where(q % 5 != 4).withColumn("recall", F.when(q % 2 == 0, F.col("recall")).otherwise(F.col("recall") + q % 4 - 2))
     return evaluation.compare_runs(m, new)

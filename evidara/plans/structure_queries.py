@@ -45,7 +45,10 @@ def a17_ledger_conflicts(spark, sf):
 
 
 ITEM = "CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) || '-' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR)"
-ITEM_ID = F.expr("concat_ws('-', l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS BIGINT))")
+
+
+def item_id():
+    return F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey")), F.col("l_quantity").cast("long").cast("string"))
 
 
 @query(f"""WITH f AS (SELECT l_suppkey, l_returnflag, {ITEM} AS fact_id, CAST(l_quantity AS BIGINT) * 100 AS value, CASE l_linenumber % 4 WHEN 0 THEN 'fiscal_quarter' WHEN 1 THEN 'six_months' WHEN 2 THEN 'fiscal_year' ELSE NULL END AS period_type, l_discount AS confidence, CASE l_suppkey % 3 WHEN 0 THEN 'cumulative' WHEN 1 THEN 'quarter' END AS wants FROM lineitem WHERE l_quantity > 20 OR l_suppkey % 2 = 0),
@@ -57,7 +60,7 @@ def y2_preferred(spark, sf):
     n = F.col("l_linenumber") % 4
     kind = F.when(n == 0, "fiscal_quarter").when(n == 1, "six_months").when(n == 2, "fiscal_year")
     wants = F.when(F.col("l_suppkey") % 3 == 0, "cumulative").when(F.col("l_suppkey") % 3 == 1, "quarter")
-    facts = S.read(spark, sf, "lineitem").where("l_quantity > 20 OR l_suppkey % 2 = 0").select("l_suppkey", "l_returnflag", ITEM_ID.alias("fact_id"), (F.col("l_quantity").cast("long") * 100).alias("value"), kind.alias("period_type"), F.col("l_discount").alias("confidence"), wants.alias("wants"))
+    facts = S.read(spark, sf, "lineitem").where("l_quantity > 20 OR l_suppkey % 2 = 0").select("l_suppkey", "l_returnflag", item_id().alias("fact_id"), (F.col("l_quantity").cast("long") * 100).alias("value"), kind.alias("period_type"), F.col("l_discount").alias("confidence"), wants.alias("wants"))
     return ledger.preferred(facts, ["l_suppkey", "l_returnflag"], "wants")
 
 
@@ -71,7 +74,7 @@ SELECT document, statement, start_page, max(page) AS end_page, count(*) AS table
 def g5_statements(spark, sf):
     k = F.col("l_partkey") % 8
     kind = F.when(k == 0, "statement").when(k == 1, "section").when((k == 2) & (F.col("l_linenumber") > 4), "stop").otherwise("table")
-    events = S.read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("document"), (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("long").alias("page"), F.col("l_extendedprice").alias("y"), kind.alias("kind"), ITEM_ID.alias("event_id"), F.col("l_quantity").cast("long").alias("rows"))
+    events = S.read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("document"), (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("long").alias("page"), F.col("l_extendedprice").alias("y"), kind.alias("kind"), item_id().alias("event_id"), F.col("l_quantity").cast("long").alias("rows"))
     return layout.statements(events)
 
 
@@ -105,7 +108,7 @@ UNION ALL SELECT page, n, CASE WHEN hit = 0 THEN list_append(anchors, {{'y': y,
 SELECT page, span_id, CAST(line AS INTEGER) AS line, CAST(row_number() OVER (PARTITION BY page ORDER BY line, x, y, span_id) AS INTEGER) AS place FROM f WHERE n > 0""")
 def x32_lines(spark, sf):
     y = F.col("l_quantity").cast("long")
-    spans = S.read(spark, sf, "lineitem").distinct().select(F.col("l_orderkey").alias("page"), ITEM_ID.alias("span_id"), F.col("l_partkey").alias("x"), y.alias("y"), (y + F.col("l_linenumber") * 3).alias("bottom"))
+    spans = S.read(spark, sf, "lineitem").distinct().select(F.col("l_orderkey").alias("page"), item_id().alias("span_id"), F.col("l_partkey").alias("x"), y.alias("y"), (y + F.col("l_linenumber") * 3).alias("bottom"))
     return layout.lines(spans, ["page"])
 
 

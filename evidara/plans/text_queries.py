@@ -14,15 +14,9 @@ from evidara.streaming import limits, windows
 W = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 
 
-@query(rf"SELECT doc_id, len({W}) AS n, array_to_string(list_slice({W}, 1, 5), ' ') AS head FROM documents")
-def x1_tokens(spark, sf):
-    t = T.tokens("text")
-    return S.documents(spark, sf).select("doc_id", F.size(t).alias("n"), F.concat_ws(" ", F.slice(t, 1, 5)).alias("head"))
-
-
 @query(rf"SELECT doc_id, len({W}) AS n, sha256(array_to_string({W}, ' ')) AS digest FROM documents")
-def x1_all_tokens(spark, sf):
-    """As x1_tokens, with a digest of all tokens of each text."""
+def x1_tokens(spark, sf):
+    """The number of tokens of each text, and a digest of all of them."""
     t = T.tokens("text")
     return S.documents(spark, sf).select("doc_id", F.size(t).alias("n"), F.sha2(F.concat_ws(" ", t), 256).alias("digest"))
 
@@ -77,7 +71,7 @@ SENSITIVE = having(
     ("cn id", "regexp_matches(text, '(^|[^[:alnum:]])[1-9][[:digit:]]{16}[[:digit:]xX]([^[:alnum:]]|$)')"),
     ("cn phone", r"regexp_matches(text, '(^|\D)1[3-9]\d{9}(\D|$)')"),
     ("international phone", r"contains(text, '+') AND regexp_matches(text, '(^|\W)\+\d{1,3}[ .-]?\d{3,4}[ .-]?\d{3,4}[ .-]?\d{3,4}(\W|$)')"),
-    ("card", f"regexp_matches(text, '\d(?:[ -]?\d){{12}}') AND len(list_filter(flatten(list_transform(regexp_extract_all(text, '\d+(?:[ -]\d+)*'), lambda c: {CARDS})), lambda v: {LUHN})) > 0"),
+    ("card", rf"regexp_matches(text, '\d(?:[ -]?\d){{12}}') AND len(list_filter(flatten(list_transform(regexp_extract_all(text, '\d+(?:[ -]\d+)*'), lambda c: {CARDS})), lambda v: {LUHN})) > 0"),
 )
 
 

@@ -9,12 +9,12 @@ from evidara.plans.catalogue import QUERIES
 def test_every_token_counts(spark, tmp_path):
     texts = ["one two three four five six", "one two three four five seven"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "length(text) AS n_chars").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r.digest for r in QUERIES["x1_all_tokens"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.digest for r in QUERIES["x1_tokens"](spark, str(tmp_path)).collect()}
     assert got == {i: sha256(t.encode()).hexdigest() for i, t in enumerate(texts)}
 
 
 def test_few_queries_cannot_be_compared(spark):
-    got = {r.verdict: r.queries for r in QUERIES["y8_compare_whole_runs"](spark, "/root/testdata/sf0.1").collect()}
+    got = {r.verdict: r.queries for r in QUERIES["y8_compare_runs"](spark, "/root/testdata/sf0.1").collect()}
     assert got["UNCOMPARABLE"] * 4 <= sum(got.values()) and got["IMPROVED"] and got["REGRESSED"] and got["UNCHANGED"]
 
 
