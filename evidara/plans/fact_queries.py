@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evidara.functions import numbers as N
@@ -9,6 +11,7 @@ from evidara.functions import periods as P
 from evidara.operators import corpus, facts
 from evidara.plans.registry import query
 from evidara.sources import tables as S
+from evidara.sources import versioned
 
 FACTS = """w AS (SELECT n_name AS company, year(o_orderdate) AS fiscal_year, sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS revenue,
 sum(CAST(CAST(l_extendedprice AS DECIMAL(18,4)) * CAST(l_discount AS DECIMAL(6,4)) AS DECIMAL(18,4))) AS discounts,
@@ -119,6 +122,19 @@ def a18_save_batch(spark, sf):
     return facts.save_batch(old, new, IDENTITY)
 
 
+@query(f"WITH {RESOLVED} SELECT company, fiscal_year, metric, value FROM resolved WHERE status = 'OK'")
+def a18_saved_facts(spark, sf):
+    """Facts up to 1995 saved; a batch with one value changed, which changes nothing; then the later years, twice."""
+    known = facts.resolve_conflicts(reported(spark, sf), IDENTITY).where("status = 'OK'").select(*IDENTITY, "value")
+    table = versioned.VersionedTable(spark, f"{corpus.shared_folder(spark)}/facts-{uuid.uuid4().hex}", known.schema, "fiscal_year")
+    early, late = known.where("fiscal_year < 1996"), known.where("fiscal_year >= 1996")
+    table.save_batch(early, IDENTITY, "value", "early")
+    table.save_batch(late.unionByName(early.withColumn("value", F.col("value") + 1)), IDENTITY, "value", "torn")
+    for _ in range(2):
+        table.save_batch(late, IDENTITY, "value", "late")
+    return table.read()
+
+
 @query(f"WITH {FACTS} SELECT company, metric, fiscal_year, CAST(value AS DOUBLE) AS value FROM (SELECT *, rank() OVER (PARTITION BY company, metric ORDER BY fiscal_year DESC) AS n FROM facts) WHERE n = 1")
 def r16_latest(spark, sf):
     return facts.latest(S.facts(spark, sf)).select("company", "metric", "fiscal_year", F.col("value").cast("double").alias("value"))

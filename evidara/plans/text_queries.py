@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evidara.functions import periods as P
 from evidara.functions import text as T
 from evidara.operators import corpus
 from evidara.plans.registry import query
+from evidara.sources import files, versioned
 from evidara.sources import tables as S
 from evidara.streaming import limits, windows
 
@@ -109,21 +112,64 @@ def s14_lexical_corpus(spark, sf):
     return S.documents(spark, sf).where("tenant_id IS NOT NULL").select("doc_id", F.col("text").isNotNull().alias("kept")).orderBy("doc_id")
 
 
+def changing(spark, name, rows):
+    """An empty table of the rows' columns in the shared folder, parted by tenant."""
+    return versioned.VersionedTable(spark, f"{corpus.shared_folder(spark)}/{name}-{uuid.uuid4().hex}", rows.schema, "tenant_id")
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'new' ELSE lang END AS lang FROM documents UNION ALL SELECT doc_id + 1000000, 'new' FROM documents WHERE doc_id % 10 = 0")
 def s13_upsert(spark, sf):
-    d = S.documents(spark, sf).select("doc_id", "lang")
+    """Chunks loaded, a tenth changed and as many added; every commit runs twice, the second time without effect."""
+    d = S.documents(spark, sf).select("doc_id", "lang", "tenant_id")
     tenth = d.where("doc_id % 10 = 0").withColumn("lang", F.lit("new"))
-    return corpus.upsert(d, tenth.unionByName(tenth.withColumn("doc_id", F.col("doc_id") + 1_000_000)), "doc_id")
+    t = changing(spark, "chunks", d)
+    for _ in range(2):
+        t.upsert(d, ["doc_id"], "load")
+        t.upsert(tenth.unionByName(tenth.withColumn("doc_id", F.col("doc_id") + 1_000_000)), ["doc_id"], "change")
+    return t.read().select("doc_id", "lang")
 
 
 @query("SELECT doc_id, source FROM documents WHERE NOT (source = 'src3' AND doc_id % 3 = 1)")
 def s15_delete(spark, sf):
-    return corpus.delete(S.documents(spark, sf), (F.col("source") == "src3") & (F.col("tenant_id") == 1)).select("doc_id", "source")
+    d = S.documents(spark, sf).select("doc_id", "source", "tenant_id")
+    t = changing(spark, "chunks", d)
+    t.upsert(d, ["doc_id"], "load")
+    t.delete("source = 'src3' AND tenant_id = 1", "delete src3 of tenant 1")
+    return t.read().select("doc_id", "source")
 
 
 @query("SELECT source, count(*) AS n FROM documents WHERE doc_id % 3 <> 2 GROUP BY 1")
 def s16_delete_tenant(spark, sf):
-    return corpus.delete(S.documents(spark, sf), F.col("tenant_id") == 2).groupBy("source").agg(F.count("*").alias("n"))
+    d = S.documents(spark, sf).select("doc_id", "source", "tenant_id")
+    t = changing(spark, "chunks", d)
+    t.upsert(d, ["doc_id"], "load")
+    t.drop_partition(2, "drop tenant 2")
+    return t.read().groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT doc_id % 3 AS tenant_id, sha256(source) AS source_sha256, sha256(text) AS artifact_sha256, octet_length(encode(text)) AS length FROM documents WHERE text IS NOT NULL")
+def s18_artifacts(spark, sf):
+    """Texts as blobs, put twice under their digests."""
+    rows = S.documents(spark, sf).select("tenant_id", F.sha2("source", 256).alias("source_sha256"), F.col("text").cast("binary").alias("content"))
+    t = versioned.VersionedTable(spark, f"{corpus.shared_folder(spark)}/artifacts-{uuid.uuid4().hex}", versioned.ARTIFACTS, "tenant_id")
+    versioned.put_artifacts(t, rows, "first")
+    versioned.put_artifacts(t, rows, "again")
+    return t.read().select("tenant_id", "source_sha256", "artifact_sha256", F.octet_length("content").alias("length"))
+
+
+@query("SELECT c_custkey % 40 AS file, row_number() OVER (PARTITION BY c_custkey % 40 ORDER BY c_custkey) + 1 AS line, 'id: ' || c_custkey || ' | nation: ' || c_nationkey || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ' | name: ' || CASE WHEN c_custkey % 7 = 0 THEN 'a, b; ' ELSE '' END || c_custkey END AS row_text, CAST(NULL AS VARCHAR) AS why FROM customer UNION ALL SELECT c_custkey % 40, count(*) + 2, NULL, '4 cells under 3 headers' FROM customer GROUP BY 1")
+def s6_delimited(spark, sf):
+    """Customers written as delimited files of four kinds, a bad last line in each, and read again."""
+    c = S.read(spark, sf, "customer").select("c_custkey", "c_nationkey", (F.col("c_custkey") % 40).alias("file"))
+    name = F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.concat(F.lit('"'), F.when(F.col("c_custkey") % 7 == 0, "a, b; ").otherwise(""), F.col("c_custkey"), F.lit('"')))
+    mark = F.element_at(F.array(*(F.lit(x) for x in ",;\t|")), (F.col("file") % 4 + 1).cast("int"))
+    lines = c.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("c_custkey", F.array_join(F.array(F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string"), name), "\x01").alias("t")))).alias("rows"))
+    body = F.concat(F.lit("id\x01nation\x01name\n"), F.array_join(F.transform("rows", lambda x: x["t"]), "\n"), F.lit("\n1\x012\x013\x014\n"))
+    path = f"{corpus.shared_folder(spark)}/delimited-{uuid.uuid4().hex}"
+    lines.select("file", F.replace(body, F.lit("\x01"), mark).alias("value")).repartition("file").write.partitionBy("file").text(path)
+    found = files.load_files(spark, path).withColumn("suffix", F.lit("csv"))
+    good, bad = files.delimited_rows(found)
+    return good.select("path", "line", "row_text", F.lit(None).cast("string").alias("why")).unionByName(bad.select("path", "line", F.lit(None).cast("string").alias("row_text"), "why")).select(F.regexp_extract("path", r"file=([0-9]+)", 1).cast("long").alias("file"), "line", "row_text", "why")
 
 
 @query("SELECT doc_id, lang, 'missing' AS side FROM documents WHERE doc_id % 50 = 0 UNION ALL SELECT doc_id, 'xx', 'extra' FROM documents WHERE doc_id % 50 = 0")
