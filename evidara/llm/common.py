@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +19,9 @@ SPACE = " \t\n\x0b\x0c\r"
 #: Rows of an Arrow batch that are turned into Python objects at once.
 BATCH_ROWS = 500
 
+#: Spark's limit of a batch that goes to Python, and ours.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
 U64 = np.uint64
 
 
@@ -25,7 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a table of very few partitions over the cores; larger tables stay as they are."""
+    """Deal a table of very few partitions over the cores; larger tables stay as they are.
+
+    Where the session has no limit of its own, rows go to Python in batches of a few megabytes, as a batch of whole texts is held several
+    times over, on both sides.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF, f"{64 << 20}b") in (str(64 << 20), f"{64 << 20}b"):
+        conf.set(BATCH_CONF, str(BATCH_BYTES))
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -35,6 +48,14 @@ def small(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    release()
+
+
+def release() -> None:
+    """Give back to the system what a task's batches held: Python workers live on, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def by_size(batches: Iterable[pa.RecordBatch], most: int, name: str = "text") -> Iterator[pa.RecordBatch]:
@@ -47,13 +68,14 @@ def by_size(batches: Iterable[pa.RecordBatch], most: int, name: str = "text") ->
                 stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, side="right")) - 1)
                 yield batch.slice(at, stop - at)
                 at = stop
+    release()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. A folder of our own stands in only where all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="evidara-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -68,6 +90,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that materialise wrote and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if folder.rsplit("/", 1)[0].removeprefix("file://").removeprefix("file:") == shared_dir(spark).removeprefix("file://").removeprefix("file:"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def row_of(df: DataFrame, names: list[str] | tuple[str, ...]) -> Column:
     """A struct of the named columns; a name may hold dots or clash with those made here."""
     return F.struct(*(df[f"`{n.replace('`', '``')}`"] for n in names))

@@ -6,8 +6,8 @@ worth everything. Tags and style names that state a role (navigation, advert, co
 Branches of low importance are taken out of each page. Within a page's article the same holds, with a prior for what it says: so many
 more pages must agree. An article with less than half of a page's text is a teaser: then all blocks are judged alike.
 
-Rules for odd input: null or empty html gives the empty text; a null url is a host of its own name, empty; repeated pages count
-once as evidence for their host and each give a row; broken markup is read as far as it goes; an empty table gives an
+Rules for odd input: null or empty html gives the empty text; a null url is a host of its own name, empty; pages that say the
+same count once as evidence for their host and each give a row; very long pages are read whole, one at a time; ties need no rule; broken markup is read as far as it goes; an empty table gives an
 empty result; other columns are ignored.
 """
 
@@ -38,20 +38,30 @@ ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form
 #: Words in class, id or role that state what is not the article.
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist disqus discussion cookie cookies consent footer gdpr login masthead menu menubar modal nav navbar navigation navi newsletter notice notices alert "
-    "overlay pagination pager paywall popup promo promoted promotion recommended recommendations related reply replies respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets complementary contentinfo dialog reader".split()
+    "overlay pagination pager paywall popup promo promoted promotion recommended recommendations related reply replies respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets complementary contentinfo dialog".split()
 )
+#: Words that say nothing of a role beside one that does: related-posts is noise, social-history is not.
+PLAIN = frozenset("area article articles aside bar block body bottom box btn button buttons col column container content div element entry form group header holder inner item items left line link links list main message more new news outer page panel popular post posts primary reader readers right row secondary section site story text title top unit user users wrap wrapper".split())
 #: Importance under which a block goes, and the share of links that takes one out.
 LEAST_IMPORTANCE, LINKED = 0.3, 0.5
 #: States that are judged, and the pages that are thought to differ beforehand.
 PRIOR_PAGES = {1: 10, 2: 1}
 #: Share of a page's text outside links that makes its articles the main text.
 LEAST_MAIN = 0.5
+#: Share of the articles of a style node that must say a block for it to go.
+ARTICLE_SHARE = 0.8
 SALTS = 16
 #: A named element stays in if what else would stay is under this share of what it holds.
 LEAST_LEFT = 0.1
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+def noisy(name: str) -> bool:
+    """Whether a class, id or role states what is not the article: all its words do, or say nothing."""
+    words = [w.lower() for w in NAME.findall(name)]
+    return any(w in NOISE for w in words) and all(w in NOISE or w in PLAIN for w in words)
+
+
 class Page(HTMLParser):
     """Collects blocks: (style path, text, characters within links, whether in the article, whether in noise by tag or hidden, and
     the elements that are noise by name around it, by number)."""
@@ -83,7 +93,7 @@ class Page(HTMLParser):
         names = " ".join((a.get("class", ""), a.get("id", ""), a.get("role", "")))
         _, path, silent, main, noise, named = self.stack[-1]
         noise = noise or tag in ROLELESS or tag == "header" and not main
-        if tag not in ("html", "body") and any(w.lower() in NOISE for w in NAME.findall(names)):
+        if tag not in ("html", "body") and any(noisy(n) for n in names.split()):
             self.named += 1
             named |= {self.named}
         noise = noise or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "")
@@ -195,7 +205,8 @@ def parsed(pages: DataFrame, texts: bool) -> DataFrame:
             for html in batch["html"].to_pylist():
                 own = [b for b in read(html) if b[2]]
                 found.append([t for _, t, _ in own] if texts else [{"path": p, "text": xxh3_64_intdigest(t) - (1 << 63), "state": s} for p, t, s in own])
-                digest.append(xxh3_64_intdigest(html) - (1 << 63))
+                # pages that say the same are one page, whatever else their markup holds
+                digest.append(xxh3_64_intdigest("\n\n".join(t for _, t, _ in own)) - (1 << 63))
             columns = [batch["host"], pa.array(digest, pa.int64()), pa.array(found, pa.list_(pa.string() if texts else key))]
             yield pa.RecordBatch.from_arrays([batch["row"], *columns] if texts else columns, names)
 
@@ -221,7 +232,9 @@ def branches(once: DataFrame) -> DataFrame:
     nodes = texts.groupBy("host", "path").agg(F.max(F.when(F.col("text").isNull(), F.col("k"))).alias("pages"), F.exp(F.sum(some * F.log("k")) / F.sum(some)).alias("mean"), F.max(some).alias("most"))
     repeated = nodes.where("most > 1").drop("most").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = texts.where("text IS NOT NULL").withColumn("salt", F.pmod("text", F.lit(SALTS)).cast("int"))
-    goes = [F.when(low(F.col("k"), F.col("pages"), prior) | low(F.col("mean"), F.col("pages"), prior), state) for state, prior in PRIOR_PAGES.items()]
+    # of an article goes only what nearly all articles of its kind say
+    usual = {1: F.col("k") >= ARTICLE_SHARE * F.col("pages"), 2: F.lit(True)}
+    goes = [F.when(usual[state] & (low(F.col("k"), F.col("pages"), prior) | low(F.col("mean"), F.col("pages"), prior)), state) for state, prior in PRIOR_PAGES.items()]
     return salted.join(repeated, ["host", "path", "salt"]).select("host", "path", "text", F.array_compact(F.array(*goes)).alias("states")).where(F.size("states") > 0)
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from evidara.llm.common import U64, materialise, mix, small, spread, text_bytes
+from evidara.llm.common import U64, materialise, mix, row_of, small, spread, text_bytes
 
 #: Minwise values that paths choose from, and values of which a byte each is kept to compare classes.
 SIZE, CHECKS = 64, 256
@@ -437,14 +437,15 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents without all but one row of each component, with their own columns.
 
     Rows are judged each by id and text, so rows that share an id (or have none) stand apart. The least id stays, any id before
-    none, then the least digest of the text; of rows alike in both, the one whose columns come first as JSON. Rows without words stay.
+    none, then the least digest of the text; of rows alike in both, the one whose columns come first as JSON. Rows without words
+    stay. Columns may have any names.
     """
     digest = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     key = F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("id"), digest.alias("digest"))
     marked = materialise(near_duplicates(docs.select(key.alias("doc_id"), "text"), width, percent), "near-duplicates")
-    drop = marked.where(~F.col("kept")).select(F.col("doc_id").alias("_key")).distinct()
-    repeated = marked.where("kept and n_shingles > 0").groupBy(F.col("doc_id").alias("_key")).agg(F.count("*").alias("n")).where("n > 1").select("_key")
-    left = docs.withColumn("_key", key).join(drop, "_key", "left_anti")
-    whole = F.struct(*docs.columns)
-    once = left.join(repeated, "_key", "left_semi").groupBy("_key").agg(F.min_by(whole, F.to_json(whole)).alias("_row")).select("_row.*")
-    return left.join(repeated, "_key", "left_anti").select(*docs.columns).unionByName(once)
+    drop = marked.where(~F.col("kept")).select(F.col("doc_id").alias("key")).distinct()
+    repeated = marked.where("kept and n_shingles > 0").groupBy(F.col("doc_id").alias("key")).agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # the columns travel as one struct, so no name can clash or be taken apart
+    left = docs.select(key.alias("key"), row_of(docs, docs.columns).alias("row")).join(drop, "key", "left_anti")
+    once = left.join(repeated, "key", "left_semi").groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    return left.join(repeated, "key", "left_anti").select("row").unionByName(once).select("row.*")

@@ -99,9 +99,15 @@ def of_kind(kind: str) -> Callable[[Column], Column]:
 
 
 def contexts(st: Column, en: Column) -> Column:
-    """The last word before a place and the last two, the first word after it and the first two, in lower case, as patterns."""
-    before = F.substring(F.col("text"), F.greatest(st - CONTEXT, F.lit(0)) + 1, F.least(st, F.lit(CONTEXT)))
-    after = F.substring(F.col("text"), en + 1, F.lit(CONTEXT))
+    """The last word before a place and the last two, the first word after it and the first two, in lower case, as patterns.
+
+    Words that reach beyond CONTEXT are left out: a part of a word would be a pattern that stands nowhere.
+    """
+    text, reach = F.col("text"), F.lit(CONTEXT + 1)
+    before = F.substring(text, F.greatest(st - reach, F.lit(0)) + 1, F.least(st, reach))
+    before = F.when(st > CONTEXT, F.regexp_replace(before, r"^\p{L}++", "")).otherwise(before)
+    after = F.substring(text, en + 1, reach)
+    after = F.when(F.length(after) > CONTEXT, F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
 
     def sided(mark: str, part: Column, start: int) -> Column:
         words = F.regexp_extract_all(F.lower(part), F.lit(WORDS), F.lit(0))

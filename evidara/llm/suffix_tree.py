@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from evidara.llm.common import U64, BitMap, materialise, remainder_of_id, small, spread, text_bytes
+from evidara.llm.common import U64, BitMap, forget, materialise, remainder_of_id, small, spread, text_bytes
 
 DEPTH = 3
 #: Occurrences of a context that is tested and of an entry that is kept, for each root of the training tokens.
@@ -157,7 +157,9 @@ def longer(docs: DataFrame, length: int, shorter: DataFrame, least_context: floa
     of_ctx = shorter.where(F.col("n") >= least_context).select(F.col("name").alias("ctx"), F.col("n").alias("of"))
     of_suf = shorter.select(F.col("name").alias("suf"), "root", F.col("p").alias("q"))
     out = counted.join(of_ctx, "ctx").join(of_suf, "suf")
-    return materialise(out.select("name", "ctx", "suf", "n", "of", "root", "q", (F.col("n") / F.col("of")).alias("p")), "grams")
+    level = materialise(out.select("name", "ctx", "suf", "n", "of", "root", "q", (F.col("n") / F.col("of")).alias("p")), "grams")
+    forget(counted)
+    return level
 
 
 @dataclass
@@ -201,7 +203,7 @@ def grow(docs: DataFrame, counts: DataFrame) -> Tree:
         deeper = materialise(own, "retained")
         retained.insert(0, deeper)
     # top down: an entry's gain over the root, what its suffix's would be, and the share that backs off
-    values, upper = [], None
+    values, upper, written = [], None, []
     for i, level in enumerate(levels):
         kept = level.join(retained[i], "ctx", "left_semi").withColumn("gain", F.log10((F.col("n") - DISCOUNT) / F.col("of")) - F.col("root"))
         kept = kept.withColumn("by_suffix", F.lit(0.0)) if upper is None else kept.join(upper.select(F.col("name").alias("suf"), F.col("gain").alias("by_suffix")), "suf")
@@ -211,10 +213,12 @@ def grow(docs: DataFrame, counts: DataFrame) -> Tree:
         values += [alpha.select(F.col("ctx").alias("name"), F.col("of").alias("n"), F.col("alpha").alias("value"), F.lit(i + 1).alias("length"))]
         values += [kept.join(alpha.select("ctx", "alpha"), "ctx").select("name", "n", (F.col("gain") - F.col("alpha") - F.col("by_suffix")).alias("value"), F.lit(i + 2).alias("length"))]
         upper = kept
+        written += [kept, alpha]
     all_of = values[0]
     for more in values[1:]:
         all_of = all_of.unionByName(more)
     tree.values = materialise(all_of.groupBy("name", "length").agg(F.max("n").alias("n"), F.sum("value").alias("value")), "values")
+    forget(*levels, *retained, *written)
     return tree
 
 

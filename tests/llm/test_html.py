@@ -101,3 +101,23 @@ def test_articles_are_judged_too(spark):
 def test_a_teaser_is_not_the_page():
     body = "<div><p>The body of the page stands in a div and is told at some length.</p></div>"
     assert texts(f'<body>{body}<article><a href="/x">See also this</a></article></body>') == ["The body of the page stands in a div and is told at some length."]
+
+
+def extracted(spark, pages):
+    return {r.page_id: r.text for r in he.main_text(spark.createDataFrame([(i, "http://h.org/x", h) for i, h in pages], "page_id long, url string, html string")).collect()}
+
+
+def test_the_same_article_on_many_pages_stays(spark):
+    story = "<p>A story that was told on many pages.</p><p>It has two parts.</p>"
+    got = extracted(spark, [(i, f"<body><!-- {i} --><article>{story}</article></body>") for i in range(60)] + [(100 + i, f"<body><div>{story}</div><!-- {i} --></body>") for i in range(3)])
+    assert set(got.values()) == {"A story that was told on many pages.\n\nIt has two parts."}
+
+
+def test_a_sentence_of_half_of_the_articles_stays(spark):
+    said = "<p>As we have told before, the river was high.</p>"
+    got = extracted(spark, [(i, f"<body><article><p>Story {i} begins like {i * 7}.</p>{said if i < 30 else ''}<p>And ends like {i * 11}.</p></article></body>") for i in range(60)])
+    assert all(("the river was high" in t) == (i < 30) for i, t in got.items())
+
+
+def test_names_that_only_hold_a_noise_word():
+    assert texts('<article><p>One.</p><div class="social-history">Two.</div><p class="reader">Three.</p><div class="related-posts">No</div><div id="reader-comments">No</div></article>') == ["One.", "Two.", "Three."]

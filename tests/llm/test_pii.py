@@ -95,3 +95,13 @@ def test_redact(spark, no_docs, odd_docs):
     assert got == {1: ("é [EMAIL], [PHONE]!", 19), 2: (None, None), 3: ("plain", 5)}
     names = spark.createDataFrame([(1, "to a@b.co", "x", 7, 8)], "doc_id long, text string, `a.b` string, _spans long, row long")
     assert pii.redact(names).columns == names.columns and pii.redact(names).first() == (1, "to [EMAIL]", "x", 7, 8)
+
+
+def test_words_that_reach_beyond_the_context_are_no_patterns(spark):
+    """A part of a word stands nowhere as a word, so nothing would speak against it."""
+    long = "x" * 48
+    rows = [(i, f"{long} user{i}@example.org and so on") for i in range(8)] + [(100 + i, f"{long} plain words here") for i in range(40)] + [(200, f"{long} ab12cd34 it is")]
+    rows += [(300 + i, f"see more {'y' * 60}{i} user{i}@example.com") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.report(docs).collect()}
+    assert got[200] == "" and got[300].startswith("email:")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from evidara.llm import quality, toxicity
+from evidara.llm import near_dup, quality, toxicity
 from evidara.llm.common import materialise, table
 from tests.llm.test_pii import brute
 
@@ -101,3 +101,28 @@ def test_sequences_hold_the_documents(stages):
             at += length
         assert at <= 2048
     assert len(places) <= 1.02 * sum(map(len, ids.values())) / 2048 + 1
+
+
+def test_keep_one_with_any_column_names(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, "k", "r", 5), (2, text, "k", "r", 6), (3, text, "k", "r", 5), (3, text, "k", "r", 4), (9, "other words stand here alone and far", "k", "r", 1)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "_key", "_row", "a.b"]).withColumn("key", F.lit(1)).withColumn("row", F.lit(2))
+    got = near_dup.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted((r[0], r[2], r[4]) for r in got.collect()) == [(1, "k", 5), (9, "k", 1)]
+
+
+def test_odd_rows_go_through_all_stages(spark, tmp_path):
+    good = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, good, "en", "s", 5), (1, good, "en", "s", 5), (2, None, None, None, None), (3, "", "en", "s", 0), (None, good + " end", "en", None, 9), (4, "x" * 300_000, "en", "s", 1), (5, ("long text " + good + " ") * 300, "en", "s", 2)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("row", F.lit("clash")).withColumn("a.b", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (4, 0, 1), (5, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "row", "a.b"]
+    packed = cp.run(spark, str(tmp_path)).collect()
+    assert {r.sequence_id for r in packed} is not None
+    none = docs.limit(0)
+    for _, stage in cp.STAGES:
+        assert stage(spark, none, str(tmp_path)).collect() == []
