@@ -1,4 +1,9 @@
-"""The training-corpus pipeline: toxicity, quality rules, near-duplicates, personal data, packing."""
+"""The training-corpus pipeline: toxicity, quality rules, near-duplicates, personal data, packing.
+
+Rules for odd input, of all stages: a null text is empty, has too few words and goes in the quality stage; very long texts are read whole; rows that
+share an id stand apart by their text, repeated rows are one group of near-duplicates, ties go to the least id and then the least digest; an empty table
+gives an empty result; other columns, whatever their names, are kept up to the last stage.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from evidara.llm import near_dup, packing, pii, quality, toxicity
-from evidara.llm.common import materialise, table
+from evidara.llm.common import forget, materialise, table
 from evidara.llm.queries import WORD_BPE
 
 
@@ -46,7 +51,9 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each is written and read again before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
