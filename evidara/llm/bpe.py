@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import cached_property
 from hashlib import sha256
 
 import numpy as np
@@ -29,14 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from evidara.llm.common import small, spread
+from evidara.llm.common import release, small, spread
 
 #: Code points in a part that is encoded at once.
 LEAF = 32_768
-#: Pieces that each Python worker remembers for good, and those met once of late that wait to be met again (some 70 MB in all).
-REMEMBERED, WAITING = 150_000, 200_000
+#: Pieces that each Python worker remembers for good, and those met once of late that wait to be met again (some 30 MB in all).
+REMEMBERED, WAITING = 80_000, 80_000
 #: Rows that are encoded together.
-TOGETHER = 2000
+TOGETHER = 1000
 #: Marks a text that is not plain Latin: a control that the library does not take for white space, or a letter past Latin Extended-B (or the
 #: dotted capital I, whose lower case is two characters).
 STRANGE = "[\\x1c-\\x1f\\x{130}]|[^\\x00-\\x{24f}]"
@@ -63,20 +64,39 @@ class Encoder:
         plain = spec | {"normalizer": None, "added_tokens": []}
         plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
         self.plain = Tokenizer.from_str(json.dumps(plain))
-        names = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.texts = [""] * (max(names.values()) + 1)
-        for name, i in names.items():
-            self.texts[i] = name
-        self.names = [n.encode() for n in self.texts]
+        self.path = path
         self.end = spec["model"]["end_of_word_suffix"]
-        self.ends = np.array([n.endswith(self.end) for n in self.texts])
-        self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(spec["model"]["merges"])}
         #: Outside: a control that the library does not take for white space, or anything past Latin Extended-B.
         self.odd = re.compile("[\x1c-\x1f]|[^\x00-ɏ]")
         self.controls = re.compile("[\x1c-\x1f]")
         self.known: dict[str, bytes] = {}
         self.once: dict[str, bytes] = {}
 
+    @cached_property
+    def texts(self) -> list[str]:
+        """The text of each token. This and the next are read only where texts are joined or decoded, as they take tens of megabytes."""
+        with open(self.path, encoding="utf-8") as f:
+            spec = json.load(f)
+        names = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+        out = [""] * (max(names.values()) + 1)
+        for name, i in names.items():
+            out[i] = name
+        return out
+
+    @cached_property
+    def names(self) -> list[bytes]:
+        return [n.encode() for n in self.texts]
+
+    @cached_property
+    def ends(self) -> np.ndarray:
+        return np.array([n.endswith(self.end) for n in self.texts])
+
+    @cached_property
+    def ranks(self) -> dict[tuple[str, ...], int]:
+        with open(self.path, encoding="utf-8") as f:
+            merges = json.load(f)["model"]["merges"]
+        return {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(merges)}
+
     def encode_batch(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text. Each distinct chunk of a batch is looked up once."""
         if isinstance(texts, list):
@@ -188,6 +208,12 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
+def let_go() -> None:
+    """Give the encoders' memory back at the end of a task, for what runs next in the same executor."""
+    _loaded.clear()
+    release()
+
+
 def halves(text: str, most: int = LEAF) -> list[str]:
     """The leaves of the tree, left to right."""
     if len(text) <= most:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidara.llm.bpe import TOGETHER, encoder
+from evidara.llm.bpe import TOGETHER, encoder, let_go
 from evidara.llm.common import materialise, small, spread
 
 CAPACITY = 2048
@@ -120,6 +120,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                     length.append(len(part) // 4)
                     crc.append(crc32(part))
             yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(at, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        del enc
+        let_go()
 
     return docs.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
