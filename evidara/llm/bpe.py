@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from evidara.llm.common import release, small, spread
+from evidara.llm.common import DROP, small, spread
 
 #: Code points in a part that is encoded at once.
 LEAF = 32_768
@@ -199,6 +199,7 @@ SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
 BYTES = {chr(b): b for b in SHOWN} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in SHOWN)}
 
 _loaded: dict[str, Encoder] = {}
+DROP.append(_loaded.clear)
 
 
 def encoder(path: str) -> Encoder:
@@ -208,12 +209,6 @@ def encoder(path: str) -> Encoder:
     return _loaded[path]
 
 
-def let_go() -> None:
-    """Give the encoders' memory back at the end of a task, for what runs next in the same executor."""
-    _loaded.clear()
-    release()
-
-
 def halves(text: str, most: int = LEAF) -> list[str]:
     """The leaves of the tree, left to right."""
     if len(text) <= most:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidara.llm.common import materialise, small, text_bytes
+from evidara.llm.common import lean, materialise, small, text_bytes
 
 #: text -> (distinct feature indices, their values)
 Featurise = Callable[[bytes], tuple[np.ndarray, np.ndarray]]
@@ -75,7 +75,7 @@ def hashed(sample: DataFrame, featurise: Featurise) -> DataFrame:
             x = pa.array([b"" if (v == 1).all() else v.astype(np.float32).tobytes() for _, v in found], pa.binary())
             yield pa.RecordBatch.from_arrays([batch["place"], batch["y"], idx, x], ["place", "y", "idx", "x"])
 
-    return sample.select(F.xxhash64("text").alias("place"), "y", "text").mapInArrow(run, "place long, y double, idx binary, x binary")
+    return sample.select(F.xxhash64("text").alias("place"), "y", "text").mapInArrow(lean(run), "place long, y double, idx binary, x binary")
 
 
 def learn(examples: list[tuple[float, np.ndarray, np.ndarray]], model: Ftrl) -> np.ndarray:
@@ -103,7 +103,7 @@ def train(sample: DataFrame, featurise: Featurise, model: Ftrl) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w[at].astype(np.float32))], ["at", "w"])
 
     rows = materialise(hashed(sample, featurise), "training")
-    found = rows.repartition(1).sortWithinPartitions("place", "y").mapInArrow(run, "at long, w float").toArrow()
+    found = rows.repartition(1).sortWithinPartitions("place", "y").mapInArrow(lean(run), "at long, w float").toArrow()
     weights = np.zeros(1 << model.bits, np.float32)
     weights[found["at"].to_numpy()] = found["w"].to_numpy()
     return weights

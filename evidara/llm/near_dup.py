@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from evidara.llm.common import U64, materialise, mix, row_of, small, spread, text_bytes
+from evidara.llm.common import U64, lean, materialise, mix, row_of, small, spread, text_bytes
 
 #: Minwise values that paths choose from, and values of which a byte each is kept to compare classes.
 SIZE, CHECKS = 64, 256
@@ -112,7 +112,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                         x.append(None)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sig, pa.binary()), pa.array(check, pa.binary()), pa.array(bits, pa.int64())], ["doc_id", "n", "hi", "lo", "sig", "check", "bits"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n long, hi long, lo long, sig binary, check binary, bits long")
+    return rows.mapInArrow(lean(run), f"doc_id {kind}, n long, hi long, lo long, sig binary, check binary, bits long")
 
 
 def step(nodes: np.ndarray, sig: np.ndarray, seconds: int = FIRST_SECONDS) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +150,7 @@ def branch(rows: DataFrame, levels: int, roots: int = 0) -> DataFrame:
                 owner = owner[at]
             yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(cls[owner]), pa.array(bits[owner])], ["node", "cls", "bits"])
 
-    return rows.mapInArrow(run, "node long, cls long, bits long")
+    return rows.mapInArrow(lean(run), "node long, cls long, bits long")
 
 
 def agree(a: str, b: str) -> F.Column:
@@ -220,7 +220,7 @@ def in_doubt(small: DataFrame, checks: DataFrame) -> DataFrame:
                     some[i] |= len(near) > 0
                 yield from x.rows.select(["node", "cls", "bits", "comp"]).filter(pa.array(some)).to_batches()
 
-    return kept.repartition(F.col("node")).sortWithinPartitions("node", "cls").mapInArrow(run, "node long, cls long, bits long, comp long")
+    return kept.repartition(F.col("node")).sortWithinPartitions("node", "cls").mapInArrow(lean(run), "node long, cls long, bits long, comp long")
 
 
 def exhaustive(rows: DataFrame, percent: int) -> DataFrame:
@@ -264,7 +264,7 @@ def exhaustive(rows: DataFrame, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sure, pa.bool_())], ["a", "b", "sure"])
 
     ordered = rows.repartition(F.col("node")).sortWithinPartitions("node", "cls")
-    return ordered.mapInArrow(run, "a long, b long, sure boolean")
+    return ordered.mapInArrow(lean(run), "a long, b long, sure boolean")
 
 
 def sized(rows: DataFrame) -> DataFrame:
@@ -308,7 +308,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
                 keep.append(100 * (both := len(np.intersect1d(x, y, assume_unique=True))) >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return full.select("a", "b", "text_a", "text_b").mapInArrow(lean(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -350,7 +350,7 @@ class Texts:
                 sets = (shingle_set(t, width) for t in batch["text"].to_pylist())
                 yield pa.RecordBatch.from_arrays([batch["cls"], pa.array([x.tobytes() if len(x) <= SET_MOST else None for x in sets], pa.binary())], ["cls", "shingles"])
 
-        return self.some(wanted).mapInArrow(run, "cls long, shingles binary")
+        return self.some(wanted).mapInArrow(lean(run), "cls long, shingles binary")
 
     def some(self, classes: DataFrame) -> DataFrame:
         """cls and text of the given classes; a class's key tells rows of one id apart."""
@@ -375,7 +375,7 @@ class Texts:
                 keep = [set_key(shingle_set(t, width)) == (hi, lo) for t, hi, lo in zip(batch["text"].to_pylist(), batch["hi"].to_pylist(), batch["lo"].to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch["cls"], batch["text"]], ["cls", "text"]).filter(pa.array(keep, pa.bool_()))
 
-        texts = found.select("cls", "hi", "lo", "text").mapInArrow(run, "cls long, text binary")
+        texts = found.select("cls", "hi", "lo", "text").mapInArrow(lean(run), "cls long, text binary")
         return materialise(texts.dropDuplicates(["cls"]) if self.repeats else texts, "texts")
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidara.llm.common import SPACE, U64, mix, row_of, small, spread, text_bytes
+from evidara.llm.common import SPACE, U64, lean, mix, row_of, small, spread, text_bytes
 from evidara.llm.linear import Ftrl, labelled_sample, sigmoid, train
 
 MODEL = Ftrl(bits=18, alpha=0.5, beta=1.0, l1=0.0, l2=0.0, epochs=4, max_rows=12_000)
@@ -75,7 +75,7 @@ def fit(docs: DataFrame, labels: DataFrame, model: Ftrl = MODEL) -> tuple[np.nda
             yield pa.RecordBatch.from_arrays([pa.array([margin(t, sent.value) for t in batch["text"].to_pylist()], pa.float64()), batch["y"]], ["m", "y"])
 
     # at most model.max_rows pairs of numbers
-    seen = sample.where(aside).mapInArrow(run, "m double, y double").toPandas()
+    seen = sample.where(aside).mapInArrow(lean(run), "m double, y double").toPandas()
     return weights, *platt(seen.m.to_numpy(), seen.y.to_numpy())
 
 
@@ -142,7 +142,7 @@ def judge(docs: DataFrame, model: tuple[np.ndarray, float, float], *keep: str) -
             yield pa.RecordBatch.from_arrays([batch["row"], *(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.float64())], ["row", *names, "good"])
 
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return rows.mapInArrow(run, schema).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("good") >= LEAST_GOOD))
+    return rows.mapInArrow(lean(run), schema).withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("good") >= LEAST_GOOD))
 
 
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidara.llm.common import U64, mix, remainder_of_id, row_of, small, spread, text_bytes
+from evidara.llm.common import U64, lean, mix, remainder_of_id, row_of, small, spread, text_bytes
 from evidara.llm.linear import Ftrl, labelled_sample, sigmoid, train
 
 MODEL = Ftrl(bits=20, alpha=1.0, beta=1.0, l1=8.0, l2=0.0, epochs=4)
@@ -71,7 +71,7 @@ def score(docs: DataFrame, weights: np.ndarray, *keep: str) -> DataFrame:
                 out.append(float(sigmoid(float(dense[0]) + float(dense[hit].sum()))))
             yield pa.RecordBatch.from_arrays([batch["row"], pa.array(out, pa.float64())], ["row", "toxicity_score"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def detect(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
