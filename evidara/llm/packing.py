@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidara.llm.bpe import TOGETHER, encoder
+from evidara.llm.bpe import encoder
 from evidara.llm.common import materialise, small, spread
 
 CAPACITY = 2048
 END_ID = 0
+#: Rows that are encoded together: few, as packing follows stages that leave little of an executor's memory.
+TOGETHER = 300
 #: Pieces in a bucket within which ranks are counted, on average.
 BUCKET_ROWS = 5_000
 
