@@ -80,7 +80,8 @@ SENSITIVE = having(
 
 @query(f"SELECT doc_id, array_to_string(list_filter([{SENSITIVE}], lambda x: x IS NOT NULL), ',') AS classes FROM documents")
 def x21_sensitive(spark, sf):
-    return S.documents(spark, sf).select("doc_id", F.concat_ws(",", T.sensitive_classes("text")).alias("classes"))
+    docs = corpus.spread(S.documents(spark, sf).select("doc_id", "text"))
+    return docs.select("doc_id", F.concat_ws(",", T.sensitive_classes("text")).alias("classes"))
 
 
 @query("WITH d AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{13,19}')) AS v FROM documents) SELECT doc_id, v, list_sum(list_transform(generate_series(1, length(v)), lambda i: CASE WHEN (length(v) - i) % 2 = 0 THEN CAST(v[i:i] AS INTEGER) WHEN CAST(v[i:i] AS INTEGER) > 4 THEN CAST(v[i:i] AS INTEGER) * 2 - 9 ELSE CAST(v[i:i] AS INTEGER) * 2 END)) % 10 = 0 AS valid FROM d")
