@@ -101,3 +101,49 @@ def merged_paragraphs(first: Column, second: Column) -> Column:
     parts = F.transform(F.concat(F.split(first, "\n\n"), F.split(second, "\n\n")), lambda p: F.struct(normal(p).alias("key"), F.trim(p).alias("p")))
     once = F.filter(parts, lambda x, i: (x["key"] != "") & (F.array_position(F.transform(parts, lambda y: y["key"]), x["key"]) == i + 1))
     return F.array_join(F.transform(once, lambda x: x["p"]), "\n\n")
+
+
+#: Fixed value: characters below which a chunk joins a neighbour.
+LEAST_MERGED = 80
+SECTIONED = "struct<text:string,kind:string,section:string>"
+
+
+def merge_small(chunks: Column, least: int = LEAST_MERGED) -> Column:
+    """A page's chunks (text, kind, section) with those that are under least characters, or only their section's heading, joined to the next;
+    a small one at the end joins the one before. Nothing joins across the border of trust.
+
+    Lengths are of the normal form. A joined chunk holds each paragraph once, is unverified if a part is, and takes the section of what
+    follows a heading. Null texts and sections are empty.
+    """
+    part = lambda text, kind, section: F.struct(text.alias("text"), kind.alias("kind"), section.alias("section"))
+    plain = F.transform(chunks, lambda c: part(F.coalesce(c["text"], F.lit("")), c["kind"], F.coalesce(c["section"], F.lit(""))))
+    bare = lambda c: normal(c["text"]) == normal(c["section"])
+    small = lambda c: (F.length(normal(c["text"])) < least) | bare(c)
+    none = F.array().cast(f"array<{SECTIONED}>")
+
+    def joined(a: Column, b: Column) -> Column:
+        either = (a["kind"] == "unverified_table") | (b["kind"] == "unverified_table")
+        kind = F.when(either, "unverified_table").when(a["kind"] == b["kind"], a["kind"]).otherwise("mixed")
+        return part(merged_paragraphs(a["text"], b["text"]), kind, F.when(bare(a) & ~bare(b), b["section"]).otherwise(a["section"]))
+
+    def onward(acc: Column, c: Column) -> Column:
+        now = acc["now"]
+        join = small(now) & ~crosses(now["kind"], c["kind"])
+        return F.struct(F.when(join, acc["out"]).otherwise(F.concat(acc["out"], F.array(now))).alias("out"), F.when(join, joined(now, c)).otherwise(c).alias("now"))
+
+    def back(acc: Column, c: Column) -> Column:
+        now = acc["now"]
+        join = (F.size(acc["kept"]) == 0) & small(now) & ~crosses(c["kind"], now["kind"])
+        return F.struct(F.when(join, acc["kept"]).otherwise(F.concat(F.array(c), acc["kept"])).alias("kept"), F.when(join, joined(c, now)).otherwise(now).alias("now"))
+
+    first = F.struct(none.alias("out"), F.get(plain, 0).alias("now"))
+    forward = F.aggregate(F.slice(plain, 2, F.greatest(F.size(plain) - 1, F.lit(0))), first, onward)
+    ended = F.transform(F.array(forward), lambda f: F.aggregate(F.reverse(f["out"]), F.struct(none.alias("kept"), f["now"].alias("now")), back, lambda a: F.concat(a["kept"], F.array(a["now"]))))
+    return F.when(F.size(chunks) > 0, F.get(ended, 0)).otherwise(none)
+
+
+def merge_small_chunks(chunks: DataFrame, least: int = LEAST_MERGED) -> DataFrame:
+    """doc_id, page, chunk, text, kind and section after merge_small. chunks: doc_id, page, place, text, kind and section; a page is one group."""
+    pages = chunks.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("place", "text", "kind", "section"))).alias("b"))
+    parts = F.transform("b", lambda b: F.struct(*(b[c].alias(c) for c in ("text", "kind", "section"))))
+    return pages.select("doc_id", "page", F.posexplode(merge_small(parts, least)).alias("chunk", "b")).select("doc_id", "page", "chunk", "b.*")
