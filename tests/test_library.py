@@ -51,6 +51,11 @@ def test_presented_rounds_the_hundredths(spark):
     assert [one(spark, N.presented(F.lit(v))) for v in (1_125_000_000, -1_125_000, 0.375, 5)] == ["1.13 billion", "-1.13 million", "0.38", "5.00"]
 
 
+def test_cards_behind_other_numbers(spark):
+    texts = {"at 38.253.197.126 4880761348116108.": ["card"], "1 2 4815819516090933": ["card"], "38.253.197.126 4880761348116109": [], "48807613481161081 4880761": []}
+    assert {t: one(spark, T.sensitive_classes(F.lit(t))) for t in texts} == texts
+
+
 def test_scope_and_lookup(spark):
     df = spark.createDataFrame([(0,), (1,), (2,), (None,)], "t long")
     seen = lambda public: sorted(str(r.t) for r in df.where(retrieval.in_scope(F.col("t"), F.lit(1), public)).collect())
