@@ -107,10 +107,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def tabled(df: DataFrame, name: str) -> DataFrame:
+def tabled(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """The rows written as a table in the shared folder and read again, for what several parts of a plan read."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

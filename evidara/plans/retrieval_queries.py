@@ -85,10 +85,10 @@ def r6_global_ranking(spark, sf):
     return retrieval.top(ranked, 200, [F.col("relevance").desc_nulls_last(), F.col("event_id")]).select("event_id", F.round("relevance", 6).alias("relevance"), "rank")
 
 
-def channels(spark, sf):
-    """Both rankings under one query number, keyed by document or vector number."""
+def channels(spark, sf, near=None):
+    """Both rankings under one query number, keyed by document or vector number. near: by_vector, if it is at hand."""
     l = lexical(spark, sf).select("query_id", F.col("doc_id").alias("key"), F.lit("lexical").alias("channel"), "rank", F.lit(1.25).cast("double").alias("weight"))
-    v = by_vector(spark, sf).select("query_id", F.col("vec_id").alias("key"), F.lit("vector").alias("channel"), "rank", F.lit(1.0).alias("weight"))
+    v = (near or by_vector(spark, sf)).select("query_id", F.col("vec_id").alias("key"), F.lit("vector").alias("channel"), "rank", F.lit(1.0).alias("weight"))
     return l.unionByName(v)
 
 
@@ -106,15 +106,17 @@ def r8_rank_fusion(spark, sf):
 
 @query(f"{RRF}, u AS (SELECT query_id, key, 0 AS part, rank FROM rrf UNION ALL SELECT query_id, vec_id, 1, rank FROM vtop), o AS (SELECT query_id, key, min(struct_pack(part := part, rank := rank)) AS spot FROM u GROUP BY 1, 2) SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY spot) AS INTEGER) AS rank, key FROM o) WHERE rank <= 15")
 def d3_merge_ranked(spark, sf):
-    v = by_vector(spark, sf).select("query_id", "rank", F.col("vec_id").alias("key"))
-    return retrieval.merge_ranked(retrieval.fuse(channels(spark, sf), 10).select("query_id", "rank", "key"), v, 15)
+    near = corpus.tabled(by_vector(spark, sf), "near")
+    v = near.select("query_id", "rank", F.col("vec_id").alias("key"))
+    return retrieval.merge_ranked(retrieval.fuse(channels(spark, sf, near), 10).select("query_id", "rank", "key"), v, 15)
 
 
 @query(rf"""WITH {BM25}, c AS (SELECT b.query_id, b.doc_id, 1.0 / (60 + b.rank) AS base, d.text, d.source, 'src' || (b.query_id % 20) AS company, {WORDS.format("k.text")} AS terms FROM bm25 b JOIN documents d USING (doc_id) JOIN benchmark k ON k.item_id = b.query_id),
 s AS (SELECT query_id, doc_id, round(CAST(base AS DOUBLE) + least(len(list_intersect(list_distinct(terms), list_distinct({WORDS.format("text")}))) * 0.005, 0.02) + CASE WHEN source = company THEN 0.02 ELSE 0.0 END + CASE WHEN contains(text, ' | ') THEN 0.01 ELSE 0.0 END, 6) AS score FROM c)
 SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s) WHERE rank <= 10""")
 def r11_rerank(spark, sf):
-    base = lexical(spark, sf).select("query_id", "doc_id", (1 / (60 + F.col("rank"))).alias("base"))
+    # few rows, of known size: the texts are not shuffled to meet them
+    base = corpus.tabled(lexical(spark, sf), "ranked").select("query_id", "doc_id", (1 / (60 + F.col("rank"))).alias("base"))
     q = asked(spark, sf).select("query_id", T.words("text").alias("terms"), F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")).alias("company"))
     c = base.join(S.documents(spark, sf).select("doc_id", "text", "source"), "doc_id").join(q, "query_id")
     return retrieval.rerank(c, "terms", 10)
@@ -221,7 +223,7 @@ def a23_gate(spark, sf):
 
 @query(f"WITH {BM25} SELECT query_id, doc_id FROM bm25 WHERE NOT (doc_id % 3 = query_id % 3 OR doc_id % 3 = 0)")
 def e8_tenant_leaks(spark, sf):
-    ranked = lexical(spark, sf).join(S.documents(spark, sf).select("doc_id", "tenant_id"), "doc_id", "left")
+    ranked = corpus.tabled(lexical(spark, sf), "ranked").join(S.documents(spark, sf).select("doc_id", "tenant_id"), "doc_id", "left")
     return ranked.where(~retrieval.in_scope(F.col("tenant_id"), F.col("query_id") % 3, include_public=True)).select("query_id", "doc_id")
 
 
