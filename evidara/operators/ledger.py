@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from evidara.functions import grounding as G
 from evidara.functions.text import column
+from evidara.operators.corpus import spread
 
 #: Characters between a number and the metric it belongs to, at most.
 REACH = 80
@@ -42,14 +43,19 @@ def from_text(evidence: DataFrame, aliases: dict[str, str], reach: int = REACH)
     A number belongs to the nearest alias before it in its sentence, else to the nearest after; its period is the nearest in the sentence, else the last that an earlier
     sentence named, else the evidence's own. Percentages next to a metric are facts of kind percent.
     """
-    each = evidence.select("evidence_id", "company", "period", F.posexplode(F.split("text", SENTENCE_END)).alias("at", "sentence"))
-    named = F.transform(G.located("sentence", PERIOD), lambda x: F.struct(x["st"].alias("st"), x["en"].alias("en"), period_key(x["v"]).alias("v")))
+    named = lambda x: F.transform(G.located(x, PERIOD), lambda p: F.struct(p["st"].alias("st"), p["en"].alias("en"), period_key(p["v"]).alias("v")))
+    sentences = F.transform(F.split("text", SENTENCE_END), lambda x: F.struct(named(x).alias("periods"), x.alias("sentence")))
+    # what earlier sentences named last goes from sentence to sentence within the row: nothing is sorted or moved
+    start = F.struct(F.col("period").cast("string").alias("carried"), F.array().cast("array<struct<carried:string,periods:array<struct<st:int,en:int,v:string>>,sentence:string>>").alias("out"))
+
+    def carry(state: Column, x: Column) -> Column:
+        out = F.struct(state["carried"].alias("carried"), x["periods"].alias("periods"), x["sentence"].alias("sentence"))
+        return F.struct(F.coalesce(F.try_element_at(x["periods"], F.lit(-1))["v"], state["carried"]).alias("carried"), F.concat(state["out"], F.array(out)).alias("out"))
+
+    each = evidence.select("evidence_id", "company", F.explode(F.aggregate(sentences, start, carry, lambda state: state["out"])).alias("x")).select("evidence_id", "company", "x.*")
     # read once, behind the explode, not again wherever they are used
-    read = F.struct(named.alias("periods"), G.located("sentence", alternation(aliases)).alias("hits"), G.placed_numbers("sentence").alias("numbers"))
-    each = each.select("evidence_id", "company", "period", "at", F.explode(F.array(read)).alias("x")).select("evidence_id", "company", "period", "at", "x.*")
-    before = Window.partitionBy("evidence_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    carried = F.coalesce(F.last(F.try_element_at("periods", F.lit(-1))["v"], ignorenulls=True).over(before), F.col("period"))
-    each = each.withColumn("carried", carried)
+    read = F.struct(G.located("sentence", alternation(aliases)).alias("hits"), G.placed_numbers("sentence").alias("numbers"))
+    each = each.select("evidence_id", "company", "carried", "periods", F.explode(F.array(read)).alias("x")).select("evidence_id", "company", "carried", "periods", "x.*")
     hits = each.where(F.size("hits") > 0)
     # the digits of a period are no number of their own
     outside = F.filter("numbers", lambda n: ~F.exists(F.col("periods"), lambda p: (n["st"] < p["en"]) & (n["en"] > p["st"])))
@@ -61,25 +67,33 @@ def from_text(evidence: DataFrame, aliases: dict[str, str], reach: int = REACH)
     return found.select("evidence_id", "company", metric.alias("metric"), period.alias("period"), F.col("n.value").alias("value"), F.col("n.kind").alias("kind"), F.col("n.currency").alias("currency"))
 
 
+def usable(row: Column) -> Column:
+    """A typed row that has a metric, a period and a number."""
+    return row["metric"].isNotNull() & row["period"].isNotNull() & row["value"].try_cast(G.MONEY).isNotNull()
+
+
 def from_rows(evidence: DataFrame) -> DataFrame:
     """The same columns from evidence.rows_json; rows without a metric, a period or a number are left out."""
     rows = evidence.select("evidence_id", "company", F.explode(F.from_json("rows_json", TYPED_ROW)).alias("r"))
     value = F.col("r.value").try_cast(G.MONEY)
-    return rows.where(F.col("r.metric").isNotNull() & F.col("r.period").isNotNull() & value.isNotNull()).select("evidence_id", "company", "r.metric", "r.period", value.alias("value"), F.lit("amount").alias("kind"), F.lower("r.currency").alias("currency"))
+    return rows.where(usable(F.col("r"))).select("evidence_id", "company", "r.metric", "r.period", value.alias("value"), F.lit("amount").alias("kind"), F.lower("r.currency").alias("currency"))
 
 
 def from_evidence(evidence: DataFrame, aliases: dict[str, str]) -> DataFrame:
     """All facts of the evidence, with the path they came by: typed rows first; the text of evidence that gave none."""
+    evidence = spread(evidence)
     typed = from_rows(evidence.where("rows_json IS NOT NULL")).withColumn("path", F.lit("typed"))
-    rest = evidence.join(typed.select("evidence_id").distinct(), "evidence_id", "left_anti")
+    # whether a piece gave typed rows is read from the piece itself, so its text need not meet them
+    rest = evidence.where(~F.coalesce(F.exists(F.from_json("rows_json", TYPED_ROW), usable), F.lit(False)))
     return typed.unionByName(from_text(rest, aliases).withColumn("path", F.lit("text")))
 
 
 def settled(facts: DataFrame) -> DataFrame:
     """One row for each company, metric, period and kind: CONFLICT without a value where values differ, typed values overriding text."""
-    g = facts.groupBy("company", "metric", "period", "kind").agg(*(F.count_distinct(F.when(F.col("path") == p, F.col("value"))).alias(f"{p}_values") for p in ("typed", "text")), *(F.min(F.when(F.col("path") == p, F.col("value"))).alias(p) for p in ("typed", "text")), F.count("*").alias("mentions"))
-    values = F.when(F.col("typed_values") > 0, F.col("typed_values")).otherwise(F.col("text_values"))
-    return g.select("company", "metric", "period", "kind", "mentions", F.when(values > 1, "CONFLICT").otherwise("OK").alias("status"), F.when(values == 1, F.coalesce("typed", "text")).alias("value"))
+    # several values are there if the least is not the largest: no value is moved for that
+    g = facts.groupBy("company", "metric", "period", "kind").agg(*(f(F.when(F.col("path") == p, F.col("value"))).alias(f"{p}_{f.__name__}") for p in ("typed", "text") for f in (F.min, F.max)), F.count("*").alias("mentions"))
+    least, most = F.coalesce("typed_min", "text_min"), F.coalesce("typed_max", "text_max")
+    return g.select("company", "metric", "period", "kind", "mentions", F.when(least < most, "CONFLICT").otherwise("OK").alias("status"), F.when(least == most, least).alias("value"))
 
 
 #: Points of the choice among duplicates: inside the central cluster, off it, for each repetition up to a most, and for the period type.
