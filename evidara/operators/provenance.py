@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Scopes, mappings that may be served, and the stages of a task in their order.
@@ -91,19 +91,21 @@ def bind_rows(facts: DataFrame, rows: DataFrame, document: str, content: list[st
     document_bound says whether all facts of the document are.
 
     facts and rows share document and the content columns; rows also have row_id, eligible and any others. Rows that repeat in every column
-    count once. The digest is over all columns of the row by name, so a later change of the row shows. Rows are grouped by a digest of what they say,
-    so repeated facts and rows meet as one row each.
+    count once. The digest is over all columns of the row by name, so a later change of the row shows. Rows are grouped by a digest of what they say.
     """
-    key = [document, *content]
-    whole = sorted(rows.columns)
-    proven = rows.where("eligible").distinct().select(digest(key).alias("_key"), digest(whole).alias("row_digest"), "row_id")
-    said = proven.groupBy("_key").agg(F.count("*").alias("_rows"), F.min(F.struct("row_digest", "row_id")).alias("_row"))
-    met = facts.withColumn("_key", digest(key)).join(said, "_key", "left")
+    short = lambda names: F.unhex(digest(names))
+    fact = F.struct(*(F.col(f"`{c}`") for c in facts.columns))
+    asked = facts.select(F.col(document).cast("string").alias("_document"), short(content).alias("_key"), fact.alias("_fact"), F.lit(None).cast("binary").alias("_digest"), F.lit(None).cast(rows.schema["row_id"].dataType).alias("_id"))
+    proven = rows.where("eligible").select(F.col(document).cast("string").alias("_document"), short(content).alias("_key"), F.lit(None).cast(facts.select(fact.alias("f")).schema["f"].dataType).alias("_fact"), short(sorted(rows.columns)).alias("_digest"), F.col("row_id").alias("_id"))
+    # facts and rows of a document move together once; every window below is over its document
+    both = asked.unionByName(proven).repartition("_document")
+    new = F.col("_digest").isNotNull() & (F.row_number().over(Window.partitionBy("_document", "_key", "_digest").orderBy(F.lit(0))) == 1)
+    same = Window.partitionBy("_document", "_key")
+    met = both.withColumn("_new", new).withColumns({"_rows": F.count_if("_new").over(same), "_row": F.min(F.when(F.col("_new"), F.struct("_digest", "_id"))).over(same)}).where("_fact IS NOT NULL")
     status = F.when(F.col("_rows") == 1, "BOUND").when(F.col("_rows") > 1, "SEVERAL_ROWS").otherwise("NO_ROW")
-    bound = met.withColumn("status", status)
-    all_of = bound.groupBy(document).agg(F.min(F.col("status") == "BOUND").alias("document_bound"))
+    bound = met.withColumn("status", status).withColumn("document_bound", F.min(F.col("status") == "BOUND").over(Window.partitionBy("_document")))
     held = F.col("status") == "BOUND"
-    return bound.join(all_of, document).select(*(F.col(f"`{c}`") for c in facts.columns), "status", F.when(held, F.col("_row.row_id")).alias("row_id"), F.when(held, F.col("_row.row_digest")).alias("row_digest"), "document_bound")
+    return bound.where("_document IS NOT NULL").select(*(F.col(f"_fact.`{c}`").alias(c) for c in facts.columns), "status", F.when(held, F.col("_row._id")).alias("row_id"), F.when(held, F.lower(F.hex("_row._digest"))).alias("row_digest"), "document_bound")
 
 
 def promotable(tasks: DataFrame, stages: DataFrame) -> DataFrame:
