@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidara.functions import grounding as G
+from evidara.operators import corpus
 from evidara.plans.registry import query
 from evidara.sources import tables as S
 
@@ -53,7 +54,7 @@ def y13_line_disposition(spark, sf):
     more = F.format_string("%.1f", (now - before) * 100.0 / before + 5)
     evidence = F.concat(F.lit("$"), now.cast("string"), F.lit(" million against $"), before.cast("string"), F.lit(" million"))
     s = said(spark, sf, ["Sales were fine"], ["Sales were $", now, " million"], ["Sales changed by ", rate, "%"], ["Sales changed by ", more, "%"], ["Sales of $999 million changed by ", rate, "%"])
-    return s.withColumn("evidence", evidence).select("o_orderkey", G.disposition(F.col("text"), G.numbers("evidence")).alias("disposition"))
+    return corpus.spread(s.withColumn("evidence", evidence)).select("o_orderkey", G.disposition(F.col("text"), G.numbers("evidence")).alias("disposition"))
 
 
 @query("SELECT o_orderkey, o_orderkey % 4 = 0 OR o_orderkey % 4 = 1 AND o_orderkey % 90 + 150 < o_orderkey % 500 + 200 AS supported FROM orders")
@@ -64,7 +65,7 @@ def n7_supports_derived(spark, sf):
     line = F.when(key() % 4 == 0, F.concat(F.when(now < before, "down ").otherwise("up "), size, F.lit("%"))).when(key() % 4 == 1, F.concat(F.lit("up "), F.when(now > before, size).otherwise("777"), F.lit("%"))).when(key() % 4 == 2, F.concat(F.lit("moved "), F.lit("888%"))).otherwise(F.lit("no rate"))
     evidence = F.concat(now.cast("string"), F.lit(" million, then "), before.cast("string"), F.lit(" million"))
     s = S.read(spark, sf, "orders").select("o_orderkey", line.alias("line"), evidence.alias("evidence"))
-    return s.select("o_orderkey", G.supports_derived(G.numbers("line"), G.numbers("evidence"), F.col("line")).alias("supported"))
+    return corpus.spread(s).select("o_orderkey", G.supports_derived(G.numbers("line"), G.numbers("evidence"), F.col("line")).alias("supported"))
 
 
 @query("SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'yoy:' || (o_orderkey % 40 + 1) || '.5' WHEN 1 THEN 'qoq:-' || (o_orderkey % 40 + 1) || '.5' WHEN 3 THEN 'yoy:' || (o_orderkey % 40 + 1) || '.0,qoq:-3.0' ELSE '' END AS rates FROM orders")
