@@ -83,11 +83,8 @@ def islands(rows: DataFrame, partition: list[str], order: list[Column], label: s
 
 
 def written(df: DataFrame) -> DataFrame:
-    """The rows checkpointed to the shared folder: what follows does not compute them again, and lost executors do no harm."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    """The rows computed once and written to the shared folder: what follows does not compute them again, knows their size, and lost executors do no harm."""
+    return tabled(df, "written")
 
 
 def spread(df: DataFrame) -> DataFrame:
