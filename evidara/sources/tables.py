@@ -9,11 +9,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a partition whose task holds them several times over.
+TASK_ROWS = 500_000
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows of a table dealt by keys, about TASK_ROWS to a partition.
+
+    The number of partitions grows with the table, and Spark does not put them together again as it does with those of a join, so that a task's
+    sorts and maps of groups hold no more of a larger table.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, df.count() // TASK_ROWS + 1), *keys)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", (F.col("doc_id") % 3).alias("tenant_id"))
 

@@ -4,6 +4,7 @@ from hashlib import sha256
 
 from evidara.operators import retrieval
 from evidara.plans.catalogue import QUERIES
+from evidara.sources import tables
 
 
 def test_every_token_counts(spark, tmp_path):
@@ -28,3 +29,15 @@ def test_ids_and_query_vectors_are_dealt_out(spark, monkeypatch):
     got = retrieval.vector_top(vectors, queries, 1)
     assert "Broadcast" not in plan(got) and "CartesianProduct" in plan(got)
     assert {r.query_id for r in got.collect()} == set(range(8))
+
+
+def test_tasks_of_the_three_way_check_hold_no_more_of_a_larger_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_ROWS", 500, raising=False)
+    got = QUERIES["j14_three_way_check"](spark, "/root/testdata/sf0.001")
+    assert got.rdd.getNumPartitions() >= spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() // 500
+    # orders and customers that stand twice, and keys, lines and statuses that are null or odd, change nothing
+    odd = [-1, 0, 64, 65, 1 << 40, None]
+    lines = [(k, n, "F") for k in (1, 2, 3, None) for n in odd] + [(1, 64, "O"), (2, 0, None)] + [(4, n, None) for n in odd] + [(5, n, "F") for n in odd[1:]]
+    for name, rows, schema in (("lineitem", lines, "l_orderkey long, l_linenumber long, l_linestatus string"), ("orders", [(1, 7), (2, 7), (2, 7), (3, 8), (4, 9), (5, 9), (None, 7), (6, None)], "o_orderkey long, o_custkey long"), ("customer", [(7, 1.0), (7, 2.0), (8, 0.0), (9, 3.0), (None, 1.0)], "c_custkey long, c_acctbal double")):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert sorted(map(tuple, QUERIES["j14_three_way_check"](spark, str(tmp_path)).collect())) == [(1, 5, False), (2, 5, True), (4, 5, None)]
