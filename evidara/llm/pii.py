@@ -34,6 +34,8 @@ PATTERNS = {
 NEEDS = {"email": "@", "phone": "+"}
 #: Code points of context on each side, what makes a pattern trusted, and the confidence that promotes an instance.
 CONTEXT, LEAST_SEEDS, LEAST_TRUST, LEAST_SURE = 40, 5, 0.8, 0.8
+#: Patterns that every task may have, about 8 MB of hashes.
+MOST_SENT = 200_000
 WORDS = r"\p{L}++"
 SPAN = "struct<st:int,en:int,v:string>"
 
@@ -119,17 +121,22 @@ def contexts(st: Column, en: Column) -> Column:
     return F.concat(sided("<", before, -2), sided(">", after, 1))
 
 
-def extract(docs: DataFrame, *keep: str) -> DataFrame:
-    """row (the kept columns), a number for each row, the base spans, and the instances with their patterns. Written out."""
+def add_base(docs: DataFrame, *keep: str) -> DataFrame:
+    """row (the kept columns), the text, the base spans, and what looks like one and fails its check."""
     df = spread(docs).select(row_of(docs, keep).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    for kind in PATTERNS:
+    for kind in KINDS:
         df = add_spans(df, kind)
-    # what looks like a base kind and fails its check is no identifier either
     df = df.withColumn("failed", F.concat(*(F.filter(kind, fails(kind)) for kind in KINDS[1:])))
     for kind in KINDS[1:]:
         df = df.withColumn(kind, F.filter(kind, passes(kind)))
     base = F.concat(*(F.transform(kind, ranked(kind)) for kind in KINDS))
-    df = df.withColumn("base", F.array_sort(base))
+    return df.withColumn("base", F.array_sort(base)).drop(*KINDS)
+
+
+def extract(docs: DataFrame, *keep: str) -> DataFrame:
+    """row (the kept columns), a number for each row, the base spans, and the instances with their patterns. Written out."""
+    df = add_spans(add_base(docs, *keep), FOUND)
+    # what looks like a base kind and fails its check is no identifier either
     meets = lambda spans, s: F.exists(spans, lambda b: (b["st"] < s["en"]) & (s["st"] < b["en"]))
     apart = F.filter(FOUND, lambda s: ~meets("base", s) & ~meets("failed", s))
     df = df.withColumn(FOUND, apart)
@@ -140,13 +147,19 @@ def extract(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """pattern and places: how often its one or two words stand in the texts, whatever is beside them."""
+    """pattern and places: how often its one or two words stand in the texts, whatever is beside them.
+
+    Words of no pattern go before any are counted, where the patterns are few enough for every task to have them; else all are counted.
+    """
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(WORDS), F.lit(0))
     n = F.size("w")
     ones = F.transform("w", lambda a: F.xxhash64(a))
     twos = F.when(n > 1, F.zip_with(F.slice("w", F.lit(1), n - 1), F.slice("w", F.lit(2), n - 1), lambda a, b: F.xxhash64(F.concat_ws(" ", a, b)))).otherwise(F.array().cast("array<long>"))
-    counts = spread(docs).select(words.alias("w")).select(F.explode(F.concat(ones, twos)).alias("gram")).groupBy("gram").agg(F.count("*").alias("places"))
     named = patterns.withColumn("gram", F.xxhash64(F.expr("substring(pattern, 2)")))
+    grams = spread(docs).select(words.alias("w")).select(F.explode(F.concat(ones, twos)).alias("gram"))
+    if patterns.count() <= MOST_SENT:
+        grams = grams.join(F.broadcast(named.select("gram").distinct()), "gram", "left_semi")
+    counts = grams.groupBy("gram").agg(F.count("*").alias("places"))
     return named.join(counts, "gram").select("pattern", "places")
 
 
@@ -188,10 +201,19 @@ def listed(spans: str) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["st"].cast("string"), s["en"].cast("string"))))
 
 
+def numbers() -> list[Column]:
+    """The number of base spans of each kind."""
+    return [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
+
+
+def count_base(docs: DataFrame) -> DataFrame:
+    """doc_id and the number of base spans of each kind, from which no contexts are learnt."""
+    return add_base(docs, "doc_id").select("row.doc_id", *numbers())
+
+
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, the number of base spans of each kind, their digest and all spans of each document."""
-    counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return find(docs, "doc_id").select("row.doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+    return find(docs, "doc_id").select("row.doc_id", *numbers(), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:

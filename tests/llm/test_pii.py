@@ -105,3 +105,29 @@ def test_words_that_reach_beyond_the_context_are_no_patterns(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.spans for r in pii.report(docs).collect()}
     assert got[200] == "" and got[300].startswith("email:")
+
+
+def test_base_spans_are_counted_without_learning(spark, tmp_path, odd_docs, no_docs, monkeypatch):
+    from evidara.llm import queries
+
+    want = sorted((str(r.doc_id), r.n_email, r.n_ip, r.n_card, r.n_phone) for r in pii.report(odd_docs).collect())
+    monkeypatch.setattr(pii, "trusted_patterns", None)
+    for name, docs in (("odd", odd_docs), ("none", no_docs)):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+    got = queries.QUERIES["corpus_base_spans"](spark, str(tmp_path / "odd"))
+    assert got.columns == ["doc_id", "n_email", "n_ip", "n_card", "n_phone"] and sorted((str(r.doc_id), *r[1:]) for r in got.collect()) == want
+    assert queries.QUERIES["corpus_base_spans"](spark, str(tmp_path / "none")).count() == 0
+
+
+def test_only_words_of_patterns_are_shuffled(spark, monkeypatch):
+    docs = spark.createDataFrame([(0, "One two one two THREE"), (1, None), (2, "two, one: two"), (3, "four")], "doc_id long, text string")
+    # a word on either side is two patterns
+    patterns = spark.createDataFrame([("<two",), (">two",), (">one two",), ("<absent",)], "pattern string")
+    want = [("<two", 4), (">one two", 3), (">two", 4)]
+    few = pii.occurrences(docs, patterns)
+    assert sorted(map(tuple, few.collect())) == want
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("LeftSemi")
+    monkeypatch.setattr(pii, "MOST_SENT", 3, raising=False)
+    all_words = pii.occurrences(docs, patterns)
+    assert "LeftSemi" not in all_words._jdf.queryExecution().optimizedPlan().toString() and sorted(map(tuple, all_words.collect())) == want
