@@ -34,8 +34,8 @@ from evidara.llm.common import DROP, small, spread
 
 #: Code points in a part that is encoded at once.
 LEAF = 32_768
-#: Pieces that each Python worker remembers for good, and those met once of late that wait to be met again (some 30 MB in all).
-REMEMBERED, WAITING = 80_000, 80_000
+#: Pieces that each Python worker remembers for good, and those met once of late that wait to be met again (some 50 MB in all).
+REMEMBERED, WAITING = 160_000, 80_000
 #: Rows that are encoded together.
 TOGETHER = 1000
 #: Marks a text that is not plain Latin: a control that the library does not take for white space, or a letter past Latin Extended-B (or the
@@ -114,11 +114,12 @@ class Encoder:
         word, marks = (pc.fill_null(pc.struct_field(parts, name), "") for name in ("word", "marks"))
         by_pattern = pc.and_not(pc.greater(pc.binary_length(distinct), 0), pc.utf8_is_alpha(word))
         pieces = pa.chunked_array([pc.if_else(by_pattern, "", word), pc.if_else(by_pattern, "", marks)]).combine_chunks().dictionary_encode()
-        ids = self.ids_of_pieces(pieces.dictionary.to_pylist())
+        # as a NumPy array first, which makes strings of all of them several times faster than to_pylist()
+        ids = self.ids_of_pieces(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
         hard = np.flatnonzero(by_pattern.to_numpy(zero_copy_only=False))
         piece = pieces.indices.to_numpy().reshape(2, -1).T.copy()
         piece[hard, 0] = len(ids) + np.arange(len(hard))
-        ids = [*ids, *self.ids_of(distinct.take(pa.array(hard)).to_pylist())]
+        ids = [*ids, *self.ids_of(distinct.take(pa.array(hard)).to_numpy(zero_copy_only=False).tolist())]
         # the ids of all pieces, laid out one after the other, are dealt to the chunks
         width = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         start = np.cumsum(width) - width
@@ -142,16 +143,23 @@ class Encoder:
         return [np.array(e.ids, np.dtype("<u4")).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def ids_of_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece (or none of the empty one); one met for the second time is known for good."""
+        """Ids of each of these distinct pieces (or none of the empty one); one met for the second time is known for good."""
         known, once = self.known, self.once
         out = list(map(known.get, pieces))
-        missing = {p for p, ids in zip(pieces, out, strict=True) if ids is None}
-        known.update([(p, once.pop(p)) for p in missing.intersection(once)])
-        unseen = list(missing.difference(known, [""]))
-        new = dict(zip(unseen, self.merged(unseen), strict=True)) if unseen else {}
-        once.update(new)
-        new[""] = b""
-        return [ids if ids is not None else new[p] if p in new else known[p] for p, ids in zip(pieces, out, strict=True)]
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        unseen = []
+        for i in missing:
+            if (ids := once.pop(piece := pieces[i], None)) is not None:
+                known[piece] = out[i] = ids
+            elif piece:
+                unseen.append(i)
+            else:
+                out[i] = b""
+        if unseen:
+            new = [pieces[i] for i in unseen]
+            for i, piece, ids in zip(unseen, new, self.merged(new), strict=True):
+                once[piece] = out[i] = ids
+        return out
 
     def ids_of(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk, by the file's pattern if it is Latin."""

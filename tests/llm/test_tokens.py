@@ -44,6 +44,20 @@ def test_tree_concatenation_is_exact(library):
         assert bpe.join_tree(enc, [(p, enc.encode(p)) for p in parts]) == ids_of(library, text), repr(text)
 
 
+def test_words_of_two_large_vocabularies_are_merged_once(library):
+    """What comes again after another 50,000 words is still known, and batches of known words run no merges."""
+    letters = "abcdefghijklmnopqrst"
+    words = ["".join(letters[i // 20**k % 20] for k in range(4)) for i in range(100_000)]
+    enc, seen = bpe.Encoder(PATH), []
+    plain = enc.merged
+    enc.merged = lambda pieces: (seen.append(len(pieces)), plain(pieces))[1]
+    for half in (words[:50_000], words[50_000:]) * 2:
+        for _ in range(2):  # words met twice are known for good
+            got = [x for i in range(0, len(half), 10_000) for x in enc.encode_batch([" ".join(half[j : j + 1000]) for j in range(i, i + 10_000, 1000)])]
+    assert sum(seen) == len(words)
+    assert got == [ids_of(library, " ".join(half[j : j + 1000])) for j in range(0, len(half), 1000)]
+
+
 def counted(enc):
     """Notes how many characters are encoded from now on."""
     seen = []
