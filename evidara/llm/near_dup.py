@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from evidara.llm.common import U64, lean, materialise, mix, row_of, small, spread, text_bytes
+from evidara.llm.common import U64, forget, lean, materialise, mix, row_of, small, spread, text_bytes
 
-#: Minwise values that paths choose from, and values of which a byte each is kept to compare classes.
+#: Minwise values that paths choose from, and values of which a bit each is kept to compare classes.
 SIZE, CHECKS = 64, 256
 TREES = 12
 #: Levels of the paths before nodes are first counted, and levels between two confirmations after that.
@@ -50,8 +50,8 @@ SET_MOST = 1024
 AT_ONCE = 64
 #: Bits of the filter for wanted ids: a fixed size, so it can be broadcast at any scale.
 MARKS = 1 << 24
-#: Of 64 sketch bits, pairs of similarity 0.8 agree on 57.6 on average (deviation 2.4); of CHECKS bytes, on 0.8 (0.025).
-LEAST_AGREEING, LEAST_LIKE = 45, 0.69
+#: Of 64 sketch bits, pairs of similarity 0.8 agree on 57.6 on average (deviation 2.4); of CHECKS bits, on 230.4 (4.8).
+LEAST_AGREEING, LEAST_LIKE = 45, 209
 #: Shingle sets that a confirming task remembers.
 REMEMBERED_BYTES = 64_000_000
 MULTIPLIERS = (mix(np.arange(1, CHECKS + 1, dtype=np.uint64)) >> U64(32)).astype(np.uint32) | np.uint32(1)
@@ -88,10 +88,9 @@ def set_key(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, key (hi, lo), minwise values, check bytes and the sketch of every row; null key without words."""
+    """doc_id, n_shingles, key (hi, lo), minwise values, check bits and the sketch of every row; null key without words."""
     rows = text_bytes(docs, F.col("doc_id"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    weights = U64(1) << np.arange(SIZE, dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -105,8 +104,8 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     hi.append(a)
                     lo.append(b)
                     sig.append(m[:SIZE].tobytes())
-                    check.append(m.astype(np.uint8).tobytes())
-                    bits.append(int((((mix(m[:SIZE].astype(np.uint64)) >> U64(7)) & U64(1)) * weights).sum(dtype=np.uint64).astype(np.int64)))
+                    check.append(np.packbits((mix(m.astype(np.uint64)) >> U64(7)).astype(np.uint8) & 1, bitorder="little").tobytes())
+                    bits.append(int.from_bytes(check[-1][: SIZE // 8], "little", signed=True))
                 else:
                     for x in (hi, lo, sig, check, bits):
                         x.append(None)
@@ -188,15 +187,30 @@ class Node:
         self.rows = rows.take(order)
         self.cls, self.comp = self.rows["cls"].to_numpy(), comp[order]
         self.bits = self.rows["bits"].to_numpy().view(np.uint64)
-        self.check = np.frombuffer(b"".join(self.rows["check"].to_pylist()), np.uint8).reshape(-1, CHECKS)
+        self.check = np.frombuffer(b"".join(self.rows["check"].to_pylist()), np.uint64).reshape(-1, CHECKS // 64)
 
     def like(self, i: int) -> np.ndarray:
         """Places after i of the classes of other components whose sketches are like that of i, the most alike first."""
         rest = slice(i + 1, None)
         near = np.flatnonzero((self.comp[rest] != self.comp[i]) & (np.bitwise_count(self.bits[rest] ^ self.bits[i]) <= 64 - LEAST_AGREEING)) + i + 1
-        share = (self.check[near] == self.check[i]).mean(axis=1) if len(near) else np.zeros(0)
-        order = np.argsort(-share, kind="stable")
-        return near[order][share[order] >= LEAST_LIKE]
+        apart = np.bitwise_count(self.check[near] ^ self.check[i]).sum(axis=1, dtype=np.int64)
+        order = np.argsort(apart, kind="stable")
+        return near[order][apart[order] <= CHECKS - LEAST_LIKE]
+
+    def groups(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which rows are like one of another component, and a name of each row's group: all that are alike, one by way of another.
+
+        The name depends on the group's classes alone, so that a group which meets in several nodes has one name.
+        """
+        group, some = np.arange(len(self.cls)), np.zeros(len(self.cls), bool)
+        for i in range(self.first):
+            if len(near := self.like(i)):
+                some[i] = some[near] = True
+                if len(others := np.unique(group[near][group[near] != group[i]])):
+                    group[np.isin(group, others)] = group[i]
+        total = np.zeros(len(group), np.uint64)
+        np.add.at(total, group, mix(self.cls.astype(np.uint64) + U64(29)))
+        return some, mix(total[group])
 
 
 def nodes_of(table: pa.Table) -> Iterator[Node]:
@@ -207,20 +221,22 @@ def nodes_of(table: pa.Table) -> Iterator[Node]:
 
 
 def in_doubt(small: DataFrame, checks: DataFrame) -> DataFrame:
-    """node, cls, bits and comp of the rows of small nodes that are like a row of another component."""
+    """node, cls, bits, comp and check of the rows of small nodes that are like a row of another component.
+
+    From here on a node is a group of such rows. Similar classes meet in many nodes, but mostly with the same others: they are one
+    group then, and are compared once.
+    """
     kept = small.select("node", "cls", "bits", "comp").join(checks, "cls").select("node", "cls", "bits", "comp", "check")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in by_node(batches):
             for x in nodes_of(table):
-                some = np.zeros(len(x.cls), bool)
-                for i in range(x.first):
-                    near = x.like(i)
-                    some[near] = True
-                    some[i] |= len(near) > 0
-                yield from x.rows.select(["node", "cls", "bits", "comp"]).filter(pa.array(some)).to_batches()
+                some, group = x.groups()
+                if some.any():
+                    yield from x.rows.set_column(0, "node", pa.array(group.view(np.int64))).filter(pa.array(some)).combine_chunks().to_batches()
 
-    return kept.repartition(F.col("node")).sortWithinPartitions("node", "cls").mapInArrow(lean(run), "node long, cls long, bits long, comp long")
+    found = kept.repartition(F.col("node")).sortWithinPartitions("node", "cls").mapInArrow(lean(run), "node long, cls long, bits long, comp long, check binary")
+    return found.dropDuplicates(["node", "cls"])
 
 
 def exhaustive(rows: DataFrame, percent: int) -> DataFrame:
@@ -267,10 +283,13 @@ def exhaustive(rows: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(lean(run), "a long, b long, sure boolean")
 
 
-def sized(rows: DataFrame) -> DataFrame:
+def sized(paths: DataFrame) -> DataFrame:
     """The rows of nodes of two classes or more, with the node's size and its least class."""
+    rows = materialise(paths, "paths")
     counted = rows.groupBy("node").agg(F.count("*").alias("size"), F.min(F.struct("cls", "bits")).alias("least")).where("size > 1")
-    return materialise(rows.join(counted, "node"), "nodes")
+    found = materialise(rows.join(counted, "node"), "nodes")
+    forget(rows)
+    return found
 
 
 def stars(rows: DataFrame, leader: str) -> DataFrame:
@@ -383,11 +402,14 @@ def linked(docs: DataFrame, classes: DataFrame, width: int, percent: int, repeat
     """cls and comp of the classes that have a confirmed link."""
     texts = Texts(docs, classes, width, repeats)
     signed, checks = classes.select("cls", "sig"), classes.select("cls", "check")
-    rows = sized(materialise(branch(classes.select("cls", "bits", "sig"), FIRST_LEVELS, TREES), "paths"))
+    rows = sized(branch(classes.select("cls", "bits", "sig"), FIRST_LEVELS, TREES))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs.distinct(), "candidates")
-        return materialise(confirm(pairs, texts.of(pairs), width, percent), "links")
+        full = texts.of(pairs)
+        found = materialise(confirm(pairs, full, width, percent), "links")
+        forget(full)
+        return found
 
     # every node's least class first: it joins most of what belongs together
     links = confirmed(stars(rows, "least"))
@@ -397,14 +419,15 @@ def linked(docs: DataFrame, classes: DataFrame, width: int, percent: int, repeat
         large = mixed.where(F.col("size") > SMALL)
         doubt = materialise(in_doubt(mixed.where(F.col("size") <= SMALL), checks), "doubt")
         sets = texts.sets(doubt.select("cls").distinct())
-        found = materialise(exhaustive(doubt.join(checks, "cls").join(sets, "cls"), percent), "found")
+        found = materialise(exhaustive(doubt.join(sets, "cls"), percent), "found")
+        forget(sets)
         pairs = found.where("not sure").select("a", "b")
         for i in range(LEADERS):
             pairs = pairs.unionByName(stars(large.where(F.col("comp") != F.col(f"l{i}.comp")), f"l{i}"))
         links = links.unionByName(found.where("sure").select("a", "b")).unionByName(confirmed(pairs))
         if large.isEmpty():
             return components(links)
-        rows = sized(materialise(branch(large.join(signed, "cls"), NEXT_LEVELS), "paths"))
+        rows = sized(branch(large.join(signed, "cls"), NEXT_LEVELS))
         seed += 1
 
 

@@ -1,5 +1,6 @@
 """Near-duplicates against all pairs."""
 
+import os
 import random
 from itertools import combinations
 
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 
 from evidara.llm import near_dup
+from evidara.llm.common import shared_dir
 
 
 def brute(rows, width, percent=80):
@@ -67,6 +69,32 @@ def test_one_large_family(spark, monkeypatch):
     assert found(spark, rows, 2) == brute(rows, 2)
 
 
+def test_groups_that_meet_in_several_nodes_are_compared_once(spark):
+    """What is alike only by pairs comes apart, and each pair leaves once, from however many nodes."""
+    sketch = np.random.default_rng(4).integers(0, 256, (3, near_dup.CHECKS // 8)).astype(np.uint8)
+    of = {1: sketch[0], 2: sketch[0], 3: sketch[1], 4: sketch[1], 5: sketch[2]}
+    nodes = {10: [1, 2, 3, 4], 11: [1, 2], 12: [3, 4, 5], 13: [1, 2, 5], 14: [1, 3, 5]}
+    rows = [(n, c, int.from_bytes(of[c][:8].tobytes(), "little", signed=True), c) for n, cs in nodes.items() for c in cs]
+    small = spark.createDataFrame(rows, "node long, cls long, bits long, comp long")
+    checks = spark.createDataFrame([(c, x.tobytes()) for c, x in of.items()], "cls long, check binary")
+    got = {}
+    for r in near_dup.in_doubt(small, checks).collect():
+        got.setdefault(r.node, []).append(r.cls)
+    assert sorted(map(sorted, got.values())) == [[1, 2], [3, 4]]
+
+
+def test_tables_that_nothing_reads_any_more_are_deleted(spark):
+    rows = families(6, 20, 8, [0.0, 0.02, 0.1])
+
+    def kept():
+        folder = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+        return {f for f in os.listdir(folder) if f.startswith(("paths-", "texts-"))}
+
+    before = kept()
+    assert found(spark, rows, 2) == brute(rows, 2)
+    assert kept() == before
+
+
 def test_odd_input(spark, odd_docs, no_docs):
     assert near_dup.near_duplicates(no_docs).count() == 0
     assert near_dup.keep_one(no_docs).count() == 0
