@@ -7,8 +7,8 @@
 3. Every class is compared with its node's least class; candidates whose sketches agree are confirmed on the full sets, and
    the links found make coarse components.
 4. Only nodes that hold more than one component go on. One of up to SMALL classes is compared exhaustively across its
-   components: sketches find the rows in doubt, and their full sets are compared within the node, which gives only as many
-   links as join its components. In a larger one every class is compared with a few leaders of other components, and the node
+   components: sketches find the groups in doubt, and full sets are compared within each group, however many nodes it meets in,
+   which gives only as many links as join its components. In a larger one every class is compared with a few leaders of other components, and the node
    branches on until it is small or within one component. No partner or candidate is ever capped.
 
 The trees share the minwise values, whose agreement varies between pairs. Averaged over that, a pair of the least similarity
